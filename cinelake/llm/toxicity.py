@@ -7,77 +7,88 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import MEMO_ENTRIES, id_and_text, plain_words, slices, summed_array
+from cinelake.llm.common import MEMO_ENTRIES, id_and_text, materialize, plain_words, slices, summed_array
 
-#: Token statistics live in so many hash slots, whatever the vocabulary: 8 MB a model at most.
+#: Counts of features live in so many hash slots, whatever the vocabulary: two arrays of 4 MB.
 SLOTS = 1 << 20
 #: Labelled rows that the model is fitted on at most: those whose hashed id is smallest.
 SAMPLE_ROWS = 50_000
-#: Tokens of prior mass, spread as all tokens are.
-PRIOR = 1_000.0
-#: Standard errors that a token's log-odds must be away from 0 to count.
-LEAST_Z = 4.0
+#: Features of a token: its beginnings of so many letters, then the whole of it if it isn't longer than WHOLE.
+BEGINNINGS, WHOLE = (3, 4, 5, 6, 7), 10
+#: Documents of Dirichlet prior mass, spread as the next shorter feature's are, and those that a feature needs to count.
+PRIOR, SUPPORT = 5.0, 5
+#: Log-odds above the base rate from which a token is evidence, what is taken off them, and the most that counts.
+LEAST, TAKEN, MOST = 2.0, 1.0, 6.0
 #: What every other token takes from a running segment.
-GAP = 0.05
+GAP = 0.02
 #: E-value up to which a passage is significant.
 SIGNIFICANT = 0.01
-BINS = 400
-FLOOR, CEILING = -20.0, 180.0
+#: Bins of the normalised scores, and of token scores.
+BINS, FLOOR, CEILING = 500, -20.0, 130.0
+TOKEN_BIN = 0.05
 
 
 @dataclass
 class Model:
-    scores: np.ndarray  # by slot, float32
-    decay: float  # lambda of the extreme-value distribution
-    k: float  # its K
-    slope: float
-    intercept: float
-
-
-def held_out(id_col, mod: int, rest: int):
-    """Whether crc32 of the id as text leaves `rest` modulo `mod`; a null id is never held out."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))
-
+    toxic: np.ndarray  # documents by slot, float32
+    clean: np.ndarray
+    base: float  # share of toxic documents
+    decay: float = 1.0  # lambda of the extreme-value distribution
+    k: float = 1.0  # its K
+    slope: float = 1.0
+    intercept: float = -20.0
+
+
+def features(word: bytes) -> list[int]:
+    """Slots of a token's features, shortest first."""
+    text = word.decode("utf-8", "replace")
+    found = [text[:k] for k in BEGINNINGS if len(text) > k]
+    if len(text) <= WHOLE:
+        found.append(text + "$")
+    return [xxhash.xxh64_intdigest(f.encode()) & (SLOTS - 1) for f in found]
+
+
+class TokenScores(dict):
+    """Score of each token, worked out once per task.
+
+    The share of toxic documents among those with a feature has a Dirichlet prior around the share
+    of the next shorter feature, the first one around the base rate; rare features don't move it. The
+    score comes from the log-odds of the longest feature against the base rate.
+    """
 
-class _Slots(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.odds = model, math.log(model.base / (1 - model.base))
 
+    def __missing__(self, word: bytes) -> float:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word) & (SLOTS - 1)
+        share = self.model.base
+        for i in features(word):
+            toxic, n = float(self.model.toxic[i]), float(self.model.toxic[i] + self.model.clean[i])
+            if n >= SUPPORT:
+                share = (toxic + PRIOR * share) / (n + PRIOR)
+        odds = min(math.log(share / (1 - share)) - self.odds, MOST)
+        value = self[word] = odds - TAKEN if odds > LEAST else -GAP
         return value
 
 
-_SLOTS = _Slots()
-
-
-def _slots(text: str | None) -> np.ndarray:
-    words = plain_words(text)
-    return np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))
-
-
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of each slot between the classes under an informative Dirichlet prior, and their z-scores."""
-    n1, n0 = toxic.sum(), clean.sum()
-    share = (toxic + clean) / max(n1 + n0, 1)
-    a = np.maximum(prior * share, 1e-9)
-    y1, y0 = toxic + a, clean + a
-    delta = np.log(y1 / (n1 + prior - y1).clip(1e-9)) - np.log(y0 / (n0 + prior - y0).clip(1e-9))
-    return delta, delta / np.sqrt(1 / y1 + 1 / y0)
+def held_out(id_col, mod: int, rest: int):
+    """Whether crc32 of the id as text leaves `rest` modulo `mod`; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
 def solve_decay(scores: np.ndarray, weights: np.ndarray) -> float:
     """The positive lambda at which the weighted mean of exp(lambda * score) is 1; 1 where there is none."""
-    values, where = np.unique(scores, return_inverse=True)
-    mass = np.bincount(where, weights) / max(weights.sum(), 1)
-    if not len(values) or values[-1] <= 0 or mass @ values >= 0 or mass[values > 0].sum() <= 0:
+    mass = weights / max(weights.sum(), 1)
+    if not len(scores) or scores.max() <= 0 or mass @ scores >= 0 or not mass[scores > 0].sum():
         return 1.0
+    excess = lambda x: mass @ np.exp(np.minimum(x * scores, 600)) - 1
     low, high = 0.0, 1.0
-    excess = lambda x: mass @ np.exp(np.minimum(x * values, 600)) - 1
     while excess(high) < 0 and high < 64:
         high *= 2
     for _ in range(60):
@@ -126,30 +137,40 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(known), "id")
 
     def fill(batches):
-        counts = np.zeros(2 * SLOTS, np.int64)
-        for batch in batches:
-            for part in slices([batch]):
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                    np.add.at(counts, _slots(text) + SLOTS * (toxic == 1), 1)
+        counts, memo = np.zeros(2 * SLOTS + 2, np.int64), {}
+        for batch in slices(batches):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                if len(memo) > MEMO_ENTRIES:
+                    memo.clear()
+                found: set[int] = set()
+                for word in {*plain_words(text)}:
+                    if word not in memo:
+                        memo[word] = features(word)
+                    found.update(memo[word])
+                which = toxic == 1
+                counts[np.fromiter(found, np.int64, len(found)) + SLOTS * which] += 1
+                counts[2 * SLOTS + which] += 1
         return counts
 
-    counts = summed_array(texts, fill, 2 * SLOTS, 1 << 15)
-    clean, toxic = counts[:SLOTS].astype(np.float64), counts[SLOTS:].astype(np.float64)
-    delta, z = log_odds(toxic, clean)
-    scores = np.where(z >= LEAST_Z, np.minimum(delta, 8.0), -GAP).astype(np.float32)
-    scores[(z <= -LEAST_Z)] = -2 * GAP
-    decay = solve_decay(np.round(scores, 2).astype(np.float64), clean)
-    model = Model(scores, decay, 1.0, 1.0, 0.0)
-
-    # The best segment of each labelled document: K by maximum likelihood over the clean ones, then a logistic curve over the normalised scores.
+    counts = summed_array(texts, fill, 2 * SLOTS + 2, 1 << 15)
+    n_clean, n_toxic = counts[2 * SLOTS :].tolist()
+    model = Model(counts[SLOTS : 2 * SLOTS].astype(np.float32), counts[:SLOTS].astype(np.float32), (n_toxic + 0.5) / (n_toxic + n_clean + 1))
+    if not n_toxic or not n_clean:
+        return model
+
+    # Token scores of the clean documents give lambda, their best segments K by maximum likelihood; a logistic curve then turns normalised scores of both classes into probabilities.
+    best, _ = materialize(_segments(texts.select("id", "text", "toxic"), model, "toxic int").select("toxic", "best", "n_words", "evidence"), "toxicity")
+    clean = best.filter("toxic != 1")
+    tokens = clean.select(F.explode("evidence").alias("bin")).groupBy("bin").count().collect()
+    total = clean.agg(F.sum("n_words")).first()[0] or 0
+    values, weights = [(r.bin + 0.5) * TOKEN_BIN for r in tokens], [r["count"] for r in tokens]
+    model.decay = solve_decay(np.array([*values, -GAP]), np.array([*weights, max(total - sum(weights), 1)], np.float64))
+    x = F.lit(model.decay) * F.col("best") - F.log(F.greatest("n_words", F.lit(1)).cast("double"))
     binned = (
-        _best(texts.select("id", "text", "toxic"), model, "toxic int")
-        .select("toxic", F.least(F.greatest(F.floor((F.col("x") - FLOOR) / (CEILING - FLOOR) * BINS), F.lit(0)), F.lit(BINS - 1)).alias("bin"), F.exp(-F.col("x")).alias("tail"))
+        best.select("toxic", F.least(F.greatest(F.floor((x - FLOOR) / (CEILING - FLOOR) * BINS), F.lit(0)), F.lit(BINS - 1)).alias("bin"), F.exp(-x).alias("tail"))
         .groupBy("toxic", "bin").agg(F.count("*").alias("n"), F.sum("tail").alias("tail")).collect()
     )
-    tail = sum(r.tail for r in binned if r.toxic != 1)
-    if tail > 0:
-        model.k = sum(r.n for r in binned if r.toxic != 1) / tail
+    model.k = n_clean / max(sum(r.tail for r in binned if r.toxic != 1), 1e-9)
     model.slope, model.intercept = _logistic([(FLOOR + (r.bin + 0.5) * (CEILING - FLOOR) / BINS - math.log(model.k), r.n, r.toxic == 1) for r in binned])
     return model
 
@@ -172,34 +193,33 @@ def _logistic(points: list[tuple[float, int, bool]]) -> tuple[float, float]:
     return max(w[0], 0.0) / 10, w[1]
 
 
-def _best(df: DataFrame, model: Model, more: str = "") -> DataFrame:
-    """Per row: x, the best segment's score in nats less the log of the words, and the passages found."""
-    scores, decay, k = model.scores, model.decay, model.k
+def _segments(df: DataFrame, model: Model, more: str = "") -> DataFrame:
+    """Per row the score of its best segment, its words, the bins of the tokens that are evidence, and the significant passages."""
     kept = [c for c in df.columns if c != "text"]
+    fields = [("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64()), ("words", pa.string())]
+    types = [pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct(fields))]
 
     def run(batches):
+        scores = TokenScores(model)
         for batch in slices(batches):
-            x, passages, words_of = [], [], []
+            best, sizes, evidence, passages = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = plain_words(text)
-                values = scores[np.fromiter(map(_SLOTS.__getitem__, words), np.int64, len(words))]
-                found = maximal_segments(values) if len(values) and values.max() > 0 else []
-                n = max(len(words), 1)
-                x.append(decay * max((s for _, _, s in found), default=0.0) - math.log(n))
-                words_of.append(len(words))
-                rated = [(s, e, v, min(k * n * math.exp(-min(decay * v, 700)), 1e9)) for s, e, v in found]
+                values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
+                found = maximal_segments(values) if len(words) and values.max() > 0 else []
+                best.append(max((v for _, _, v in found), default=0.0))
+                sizes.append(len(words))
+                evidence.append((values[values > 0] / TOKEN_BIN).astype(np.int32))
+                rated = [(s, e, v, model.k * len(words) * math.exp(-min(model.decay * v, 700))) for s, e, v in found]
                 passages.append([
                     {"first_word": s, "end_word": e, "score": v, "e_value": rate, "words": b" ".join(words[s:e]).decode("utf-8", "replace")}
                     for s, e, v, rate in rated if rate <= SIGNIFICANT
                 ])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(x, pa.float64()), pa.array(words_of, pa.int64()),
-                 pa.array(passages, pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64()), ("words", pa.string())])))],
-                [*kept, "x", "n_words", "passages"],
-            )
+            columns = [pa.array(c, t) for c, t in zip((best, sizes, evidence, passages), types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "best", "n_words", "evidence", "passages"])
 
     passage = "array<struct<first_word:int,end_word:int,score:double,e_value:double,words:string>>"
-    return df.mapInArrow(run, "id long" + (f", {more}" if more else "") + f", x double, n_words long, passages {passage}")
+    return df.mapInArrow(run, "id long" + (f", {more}" if more else "") + f", best double, n_words long, evidence array<int>, passages {passage}")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,11 +229,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     more; passages are the significant segments in words of the text. Null and empty texts get the
     score of a text without any toxic token. One pass, no shuffle; only id and text are read.
     """
-    z = F.lit(model.slope) * (F.col("x") - math.log(model.k)) + F.lit(model.intercept)
-    return _best(id_and_text(docs, id_col, text_col), model).select(
+    found = _segments(id_and_text(docs, id_col, text_col), model)
+    x = F.lit(model.decay) * F.col("best") - F.log(F.greatest("n_words", F.lit(1)).cast("double"))
+    z = F.lit(model.slope) * (x - math.log(model.k)) + F.lit(model.intercept)
+    return found.select(
         F.col("id").alias("doc_id"),
         (1 / (1 + F.exp(-z))).alias("score"),
-        (z >= 0).cast("int").alias("predicted"),
-        (F.lit(model.k) * F.exp(-F.col("x"))).alias("e_value"),
+        (1 / (1 + F.exp(-z)) >= 0.5).cast("int").alias("predicted"),
+        (F.lit(model.k) * F.exp(-x)).alias("e_value"),
         "passages",
     )
