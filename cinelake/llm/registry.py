@@ -30,8 +30,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", "n_dropped", "dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
