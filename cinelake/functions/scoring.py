@@ -1,7 +1,8 @@
 """Match scores as Column expressions. The numbers are fixed values of the domain."""
 
-from __future__ import annotations
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,15 +131,7 @@ def artist_score(wanted: Column, label: Column, description: Column) -> Column:
     return title_score(wanted, label) + F.when(_holds_any(title_key(description), MUSIC_TERMS), 25).otherwise(0)
 
 
-def sequence_ratio():
-    """Arrow UDF: similarity of two strings by matching blocks, times 100; no built-in has this measure. Feed it distinct pairs."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([100 * SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-    return ratio
+@F.pandas_udf("double")
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two strings by matching blocks, times 100; no built-in has this measure. Feed it distinct pairs."""
+    return pd.Series([100 * SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

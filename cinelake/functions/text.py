@@ -63,7 +63,7 @@ def join_nonblank(separator: str, *columns: Column | str) -> Column:
 
 def split_values(c: Column | str, pattern: str = r"[,;/|]+") -> Column:
     """Trimmed, non-empty values of a cell."""
-    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_urls(c: Column | str) -> Column:

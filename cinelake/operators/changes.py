@@ -38,5 +38,5 @@ def release_changes(current: DataFrame, previous: DataFrame, order: str = "snaps
         "identity", "title", F.coalesce("old", "new_date").alias("old_date"), "new_date", F.coalesce("limited.scale", "moved.scale").alias("old_scale"), "new_scale", "change_type"
     )
     first = Window.partitionBy("identity", "old_date", "new_date", "change_type").orderBy("title")
-    day = lambda c: F.try_to_date(F.col(c), F.lit("yyyy-MM-dd"))
+    day = lambda c: F.try_to_date(F.col(c), "yyyy-MM-dd")
     return shown.withColumn("r", F.row_number().over(first)).filter("r = 1").drop("r").withColumn("change", change_label(day("old_date"), day("new_date")))

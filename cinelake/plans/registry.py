@@ -155,7 +155,7 @@ def preferred_or_latest(t: Table) -> DataFrame:
     return rollup.preferred_or_latest(wanted, _episodes(t), "parent", "season", "episode", "preferred")
 
 
-@query("""select o_orderkey, cast(o_orderdate as date) as start, case when n = 1 then cast(o_orderdate as date) + 30 when n > 1 then last end as season_end
+@query("""select o_orderkey, cast(o_orderdate as date) as start, case when n = 1 then cast(o_orderdate as date) + 30 when n > 1 then last else null end as season_end
 from orders left join (select l_orderkey, count(distinct cast(l_shipdate as date)) as n, max(cast(l_shipdate as date)) as last from lineitem group by 1) on l_orderkey = o_orderkey""")
 def season_end_date(t: Table) -> DataFrame:
     shipped = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.to_date("l_shipdate")).alias("days"))
@@ -253,7 +253,7 @@ def month_starts(t: Table) -> DataFrame:
 
 
 @query("""with m as (select user_id, cast(min(ts) as date) as a, cast(max(ts) as date) as b from events group by 1),
-s as (select user_id, b, list_transform(generate_series(cast(a as timestamp), cast(b as timestamp), interval 7 day), x -> cast(x as date)) as days from m),
+s as (select user_id, b, list_transform(generate_series(cast(a as timestamp), cast(b as timestamp), interval 7 day), lambda x: cast(x as date)) as days from m),
 w as (select user_id, case when days[-1] < b then list_append(days, b) else days end as days from s)
 select user_id, unnest(days[1:27]) as week from w""")
 def weekly_dates(t: Table) -> DataFrame:
@@ -285,8 +285,7 @@ def fuzzy_best(t: Table) -> DataFrame:
 @query()
 def sequence_ratio_best(t: Table) -> DataFrame:
     """Matching-block similarity has no SQL; a test compares it with the standard library's."""
-    ratio = scoring.sequence_ratio()
-    pairs = _names(t, "probe").join(_names(t, "match"), F.col("probe") != F.col("match")).withColumn("score", ratio("probe", "match"))
+    pairs = _names(t, "probe").join(_names(t, "match"), F.col("probe") != F.col("match")).withColumn("score", scoring.sequence_ratio("probe", "match"))
     return pairs.groupBy("probe").agg(F.min_by(F.struct("match", "score"), F.struct((-F.col("score")).alias("s"), "match")).alias("b")).select("probe", "b.match", "b.score").filter("score >= 45")
 
 
@@ -370,7 +369,7 @@ def date_ladder(t: Table) -> DataFrame:
     return t("orders").select("o_orderkey", raw.alias("raw")).withColumn("day", dates.parse_date("raw"))
 
 
-@query(r"""select page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) as host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) as path, coalesce(list_extract(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), '/'), x -> x <> ''), -1), '') as last_segment from pages""")
+@query(r"""select page_id, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) as host, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) as path, coalesce(list_extract(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), '/'), lambda x: x <> ''), -1), '') as last_segment from pages""")
 def url_parts(t: Table) -> DataFrame:
     return t("pages").select("page_id", text.url_host("url").alias("host"), text.url_path("url").alias("path"), text.last_segment("url").alias("last_segment"))
 
@@ -416,9 +415,9 @@ def daypart_bucket(t: Table) -> DataFrame:
 
 
 @query(r"""select l_orderkey, l_linenumber, l_partkey, regexp_extract(s, '\$[0-9,]+(?:\.[0-9]+)?', 0) as money, regexp_extract(s, '(?i)([0-9,]+)\s*theaters?', 1) as theaters, lower(regexp_extract(s, '(?i)tt[0-9]{7,12}', 0)) as code
-from (select *, 'Opened to $' || cast(cast(l_extendedprice as bigint) as varchar) || ' in ' || cast(cast(l_quantity as int) as varchar) || ' theaters, TT' || lpad(cast(l_partkey as varchar), 7, '0') as s from lineitem)""")
+from (select *, 'Opened to $' || cast(cast(floor(l_extendedprice) as bigint) as varchar) || ' in ' || cast(cast(floor(l_quantity) as int) as varchar) || ' theaters, TT' || lpad(cast(l_partkey as varchar), 7, '0') as s from lineitem)""")
 def regex_extractors(t: Table) -> DataFrame:
-    s = F.concat(F.lit("Opened to $"), F.round("l_extendedprice").cast("long").cast("string"), F.lit(" in "), F.round("l_quantity").cast("int").cast("string"), F.lit(" theaters, TT"), F.lpad(F.col("l_partkey").cast("string"), 7, "0"))
+    s = F.concat(F.lit("Opened to $"), F.floor("l_extendedprice").cast("long").cast("string"), F.lit(" in "), F.floor("l_quantity").cast("int").cast("string"), F.lit(" theaters, TT"), F.lpad(F.col("l_partkey").cast("string"), 7, "0"))
     return t("lineitem").withColumn("s", s).select("l_orderkey", "l_linenumber", "l_partkey", text.money("s").alias("money"), text.theaters("s").alias("theaters"), text.imdb_code("s").alias("code"))
 
 
@@ -488,8 +487,8 @@ def exclude_semi(t: Table) -> DataFrame:
     return t("orders").join(kept.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
 
 
-@query(r"""with v as (select p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || case p_partkey % 3 when 0 then ', ' when 1 then ' / ' else ';' end || p_brand || '|' || upper(p_name), '[,;/|]+'), x -> trim(x)), x -> x <> '') as vs from part)
-select p_partkey, array_to_string(list_filter(vs, (x, i) -> list_position(list_transform(vs, y -> lower(y)), lower(x)) = i), '; ') as vals from v""")
+@query(r"""with v as (select p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || case p_partkey % 3 when 0 then ', ' when 1 then ' / ' else ';' end || p_brand || '|' || upper(p_name), '[,;/|]+'), lambda x: trim(x)), lambda x: x <> '') as vs from part)
+select p_partkey, array_to_string(list_filter(vs, lambda x, i: list_position(list_transform(vs, lambda y: lower(y)), lower(x)) = i), '; ') as vals from v""")
 def multi_value_split(t: Table) -> DataFrame:
     mark = F.when(F.col("p_partkey") % 3 == 0, ", ").when(F.col("p_partkey") % 3 == 1, " / ").otherwise(";")
     raw = F.concat("p_name", mark, "p_brand", F.lit("|"), F.upper("p_name"))
