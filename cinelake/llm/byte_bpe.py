@@ -134,7 +134,20 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of encode() and then decode(), in one Python step: two would keep two sets of workers, and their memory, at the same time."""
+
+    def run(batches):
+        for batch in slices(batches):
+            c = codec(ranks_path, pattern)
+            ids = c.ids(pc.fill_null(batch.column("text"), "").to_pylist())
+            columns = [batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode() and decode()."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of round_trip()."""
+    both = round_trip(docs, ranks_path, pattern)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Entries at which a worker's memo of words is emptied.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 120_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
         counts, memo = np.zeros(2 * SLOTS + 2, np.int64), {}
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                if len(memo) > MEMO_ENTRIES:
+                if len(memo) > MEMO_ENTRIES // 4:
                     memo.clear()
                 found: set[int] = set()
                 for word in {*plain_words(text)}:
