@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cinelake.functions.text import col, title_key, tokens
 
@@ -131,7 +132,7 @@ def artist_score(wanted: Column, label: Column, description: Column) -> Column:
     return title_score(wanted, label) + F.when(_holds_any(title_key(description), MUSIC_TERMS), 25).otherwise(0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two strings by matching blocks, times 100; no built-in has this measure. Feed it distinct pairs."""
     return pd.Series([100 * SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -56,7 +56,7 @@ def test_twins_and_placeholders(spark):
 
 
 def test_rules_stop_where_they_must(spark):
-    full = {"sheet": "s", "row_no": 2, "title": "Dune", "title_category": "Movies", "title_sub_category": "Film", "genre": "Sci-Fi", "primary_genre": "Science Fiction", "companies": "Acme", "brand_set": "Competitive View", "facebook_page": "https://x.com/a; facebook.com/pages/b", "imdb_id": "tt1234567", "imdb_url": "https://www.imdb.com/title/tt7654321/", "metacritic_url": "metacritic.com/movie/dune", "twitter_search_terms": "a", "twitter_search_term_keywords": "b", "wikipedia_url": "https://fr.wikipedia.org/wiki/Dune", "url_managers": "acme"}
+    full = {"sheet": "s", "row_no": 2, "title": "Dune", "title_category": "Movies", "title_sub_category": "Film", "genre": "Sci-Fi", "primary_genre": "Science Fiction", "companies": "Acme", "brand_set": "Competitive View", "facebook_page": "https://x.com/a; facebook.com/pages/b", "imdb_id": "tt1234567", "imdb_url": "https://www.imdb.com/title/tt7654321/", "metacritic_url": "metacritic.com/movie/dune", "twitter_search_terms": "a", "twitter_search_term_keywords": "b", "wikipedia_url": "https://fr.wikipedia.org/wiki/Dune", "url_managers": "acme, x.com/a, facebook.com/pages/b"}
     schema = "sheet string, row_no int, " + ", ".join(f"{k} string" for k in list(full)[2:])
     out = validate.report(spark.createDataFrame([tuple(full.values())], schema)).orderBy("issue_no").select("rule").collect()
     assert [r[0] for r in out] == ["Facebook URL", "Facebook URL path", "IMDb consistency", "Wikipedia English URL"]
