@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at a time.
 SLICE_BYTES = 2 << 20
-#: Entries at which a worker's memo of words is emptied.
+#: Entries at which a worker's memo of words is emptied, or its older generation is.
 MEMO_ENTRIES = 120_000
 
 
@@ -66,6 +66,26 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int
             yield batch.slice(start)
 
 
+class Memo:
+    """Values that `learn` makes of keys, kept in two generations: keys that come again outlive those that don't."""
+
+    def __init__(self, learn: Callable[[list], Iterable[tuple]], entries: int = MEMO_ENTRIES):
+        self.learn, self.entries = learn, entries
+        self.recent: dict = {}
+        self.older: dict = {}
+
+    def of(self, wanted: set) -> dict:
+        """A dictionary that holds all wanted keys, good until the next call."""
+        if len(self.recent) > self.entries:
+            self.older, self.recent = self.recent, {}
+        new = wanted - self.recent.keys()
+        again = new & self.older.keys()
+        self.recent.update((k, self.older[k]) for k in again)
+        if new := new - again:
+            self.recent.update(self.learn(list(new)))
+        return self.recent
+
+
 class WordHashes(dict):
     """Word (bytes) to its 64-bit hash, computed once per word and worker while the memo holds it."""
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import MEMO_ENTRIES, id_and_text, slices
+from cinelake.llm.common import Memo, id_and_text, slices
 
 #: A space between two non-spaces always starts a new pre-token of a byte-level vocabulary, and no special token holds one: texts may be cut there.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -30,7 +30,7 @@ def _library(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, {}, {}
+    return tokenizer, *(Memo(lambda new, lead=lead: _learn(tokenizer, new, lead)) for lead in (" ", ""))
 
 
 def balanced(pieces: list[str], budget: int = BATCH_BYTES) -> list[list[str]]:
@@ -45,29 +45,22 @@ def balanced(pieces: list[str], budget: int = BATCH_BYTES) -> list[list[str]]:
     return out
 
 
-def _learn(tokenizer, memo: dict[str, int], new: set[str], lead: str) -> None:
-    known = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-    memo.update(dict.fromkeys(new, UNSAFE))
+def _learn(tokenizer, new: list[str], lead: str) -> list[tuple[str, int]]:
+    known, out = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()], list(zip(new, [UNSAFE] * len(new)))
     for batch in balanced(known):
         encoded = tokenizer.encode_batch_fast([lead + p for p in batch], add_special_tokens=False)
-        memo.update(zip(batch, map(len, encoded)))
+        out += zip(batch, map(len, encoded))
+    return out
 
 
 def _lengths(texts: list[str], path: str) -> list[int]:
-    """Tokens of each text. Texts are cut at spaces; equal pieces of a batch are encoded once, and their lengths added up."""
+    """Tokens of each text. Texts are cut at spaces; equal pieces are encoded once while the memo holds them, and their lengths added up."""
     tokenizer, inner, first = _library(path)
-    for memo in (inner, first):
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
     parts = [t.split(" ") for t in texts]
-    new: set[str] = set()
-    for p in parts:
-        new.update(p[1:])
-    _learn(tokenizer, inner, new - inner.keys(), " ")
-    _learn(tokenizer, first, {p[0] for p in parts} - first.keys(), "")
+    later, begin = inner.of({w for p in parts for w in p[1:]}), first.of({p[0] for p in parts})
     out = []
     for text, p in zip(texts, parts):
-        n = first[p[0]] + sum(map(inner.__getitem__, p[1:]))
+        n = begin[p[0]] + sum(map(later.__getitem__, p[1:]))
         if n < 0:  # some cut isn't safe: only the others are made
             n = sum(len(e) for b in balanced(SAFE.split(text)) for e in tokenizer.encode_batch_fast(b, add_special_tokens=False))
         out.append(n)

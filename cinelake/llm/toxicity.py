@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinelake.llm.common import MEMO_ENTRIES, id_and_text, materialize, plain_words, slices, summed_array
+from cinelake.llm.common import Memo, id_and_text, materialize, plain_words, slices, summed_array
 
 #: Counts of features live in so many hash slots, whatever the vocabulary: two arrays of 4 MB.
 SLOTS = 1 << 20
@@ -43,17 +43,35 @@ class Model:
     intercept: float = -20.0
 
 
-def features(word: bytes) -> list[int]:
-    """Slots of a token's features, shortest first."""
-    text = word.decode("utf-8", "replace")
-    found = [text[:k] for k in BEGINNINGS if len(text) > k]
-    if len(text) <= WHOLE:
-        found.append(text + "$")
-    return [xxhash.xxh64_intdigest(f.encode()) & (SLOTS - 1) for f in found]
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class TokenScores(dict):
-    """Score of each token, worked out once per task.
+def features(words: list[bytes]) -> np.ndarray:
+    """(words, features) slots of each token's features, shortest first; -1 where a token is too short or too long for one."""
+    text = b"\n".join(words).decode("utf-8", "replace")
+    points = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.flatnonzero(points == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    sizes, state = ends - starts, np.zeros(len(words), np.uint64)
+    out = np.full((len(words), len(BEGINNINGS) + 1), -1, np.int64)
+
+    def slot(kind: int) -> np.ndarray:
+        x = (state ^ np.uint64(kind)) * _MIX
+        return ((x ^ (x >> np.uint64(31))) * _STEP >> np.uint64(44)).astype(np.int64) % SLOTS
+
+    for k in range(1, WHOLE + 1):
+        inside = sizes >= k
+        at = points[np.minimum(starts + k - 1, len(points) - 1)].astype(np.uint64)
+        state = np.where(inside, (state + at + np.uint64(k)) * _STEP, state)
+        state ^= np.where(inside, state >> np.uint64(29), np.uint64(0))
+        if k in BEGINNINGS:
+            out[:, BEGINNINGS.index(k)] = np.where(sizes > k, slot(k), -1)
+    out[:, -1] = np.where(sizes <= WHOLE, slot(WHOLE + 1), -1)
+    return out
+
+
+class TokenScores:
+    """Scores of tokens, kept for those that come again.
 
     The share of toxic documents among those with a feature has a Dirichlet prior around the share
     of the next shorter feature, the first one around the base rate; rare features don't move it. The
@@ -61,20 +79,21 @@ class TokenScores(dict):
     """
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.odds = model, math.log(model.base / (1 - model.base))
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        share = self.model.base
-        for i in features(word):
-            toxic, n = float(self.model.toxic[i]), float(self.model.toxic[i] + self.model.clean[i])
-            if n >= SUPPORT:
-                share = (toxic + PRIOR * share) / (n + PRIOR)
-        odds = min(math.log(share / (1 - share)) - self.odds, MOST)
-        value = self[word] = odds - TAKEN if odds > LEAST else -GAP
-        return value
+        self.model, self.odds, self.memo = model, math.log(model.base / (1 - model.base)), Memo(self.learn)
+
+    def learn(self, words: list[bytes]) -> Iterable[tuple[bytes, float]]:
+        share = np.full(len(words), self.model.base)
+        for slots in features(words).T:
+            toxic = self.model.toxic[slots].astype(np.float64)
+            n = toxic + self.model.clean[slots]
+            share = np.where((slots >= 0) & (n >= SUPPORT), (toxic + PRIOR * share) / (n + PRIOR), share)
+        odds = np.minimum(np.log(share / (1 - share)) - self.odds, MOST)
+        return zip(words, np.where(odds > LEAST, odds - TAKEN, -GAP).tolist())
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The scores of each text's tokens."""
+        known = self.memo.of({w for words in texts for w in words})
+        return [np.fromiter(map(known.__getitem__, words), np.float64, len(words)) for words in texts]
 
 
 def held_out(id_col, mod: int, rest: int):
@@ -137,18 +156,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
     texts = id_and_text(docs, id_col, text_col).join(F.broadcast(known), "id")
 
     def fill(batches):
-        counts, memo = np.zeros(2 * SLOTS + 2, np.int64), {}
+        counts = np.zeros(2 * SLOTS + 2, np.int64)
         for batch in slices(batches):
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                if len(memo) > MEMO_ENTRIES // 4:
-                    memo.clear()
-                found: set[int] = set()
-                for word in {*plain_words(text)}:
-                    if word not in memo:
-                        memo[word] = features(word)
-                    found.update(memo[word])
+            held = [{*plain_words(text)} for text in batch.column("text").to_pylist()]
+            words = list(set().union(*held))
+            place, slots = dict(zip(words, range(len(words)))), features(words) if words else None
+            for own, toxic in zip(held, batch.column("toxic").to_pylist()):
                 which = toxic == 1
-                counts[np.fromiter(found, np.int64, len(found)) + SLOTS * which] += 1
+                if own:
+                    found = np.unique(slots[np.fromiter(map(place.__getitem__, own), np.int64, len(own))])
+                    counts[found[found >= 0] + SLOTS * which] += 1
                 counts[2 * SLOTS + which] += 1
         return counts
 
@@ -203,9 +220,8 @@ def _segments(df: DataFrame, model: Model, more: str = "") -> DataFrame:
         scores = TokenScores(model)
         for batch in slices(batches):
             best, sizes, evidence, passages = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = plain_words(text)
-                values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
+            texts = [plain_words(text) for text in batch.column("text").to_pylist()]
+            for words, values in zip(texts, scores.of(texts)):
                 found = maximal_segments(values) if len(words) and values.max() > 0 else []
                 best.append(max((v for _, _, v in found), default=0.0))
                 sizes.append(len(words))
