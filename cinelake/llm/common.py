@@ -125,28 +125,25 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def summed_array(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], width: int, chunk: int = 4096, merge: np.ufunc = np.add) -> np.ndarray:
-    """The sum (or another merge) over all tasks of the int64 array of fixed `width` that `fill` makes of a task's batches.
+def summed_array(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarray], width: int, chunk: int = 4096, merge: np.ufunc = np.add, sent: str = "<i8") -> np.ndarray:
+    """The sum (or another merge) over all tasks of the integer array of fixed `width` that `fill` makes of a task's batches.
 
     Tasks send chunks, equal chunks meet in one task that merges them as they come; the driver
-    gets `width` numbers whatever the size of the input.
+    gets `width` numbers whatever the size of the input. `sent` is the type in which a task's own numbers travel.
     """
 
     def send(batches):
         total = fill(batches)
         for i in range(0, width, chunk):
             if (piece := total[i : i + chunk]).any():
-                yield pa.RecordBatch.from_pydict({"part": pa.array([i // chunk], pa.int32()), "data": pa.array([piece.astype("<i8").tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([i // chunk], pa.int32()), "data": pa.array([piece.astype(sent).tobytes()], pa.binary())})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                piece = np.frombuffer(data.as_buffer(), "<i8")
-                if part in sums:
-                    merge(sums[part], piece, out=sums[part])
-                else:
-                    sums[part] = piece.copy()
+                piece = np.frombuffer(data.as_buffer(), sent).astype(np.int64)
+                sums[part] = merge(sums[part], piece) if part in sums else piece
         for part, piece in sums.items():
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([piece.tobytes()], pa.binary())})
 

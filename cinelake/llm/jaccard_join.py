@@ -19,8 +19,8 @@ from cinelake.llm.components import components
 WORDS = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Counters of the words' frequencies, which only order the shingles: any order gives the same links.
-COUNTERS = 1 << 18
+#: Counters of the words' frequencies, which only order the shingles: any order gives the same links. Tasks get them as steps of a logarithm, a byte each.
+COUNTERS, STEPS = 1 << 22, 6
 #: Documents and shingles of a block; a larger candidate group is dealt into blocks, and pairs of blocks into tasks.
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 1_500_000
 #: Weighs probing long lists against merging them, as DivideSkip's mu.
@@ -34,16 +34,19 @@ def _counters(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """How often words occur in all texts, in a fixed number of hashed counters."""
+    """How often words occur in all texts, in a fixed number of hashed counters, as logarithms in whole steps."""
 
     def fill(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                np.add.at(counts, _counters(hash_words(ascii_words(text))), 1)
+            found = [_counters(hash_words(ascii_words(text))) for text in batch.column("text").to_pylist()]
+            if found:
+                at, times = np.unique(np.concatenate(found), return_counts=True)
+                counts[at] += times.astype(np.uint32)
         return counts
 
-    return summed_array(id_and_text(docs, id_col, text_col), fill, COUNTERS)
+    counts = summed_array(id_and_text(docs, id_col, text_col), fill, COUNTERS, 1 << 14, sent="<u4")
+    return np.minimum(np.log2(counts + 1.0) * STEPS, 255).astype(np.uint8)
 
 
 def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
@@ -179,6 +182,29 @@ def _verified(groups: DataFrame, k: int, percent: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(id, cluster, block, i, j): the pairs of blocks in which each member (node, component, n) of a candidate group is compared.
+
+    A group of up to a block is compared as a whole. A larger one is cut into size classes such that
+    linked sets lie in the same or in neighbouring ones, classes are dealt into blocks by hash, and
+    only blocks of the same or neighbouring classes meet. A block's number holds its class.
+    """
+    wide = math.log(max(100 / percent, 1 + 1e-6)) * (1 + 1e-9)
+    blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    rows = members.withColumn("class", F.floor(F.log("n") / wide))
+    large = rows.join(rows.groupBy("component").agg(blocks().alias("blocks")), "component")
+    whole = large.filter("blocks = 1").select(F.col("node").alias("id"), F.col("component").alias("cluster"), *(F.lit(0).cast("long").alias(c) for c in ("block", "i", "j")))
+    cut = large.filter("blocks > 1").drop("blocks")
+    classes = cut.groupBy("component", "class").agg(blocks().alias("blocks"))
+    met = classes.select("component", "class", "blocks", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("other")).join(
+        classes.select("component", F.col("class").alias("other"), F.col("blocks").alias("others")), ["component", "other"]
+    )
+    number = lambda c, b: F.shiftleft(c.cast("long"), 24) + b
+    dealt = cut.join(met, ["component", "class"]).select("node", "component", number(F.col("class"), F.pmod(F.xxhash64("node"), "blocks")).alias("block"), "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("b"))
+    other = number(F.col("other"), F.col("b"))
+    return whole.unionByName(dealt.select(F.col("node").alias("id"), F.col("component").alias("cluster"), "block", F.least("block", other).alias("i"), F.greatest("block", other).alias("j")))
+
+
 def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the distinct k-word shingles and the smallest id reachable by links.
 
@@ -189,7 +215,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     Any two linked sets share one of their rarest shingles (a prefix of each set in one order of all
     shingles), so documents that share none of those never meet. The documents of a shared shingle
     are chained by size, chains form candidate groups, and each group is searched by DivideSkip on
-    whole sets, large groups in pairs of blocks. Links, not guesses, make the components.
+    whole sets, large groups in pairs of blocks of like size. Links, not guesses, make the components.
     """
     counts = word_counts(docs, id_col, text_col)
     signed, _ = materialize(signatures(docs, counts, k, percent, id_col, text_col), "signatures")
@@ -201,11 +227,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     grouped = components(chained.select(F.col("id").alias("a"), "b"))
     sized = grouped.join(classes, grouped.node == classes.rep).select("node", "component", "n")
     members, _ = materialize(sized, "members")
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    paired = dealt.select(F.col("node").alias("id"), F.col("component").alias("cluster"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    paired = block_pairs(members, percent)
     texts = id_and_text(docs, id_col, text_col).join(paired, "id")
     links = _verified(texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id"), k, percent)
     linked = components(links)
