@@ -493,3 +493,71 @@ def multi_value_split(t: Table) -> DataFrame:
     mark = F.when(F.col("p_partkey") % 3 == 0, ", ").when(F.col("p_partkey") % 3 == 1, " / ").otherwise(";")
     raw = F.concat("p_name", mark, "p_brand", F.lit("|"), F.upper("p_name"))
     return t("part").select("p_partkey", F.array_join(text.distinct_by_key(text.split_values(raw)), "; ").alias("vals"))
+
+
+@query("select o_orderkey, case when year(o_orderdate) >= 2000 then o_orderdate::date end as day, case when year(o_orderdate) >= 2000 then strftime(o_orderdate, '%Y-%m-%d') end as of_iso from orders")
+def spelled_dates(t: Table) -> DataFrame:
+    """Days of texts that name a year of this century, spelled or in ISO form."""
+    from cinelake.sources import box_office
+
+    spelled = F.date_format("o_orderdate", "EEEE, MMMM d, yyyy")
+    return t("orders").select("o_orderkey", box_office.spelled_date(spelled).alias("day"), box_office.spelled_date(F.date_format("o_orderdate", "yyyy-MM-dd")).cast("string").alias("of_iso"))
+
+
+@query("select p_partkey, greatest(p_size, 6) as told, case when p_size % 2 = 0 then 12 else 6 end as of_season from part")
+def episode_counts_told(t: Table) -> DataFrame:
+    """`six episodes` and a count in digits: the larger one; `12 S2 episodes` counts for season 2 alone."""
+    from cinelake.functions import seasons
+
+    said = F.concat(F.lit("six episodes, then "), F.col("p_size").cast("string"), F.lit(" episodes"))
+    own = F.concat(F.lit("six episodes; 12 S0"), (F.col("p_size") % 2).cast("string"), F.lit(" episodes"))
+    return t("part").select("p_partkey", seasons.told_episodes(said, F.lit(1)).alias("told"), seasons.told_episodes(own, F.lit(0)).alias("of_season"))
+
+
+@query(
+    "select p_partkey, p_name as title, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) as key, "
+    "'https://www.metacritic.com/' || case when p_size % 3 = 0 then 'movie' else 'tv' end || '/' || trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '/' as page_url from part"
+)
+def calendar_titles(t: Table) -> DataFrame:
+    """A calendar's titles come clean of score, price mark and trailer, with the key and address that they have."""
+    from cinelake.sources import calendars
+
+    written = F.concat(F.lit("tbd ($) "), F.col("p_name"), F.lit(" - Trailer2 and more"))
+    kind = F.when(F.col("p_size") % 3 == 0, "Movie").otherwise("TV Series")
+    return t("part").select("p_partkey", calendars.clean_title(written).alias("title"), calendars.calendar_key(written).alias("key"), calendars.page_url(written, F.lit(""), kind, F.lit(""), "tv").alias("page_url"))
+
+
+@query(
+    "select o_orderkey, case o_orderkey % 4 when 0 then 'Streaming (Netflix)' when 1 then 'Limited/VOD; IMAX' when 2 then 'RENT/BUY' else 'WIDE; LA/NY' end as availability, "
+    "case o_orderkey % 4 when 0 then 'Streaming Movie' when 1 then 'VOD Movie' when 2 then 'VOD Movie' else 'Movie' end as content_format from orders"
+)
+def availability_terms(t: Table) -> DataFrame:
+    from cinelake.sources import calendars
+
+    texts = ["Drama streaming (netflix)", "Drama Limited/VOD and imax", "rent/buy from now", "LA/NY first, then wide"]
+    said = F.when(F.lit(False), "")
+    for i, x in enumerate(["Drama Streaming (Netflix)", *texts[1:]]):
+        said = said.when(F.col("o_orderkey") % 4 == i, F.lit(x))
+    found = F.array_join(calendars.availability_values(said), "; ")
+    return t("orders").select("o_orderkey", found.alias("availability"), classify.movie_content_format(found).alias("content_format"))
+
+
+@query()
+def page_blocks(t: Table) -> DataFrame:
+    """Text, headings, table rows and links of pages in order; hand-made pages test them."""
+    from cinelake.sources import blocks
+
+    return blocks.blocks(t("pages")).select("page_id", "pos", "kind", "table_no", "line", F.size("cells").alias("n_cells"), F.size("links").alias("n_links"))
+
+
+@query(
+    "select event_id, greatest(k, 1) as season, 8 as episodes from (select event_id, cast(json_extract(props, '$.k') as int) as k from events) where k is not null"
+)
+def season_answers(t: Table) -> DataFrame:
+    """Season fields of catalogue answers: the preferred season where the answer has it, else its latest."""
+    from cinelake.sources import lookups
+
+    wanted = F.get_json_object("props", "$.k").cast("int")
+    body = F.concat(F.lit('{"seasons": [{"season_number": 0, "episode_count": 99}, {"season_number": 1, "episode_count": 8}, {"season_number": '), F.greatest(wanted, F.lit(1)).cast("string"), F.lit(', "episode_count": 8}]}'))
+    answers = t("events").select("event_id", wanted.alias("wanted"), body.alias("body")).filter("wanted is not null")
+    return lookups.season_fields(answers, "wanted").select("event_id", "season", "episodes")
