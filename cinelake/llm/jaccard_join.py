@@ -90,13 +90,20 @@ def signatures(docs: DataFrame, counts: np.ndarray, k: int, percent: int, id_col
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "id long, n long, digest binary, prefix array<long>")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def divide_skip(ids: list[int], sets: list[np.ndarray], sides: list[int] | None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join the documents of a group, enough of them for its components.
 
     Documents come by size. For each one the postings of its shingles among the smaller ones are
     split: the longest lists are set aside, the short ones are merged, and only documents that the
-    short lists hold often enough are probed in the long ones by binary search. A document that is
-    already connected isn't probed again. With sides, only documents of different sides are compared.
+    short lists hold often enough are probed in the long ones by binary search. Before that, a
+    document is compared with one of the largest component among those it may link with: in a group
+    of copies that connects it, and documents that are connected needn't be found. With sides, only
+    documents of different sides are compared.
     """
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets = [ids[i] for i in order], [sets[i] for i in order]
@@ -118,6 +125,16 @@ def divide_skip(ids: list[int], sets: list[np.ndarray], sides: list[int] | None,
         smallest = bisect_left(sizes, -(-percent * n // 100), 0, x)
         if smallest == x:
             continue
+        may = np.arange(smallest, x) if side is None else smallest + np.flatnonzero(side[smallest:x] != side[x])
+        if not len(may):
+            continue
+        of = root[may]
+        y = int(may[np.flatnonzero(of == np.bincount(of).argmax())[-1]])
+        if root[y] != root[x] and _linked(sets[x], sets[y], percent):
+            out.append((ids[x], ids[y]))
+            root[root == root[x]] = root[y]
+        if (root[may] == root[x]).all():
+            continue
         terms = term[offsets[x] : offsets[x + 1]]
         starts, ends = bounds[terms], place[offsets[x] : offsets[x + 1]]
         lengths = ends - starts
@@ -133,7 +150,8 @@ def divide_skip(ids: list[int], sets: list[np.ndarray], sides: list[int] | None,
             merged = [(y, sum(1 for _ in same)) for y, same in groupby(heapq.merge(*(p.tolist() for p in lists)))]
             found, hits = (np.array(v, np.int64) for v in zip(*merged)) if merged else (np.empty(0, np.int64),) * 2
         else:
-            found, hits = np.unique(np.concatenate(lists), return_counts=True)
+            posted = np.concatenate(lists)
+            found, hits = np.unique(posted[(posted >= smallest) & (root[posted] != root[x])], return_counts=True)
         keep = (hits >= need - aside) & (found >= smallest) & (root[found] != root[x])
         if side is not None:
             keep &= side[found] != side[x]
