@@ -228,6 +228,42 @@ def test_near_lines_of_a_large_group_are_found(spark):
     assert sum(out[i] for i in range(150)) >= 140 and not any(out[1_000 + i] for i in range(150))
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, v in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, w in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (v != w))
+    return row[-1]
+
+
+def test_line_groups_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    lines = []
+    for n in (5, 6, 7, 9, 10, 11, 14, 19, 20, 40, 75, 130):
+        for _ in range(5):
+            base = rng.choices(words, k=n)
+            lines.append(base)
+            for share in (0.05, 0.1, 0.15, 0.2, 0.2, 0.25):
+                new = list(base)
+                for _ in range(max(1, int(n * share))):
+                    at, how = rng.randrange(len(new)), rng.random()
+                    new[at : at + 1] = [] if how < 0.2 else [rng.choice(words), new[at]] if how < 0.4 else [rng.choice(words)]
+                lines.append(new)
+    lines = [*dict.fromkeys(" ".join(v) for v in lines)]
+    split = [v.split(" ") for v in lines]
+    group = list(range(len(lines)))
+    for i, a in enumerate(split):
+        for j, b in enumerate(split[:i]):
+            most = max(len(a), len(b))
+            if min(len(a), len(b)) >= max(line_dedup.LEAST_WORDS, 0.8 * most) and edits(a, b) <= 0.2 * most + 1e-9:
+                old, new = sorted((group[i], group[j]), reverse=True)
+                group = [new if g == old else g for g in group]
+    out = {r["doc_id"]: r["n_dropped"] for r in collected(line_dedup.line_report(docs(spark, list(enumerate(lines)))))}
+    assert sorted(i for i in out if out[i]) == [i for i, g in enumerate(group) if g != i]
+
+
 # 5
 
 
