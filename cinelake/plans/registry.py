@@ -117,6 +117,13 @@ def dedupe_keep_first(t: Table) -> DataFrame:
     return dedupe.keep_first(rows, ["lang", "start"], ["doc_id"], drop_blank="start").select("doc_id", "lang", "start")
 
 
+@query("select min(doc_id) as doc_id, lang, lower(text) as start from documents where text is not null and text <> '' group by lang, lower(text)")
+def dedupe_keep_first_whole(t: Table) -> DataFrame:
+    """All languages, by their whole texts."""
+    rows = t("documents").select("doc_id", "lang", F.lower("text").alias("start"))
+    return dedupe.keep_first(rows, ["lang", "start"], ["doc_id"], drop_blank="start").select("doc_id", "lang", "start")
+
+
 _LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
@@ -220,7 +227,7 @@ def schedule_diff(t: Table) -> DataFrame:
 @query("""with f as (select n_name, count(*) as n, min(o_orderkey) as first from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by 1)
 select n_name as distributor, n, row_number() over (order by n desc, first) as rank from f qualify rank <= 12""")
 def top12_distributors(t: Table) -> DataFrame:
-    named = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t("nation").select("n_nationkey", "n_name").limit(1000)), F.col("n_nationkey") == F.col("c_nationkey"))
+    named = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation").select("n_nationkey", "n_name"), F.col("n_nationkey") == F.col("c_nationkey"))
     return rollup.top_counts(named, "n_name", ["o_orderkey"], 12, "distributor").select("distributor", "n", "rank")
 
 
@@ -393,14 +400,25 @@ def json_walk(t: Table) -> DataFrame:
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""with w as (select conv_id, turn, role, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as item from conversations)
-select conv_id, turn, role, substr(heading, 1, 20) as heading, item from w""")
-def heading_carry_forward(t: Table) -> DataFrame:
+def _carried(t: Table) -> DataFrame:
     from cinelake.sources import html
 
     opened = html.carry_forward(t("conversations"), ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("text")), "heading")
     items = html.item_numbers(opened, ["conv_id"], "turn", F.col("role") == "user", "item")
-    return items.select("conv_id", "turn", "role", F.substring("heading", 1, 20).alias("heading"), "item")
+    return items.select("conv_id", "turn", "role", "heading", "item")
+
+
+@query("""with w as (select conv_id, turn, role, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as item from conversations)
+select conv_id, turn, role, substr(heading, 1, 20) as heading, item from w""")
+def heading_carry_forward(t: Table) -> DataFrame:
+    return _carried(t).select("conv_id", "turn", "role", F.substring("heading", 1, 20).alias("heading"), "item")
+
+
+@query("""with w as (select conv_id, turn, role, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as item from conversations)
+select conv_id, turn, role, heading, item from w""")
+def heading_carry_forward_whole(t: Table) -> DataFrame:
+    """With whole headings."""
+    return _carried(t)
 
 
 @query("select conv_id, turn, n as next_role from (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn) as n from conversations) where role = 'user' and n = 'assistant'")

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cinelake.operators import changes, dedupe, facets, history, ingest, resolve, rollup, validate
+from cinelake.plans import registry
 from cinelake.sources import html, sinks, tsv, workbook
 
 
@@ -119,3 +120,18 @@ def test_streams_keep_the_first_row(spark, tmp_path):
     stream = feeds.first_seen(feeds.landed(spark, str(tmp_path / "in"), df.schema), ["url"], "ts")
     feeds.append_to(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_queries_take_the_whole_tables(spark, tmp_path):
+    def put(name, data, schema):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    put("documents", [(3, "en", "A" * 60 + "x"), (1, "en", "a" * 60 + "X"), (2, "en", "a" * 60 + "y"), (4, "fr", "a" * 60 + "x"), (5, "en", ""), (6, "en", None)], "doc_id long, lang string, text string")
+    put("conversations", [(1, 0, "user", "h" * 30), (1, 1, "assistant", "t")], "conv_id long, turn int, role string, text string")
+    put("orders", [(i, i) for i in range(1100)], "o_orderkey long, o_custkey long")
+    put("customer", [(i, i) for i in range(1100)], "c_custkey long, c_nationkey long")
+    put("nation", [(i, "N") for i in range(1100)], "n_nationkey long, n_name string")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path))
+    assert [r.doc_id for r in run("dedupe_keep_first_whole").orderBy("doc_id").collect()] == [1, 2, 4]
+    assert {r.heading for r in run("heading_carry_forward_whole").collect()} == {"h" * 30}
+    assert [(r.distributor, r.n) for r in run("top12_distributors").collect()] == [("N", 1100)]
