@@ -5,10 +5,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
+import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,8 +34,17 @@ URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: The shortest secret (18 characters, or 16 of hex) takes 22 characters of base64.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
-#: Bytes that one compressed layer may grow to; what is longer is no text that someone pasted, and is read up to there.
-MOST_INFLATED = 1 << 24
+#: Runs on lines that follow each other, maybe indented: base64 that was wrapped.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+LEAST_ENCODED = 22
+#: Where compressed bytes may start: gzip, zlib, bz2, xz, zstd.
+MAGIC = re.compile(rb"\x1f\x8b|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Bytes that are inflated, and characters that are scanned, at a time.
+PIECE = 1 << 20
+#: A line break next to what is neither base64 nor blank: no match, run or escape goes across it.
+SAFE_BREAK = re.compile(r"(?:[^A-Za-z0-9+/_\-\s]\r?|(?<=\n))\n")
+_SIMPLE = {"n": 10, "r": 13, "t": 9, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11, "\\": 92, "'": 39, '"': 34}
+_BYTES = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|\\U000000([0-9A-Fa-f]{2})|&#[xX]0{0,4}([0-9A-Fa-f]{1,2});|&#0{0,4}([0-9]{1,3});|\\([nrt0abfv\\'\"])")
 
 
 @dataclass(frozen=True)
@@ -60,40 +71,126 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def _readable(data: bytes) -> str | None:
-    """Text, if the bytes are UTF-8 of which nearly all is printable."""
+def _texts(chunks: Iterable[bytes], whole: bool) -> Iterator[str]:
+    """The bytes as UTF-8; of those that aren't whole, half a character at the end goes."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    for chunk in chunks:
+        yield decoder.decode(chunk)
+    decoder.decode(b"", whole)
+
+
+def _readable(chunks: Iterable[bytes], whole: bool) -> bool:
+    """Whether the bytes are UTF-8 of which nearly all is printable."""
+    n = odd = 0
     try:
-        text = data.decode("utf-8")
+        for text in _texts(chunks, whole):
+            n += len(text)
+            plain = text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable()
+            odd += 0 if plain else sum(not (c.isprintable() or c in "\n\r\t") for c in text)
     except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\n\r\t") for c in text)
-    return text if text and odd * 20 <= len(text) else None
+        return False
+    return n > 0 and odd * 20 <= n
+
+
+def _pieces(texts: Iterable[str]) -> Iterator[str]:
+    """The texts as one, cut only where no match, run or escape can go across, if there is such a place."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= PIECE:
+            whole = "".join(held)
+            if breaks := [m.end() for m in SAFE_BREAK.finditer(whole)]:
+                yield whole[: breaks[-1]]
+                whole = whole[breaks[-1] :]
+            held, size = [whole], 0
+    if rest := "".join(held):
+        yield rest
+
+
+def _opened(head: bytes):
+    """The decompressor for bytes that begin like this, or None."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] & 0x0F == 8 and (head[0] << 8 | head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
 
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
 
-def _inflate(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        try:
-            return zlib.decompressobj(47).decompress(data, MOST_INFLATED)
-        except zlib.error:
-            return None
-    if data[:3] == b"BZh":
-        try:
-            return bz2.BZ2Decompressor().decompress(data, MOST_INFLATED)
-        except OSError:
-            return None
-    if data[:6] == b"\xfd7zXZ\0":
-        try:
-            return lzma.LZMADecompressor().decompress(data, MOST_INFLATED)
-        except lzma.LZMAError:
-            return None
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        import zstandard
 
+def _inflated(chunks: Iterable[bytes], used: list[int] | None = None) -> Iterator[bytes]:
+    """All members of compressed bytes one after the other, in pieces; ends at what is no member or is broken.
+
+    `used` gets the number of bytes that were read up to the end of the last member.
+    """
+    opened, held, taken, source = None, b"", 0, iter(chunks)
+    while True:
+        if opened is None:
+            while len(held) < 6 and (more := next(source, None)) is not None:
+                held += more
+            if taken:
+                taken += len(held) - len(held := held.lstrip(b"\0"))
+            if (opened := _opened(held)) is None:
+                return
+        if not held and (held := next(source, b"")) == b"":
+            return
+        limit = 256 if (kind := type(opened).__module__).startswith("zstandard") or "backend" in kind else 1 << 16
+        piece, held = held[:limit], held[limit:]
         try:
-            return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:MOST_INFLATED]
-        except zstandard.ZstdError:
-            return None
-    return None
+            if hasattr(opened, "unconsumed_tail"):
+                out = opened.decompress(piece, PIECE)
+                back = opened.unused_data if opened.eof else opened.unconsumed_tail
+            elif hasattr(opened, "needs_input"):
+                out = opened.decompress(piece, PIECE)
+                while out and not opened.eof and not opened.needs_input:
+                    yield out
+                    out = opened.decompress(b"", PIECE)
+                back = opened.unused_data if opened.eof else b""
+            else:
+                out = opened.decompress(piece)
+                back = opened.unused_data if opened.eof else b""
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, RuntimeError):
+            return
+        except Exception as error:
+            if type(error).__name__ == "ZstdError":
+                return
+            raise
+        taken += len(piece) - len(back)
+        held = back + held
+        if used is not None:
+            used[0] = taken
+        if out:
+            yield out
+        if opened.eof:
+            opened = None
+
+
+def _unpacked(data: bytes) -> tuple[Callable[[], Iterable[bytes]], int]:
+    """The bytes without their layers of compression, as a function that reads them anew, and the number of layers."""
+    source, depth, seen = lambda: iter([data]), 0, set()
+    while True:
+        inner = lambda outer=source: _inflated(outer())
+        digest, size = hashlib.blake2b(), 0
+        for chunk in inner():
+            digest.update(chunk)
+            size += len(chunk)
+        if not size or digest.digest() in seen:
+            return source, depth
+        seen.add(digest.digest())
+        source, depth = inner, depth + 1
+
+
+def _layers(data: bytes, span: tuple[int, int], path: str, least: int = 0) -> Iterator[Layer]:
+    """The text in the bytes, of at least so many layers of compression, piece by piece."""
+    source, depth = _unpacked(data)
+    if depth >= least and _readable(source(), depth == 0):
+        for text in _pieces(_texts(source(), depth == 0)):
+            yield Layer(text, span, None, path + "+inflate" * depth)
 
 
 def _substituted(layer: Layer, found: list[tuple[int, int, str]], name: str) -> Layer:
@@ -138,54 +235,115 @@ def _unicode(layer: Layer) -> Layer | None:
     return _substituted(layer, found, "unicode") if found else None
 
 
+def _runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """Base64 runs: of one line, and of the lines of wrapped ones joined.
+
+    Lines that were wrapped together are of one length but for the last, which may also be a word
+    of what follows; a chain of lines of other lengths is tried as one too.
+    """
+    for m in BASE64.finditer(text):
+        yield m[0], m.start(), m.end()
+    for m in WRAPPED.finditer(text):
+        lines = [(k.start() + m.start(), k.end() + m.start()) for k in re.finditer(r"[^\s]+", m[0])]
+        sizes = [len(text[a:b].rstrip("=")) for a, b in lines]
+        tried, i = {(0, len(lines))}, 0
+        while i < len(lines):
+            j = i + 1
+            while j < len(lines) and sizes[j] == sizes[i]:
+                j += 1
+            tried.add((i, j))
+            if j < len(lines) and sizes[j] < sizes[i]:
+                tried.add((i, j + 1))
+            i = j
+        for i, j in sorted(tried):
+            if j - i > 1 and sum(sizes[i:j]) >= LEAST_ENCODED:
+                yield "".join(text[a:b] for a, b in lines[i:j]), lines[i][0], lines[j - 1][1]
+
+
 def _encoded(layer: Layer) -> Iterator[Layer]:
     """Texts in base64, plain or compressed, each with the span of its run."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    for found, start, end in _runs(layer.text):
+        run = found.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
             run = run[:-1]
         try:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        name, span = "base64", _original(layer, m.start(), m.end())
-        seen = set()
-        while (inner := _inflate(data)) is not None and inner not in seen:
-            seen.add(inner)
-            data, name = inner, name + "+inflate"
-        if (text := _readable(data)) is not None:
-            yield Layer(text, span, None, f"{layer.path}/{name}")
+        yield from _layers(data, _original(layer, start, end), f"{layer.path}/base64")
+
+
+def _raw(layer: Layer, name: str, escape: re.Pattern, value: Callable[[re.Match], int], plus: bool = False) -> Iterator[Layer]:
+    """Texts in compressed bytes that are written with escapes, other bytes as the characters they are."""
+    for start, end in ((m.start(), m.end()) for m in re.finditer(r"[\x00-\x09\x0b-\x7f]+", layer.text)):
+        data, at, last = bytearray(), [], start
+        for m in escape.finditer(layer.text, start, end):
+            if (byte := value(m)) > 255:
+                continue
+            between = layer.text[last : m.start()]
+            data += (between.replace("+", " ") if plus else between).encode("ascii")
+            at += range(last, m.start())
+            data.append(byte)
+            at.append(m.start())
+            last = m.end()
+        if not at or last == start:
+            continue
+        between = layer.text[last:end]
+        data += (between.replace("+", " ") if plus else between).encode("ascii")
+        at += [*range(last, end), end]
+        place, view = 0, bytes(data)
+        after = lambda i: (view[k : k + 4096] for k in range(i, len(view), 4096))
+        while (m := MAGIC.search(view, place)) is not None:
+            used, size, place = [0], 0, m.start() + 1
+            for chunk in _inflated(after(m.start()), used):
+                size += len(chunk)
+            if not size:
+                continue
+            stop = m.start() + used[0]
+            yield from _layers(view[m.start() : stop], _original(layer, at[m.start()], at[stop]), f"{layer.path}/{name}", 1)
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers right under this one."""
+    yield from _encoded(layer)
+    if "%" in layer.text:
+        if (new := _url(layer)) is not None:
+            yield new
+            for plus in (False, True)[: 1 + ("+" in layer.text)]:
+                yield from _raw(layer, "url", re.compile("%([0-9A-Fa-f]{2})"), lambda m: int(m[1], 16), plus)
+    if "\\" in layer.text or "&#" in layer.text:
+        if (new := _unicode(layer)) is not None:
+            yield new
+            yield from _raw(layer, "unicode", _BYTES, lambda m: _SIMPLE[m[7]] if m[7] else int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
     """Base matches of the text, and those that decoded layers add: (kind, start, end[, path]) in code points of the original.
 
-    The worklist holds layers not yet read. A layer is a whole text with its escapes replaced, or
-    what a base64 run holds; each is scanned and unwrapped in turn. Layers of equal text and place
+    The worklist holds layers not yet read, made as they are wanted. A layer is a whole text with
+    its escapes replaced, or a piece of what a base64 run or compressed bytes hold; each is scanned
+    and unwrapped in turn. Layers of equal text and place
     are read once, so decoding that leads back to an earlier layer ends.
     """
     if not text:
         return [], []
     base = list(base_matches(text))
     known, more = set(base), []
-    work, seen = [Layer(text, (0, len(text)), None, "")], {(text, (0, len(text)))}
+    work, seen = [iter([Layer(text, (0, len(text)), None, "")])], set()
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if (key := (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span)) in seen:
+            continue
+        seen.add(key)
         if layer.path:
             for kind, start, end in base_matches(layer.text):
                 at = (kind, *_original(layer, start, end))
                 if at not in known:
                     known.add(at)
                     more.append((*at, layer.path))
-        inner = [*_encoded(layer)]
-        if "%" in layer.text:
-            inner.append(_url(layer))
-        if "\\" in layer.text or "&#" in layer.text:
-            inner.append(_unicode(layer))
-        for new in inner:
-            if new is not None and (key := (new.text, new.span)) not in seen:
-                seen.add(key)
-                work.append(new)
+        work.append(_inner(layer))
     return base, more
 
 

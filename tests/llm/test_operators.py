@@ -1,12 +1,15 @@
 """The ten operators against plain versions, exact round trips or held-out accuracy, and their odd cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import pytest
@@ -165,6 +168,27 @@ def test_escapes_map_to_their_characters():
     assert [m[:3] for m in secrets.scan(text)[1] if m[0] == "access"] == [("access", 3, 27)]
 
 
+NOISE = base64.b85encode(bytes(random.Random(7).randrange(256) for _ in range(300)))
+
+
+@pytest.mark.parametrize("width", [60, 64, 76])
+@pytest.mark.parametrize("pack", [lambda s: s, gzip.compress, bz2.compress])
+@pytest.mark.parametrize("at", [0, 40, 50, 60, 250])
+def test_wrapped_base64_is_one_run(width, pack, at):
+    data = base64.b64encode(pack(NOISE[:at] + f" {KEY} ".encode() + NOISE[at:])).decode()
+    inner = "\n".join(data[i : i + width] for i in range(0, len(data), width))
+    text = f"Certificate\n{inner}\nRegards"
+    assert any(m[0] == "access" and text[m[1] : m[2]].startswith(data[:20]) for m in secrets.scan(text)[1])
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+@pytest.mark.parametrize("write", [quote, quote_plus, lambda b: repr(b)[2:-1], lambda b: "".join(f"\\u{c:04x}" for c in b), lambda b: "".join(f"&#{c};" for c in b)])
+def test_escaped_compressed_bytes_are_inflated(pack, write):
+    inner = write(pack(NOISE + f" {KEY} ".encode()))
+    text = f"é before {inner} after"
+    assert [m[1:3] for m in secrets.scan(text)[1] if m[0] == "access"] == [(9, 9 + len(inner))]
+
+
 def test_secret_rows(spark):
     rows = [*ODD, (10, f"token='abcdefghijkl' {KEY}"), (11, "%25" * 2_000)]
     out = {r["doc_id"]: r for r in collected(secrets.secret_digests(docs(spark, rows)))}
