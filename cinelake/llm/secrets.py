@@ -41,6 +41,7 @@ LEAST_ENCODED = 22
 MAGIC = re.compile(rb"\x1f\x8b|[\x08\x18\x28\x38\x48\x58\x68\x78][\x00-\xff]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: Bytes that are inflated, and characters that are scanned, at a time.
 PIECE = 1 << 20
+_ZLIB = type(zlib.decompressobj())
 #: A line break next to what is neither base64 nor blank: no match, run or escape goes across it.
 SAFE_BREAK = re.compile(r"(?:[^A-Za-z0-9+/_\-\s]\r?|(?<=\n))\n")
 _SIMPLE = {"n": 10, "r": 13, "t": 9, "0": 0, "a": 7, "b": 8, "f": 12, "v": 11, "\\": 92, "'": 39, '"': 34}
@@ -139,13 +140,14 @@ def _inflated(chunks: Iterable[bytes], used: list[int] | None = None) -> Iterato
                 return
         if not held and (held := next(source, b"")) == b"":
             return
-        limit = 256 if (kind := type(opened).__module__).startswith("zstandard") or "backend" in kind else 1 << 16
+        # of zstd only the input can be bounded
+        limit = 1 << 16 if isinstance(opened, (_ZLIB, bz2.BZ2Decompressor, lzma.LZMADecompressor)) else 256
         piece, held = held[:limit], held[limit:]
         try:
-            if hasattr(opened, "unconsumed_tail"):
+            if isinstance(opened, _ZLIB):
                 out = opened.decompress(piece, PIECE)
                 back = opened.unused_data if opened.eof else opened.unconsumed_tail
-            elif hasattr(opened, "needs_input"):
+            elif limit > 256:
                 out = opened.decompress(piece, PIECE)
                 while out and not opened.eof and not opened.needs_input:
                     yield out

@@ -13,6 +13,7 @@ from urllib.parse import quote, quote_plus
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -189,6 +190,24 @@ def test_escaped_compressed_bytes_are_inflated(pack, write):
     assert [m[1:3] for m in secrets.scan(text)[1] if m[0] == "access"] == [(9, 9 + len(inner))]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, lambda s: zstandard.ZstdCompressor().compress(s)])
+def test_all_members_are_read_whole(pack):
+    members = base64.b64encode(pack(b"one\n") + pack(f"{KEY}\n".encode())).decode()
+    assert [m[0] for m in secrets.scan(members)[1]] == ["access"]
+    long = base64.b64encode(pack(("é a line.\n" * 1_600_000 + KEY).encode())).decode()
+    assert "access" in [m[0] for m in secrets.scan(long)[1]]
+    early = base64.b64encode(pack((f"{KEY}. " + "é" * (9 << 20)).encode())).decode()
+    assert "access" in [m[0] for m in secrets.scan(early)[1]]
+
+
+def test_pieces_cut_no_match(monkeypatch):
+    text = "".join(f"line {i}.\ntoken = abcdefghij{i:06}.\n" for i in range(300))
+    monkeypatch.setattr(secrets, "PIECE", 50)
+    pieces = list(secrets._pieces(text[i : i + 7] for i in range(0, len(text), 7)))
+    assert "".join(pieces) == text and len(pieces) > 100
+    assert sum(len(list(secrets.base_matches(p))) for p in pieces) == 300
+
+
 def test_secret_rows(spark):
     rows = [*ODD, (10, f"token='abcdefghijkl' {KEY}"), (11, "%25" * 2_000)]
     out = {r["doc_id"]: r for r in collected(secrets.secret_digests(docs(spark, rows)))}
