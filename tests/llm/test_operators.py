@@ -492,6 +492,17 @@ def test_kneser_ney_shares_sum_to_one(spark):
     assert abs(sum(r.value for r in rows) - 1) < 1e-9
 
 
+def test_no_ngram_of_the_corpus_is_lost(spark):
+    rng = random.Random(5)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(8_000))
+    model = language_id.fit(docs(spark, [(1, text)]).withColumn("lang", F.lit("zz")))
+    syms, first, end = language_id.symbols([text])
+    own = np.unique(language_id.codes(syms)[first[0] : end[0]])
+    assert len(model.grams[0, 4][0]) == len(own)
+    other = np.setdiff1d(language_id.codes(language_id.symbols(["".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(20_000))])[0]), own)
+    assert not language_id._at(model.grams[0, 4], language_id.slot(other), 0.0)[1].any()
+
+
 def test_a_text_costs_the_same_in_any_batch():
     model = language_id.Model(["aa"])
     code = np.unique(language_id.codes(language_id.symbols(["abc abd"])[0]))
