@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import os
 import random
 import re
 import zlib
@@ -18,7 +19,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cinelake.llm import byte_bpe, common, components, decontamination, jaccard_join, language_id, line_dedup, nearest, secrets, token_counts, toxicity, warc
+from cinelake.llm import byte_bpe, common, components, decontamination, jaccard_join, language_id, line_dedup, nearest, registry, secrets, token_counts, toxicity, warc
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, n long, id string, x string, node string"
@@ -541,3 +542,22 @@ def test_the_bound_holds():
     exact = (a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T
     for q in range(50):
         assert [c - 100 for i, _, c in found if i == q] == np.argsort(-exact[q])[:3].tolist()
+
+
+# queries
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["op6_jaccard_join", "op8_decontamination", "op10_nearest"])
+def test_queries_give_what_their_sql_gives(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"create view {table} as select * from read_parquet('/root/testdata/sf0.001/{table}.parquet')")
+    wanted = con.execute(registry.oracle_sql()[name])
+    names = sorted(d[0] for d in wanted.description)
+    order = [[d[0] for d in wanted.description].index(c) for c in names]
+    value = lambda v: round(v, 9) if isinstance(v, float) else v
+    rows = sorted((tuple(value(r[i]) for i in order) for r in wanted.fetchall()), key=repr)
+    found = registry.queries()[name](spark, "/root/testdata/sf0.001").select(names).collect()
+    assert rows and sorted((tuple(map(value, r)) for r in found), key=repr) == rows
