@@ -256,13 +256,26 @@ def test_lines_that_repeat_go_and_the_first_stays(spark):
 
 def test_fingerprints_vote_like_plain_python(spark):
     texts = [LINE, "tinyy words only", "alphabet " * 200]
-    votes = {r["id"]: r for r in collected(line_dedup.line_occurrences(docs(spark, list(enumerate(texts)))))}
-    again = {r["id"]: r for r in collected(line_dedup.line_occurrences(docs(spark, list(enumerate(t.upper() for t in texts)))))}
-    assert all(votes[i]["fp"] == again[i]["fp"] for i in votes)
+    prints = lambda rows: {r["id"]: r["fp"] for r in collected(line_dedup.with_fingerprint(spark.createDataFrame(rows, "id long, w array<string>")))}
+    assert prints([(i, t.split(" ")) for i, t in enumerate(texts)]) == prints([(i, t.split(" ")[::-1]) for i, t in enumerate(texts)])
     out = spark.createDataFrame([([0b0111, 0b0001, 0b0001, 0b0001, 0, 0, 2**63 - 1],)], "v array<long>").select(line_dedup.majority(F.col("v"))).first()[0]
     assert out == 1
 
 
+@pytest.mark.parametrize(
+    "a, b",
+    [
+        ("今天天气很好我们一起去公园散步吧然后再去吃一顿晚饭好吗", "今天天气很好我们一起去公园散步吧然后再去吃一顿午饭好吗"),
+        ("今天天气很好我们一起去公园散步吧然后再去吃一顿晚饭好吗" * 4, "今天天气很好我们一起去公园散步吧然后再去吃一顿午饭好吗" + "今天天气很好我们一起去公园散步吧然后再去吃一顿晚饭好吗" * 3),
+        ("we all like to go to the big red bus stop", "we all like to go to the big blue bus stop"),
+        ("international mountain guide services", "international mountain guide service"),
+    ],
+)
+def test_lines_without_spaces_or_long_words_are_near_too(spark, a, b):
+    out = {r["doc_id"]: r["n_dropped"] for r in collected(line_dedup.line_report(docs(spark, [(1, a), (2, b), (3, "something else"), (4, "x")])))}
+    assert out == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_near_lines_of_a_large_group_are_found(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(4_000)]
@@ -281,12 +294,21 @@ def edits(a, b):
     return row[-1]
 
 
-def test_line_groups_are_those_of_all_pairs(spark):
+def near_lines(a, b):
+    """Edit similarity of 0.8: in characters where the shorter line has less than SHORT, else in words."""
+    if min(len(a), len(b)) >= line_dedup.SHORT:
+        a, b = a.split(" "), b.split(" ")
+    most = max(len(a), len(b))
+    return min(len(a), len(b)) >= 0.8 * most and edits(a, b) <= 0.2 * most + 1e-9
+
+
+@pytest.mark.parametrize("sizes, least", [((10, 11, 12, 13), 1.0), ((19, 20, 40, 75, 130), 0.97)])
+def test_line_groups_are_those_of_all_pairs(spark, sizes, least):
     rng = random.Random(4)
-    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6 if least == 1 else 1, 12))) for _ in range(600)]
     lines = []
-    for n in (5, 6, 7, 9, 10, 11, 14, 19, 20, 40, 75, 130):
-        for _ in range(5):
+    for n in sizes:
+        for _ in range(8):
             base = rng.choices(words, k=n)
             lines.append(base)
             for share in (0.05, 0.1, 0.15, 0.2, 0.2, 0.25):
@@ -296,16 +318,30 @@ def test_line_groups_are_those_of_all_pairs(spark):
                     new[at : at + 1] = [] if how < 0.2 else [rng.choice(words), new[at]] if how < 0.4 else [rng.choice(words)]
                 lines.append(new)
     lines = [*dict.fromkeys(" ".join(v) for v in lines)]
-    split = [v.split(" ") for v in lines]
     group = list(range(len(lines)))
-    for i, a in enumerate(split):
-        for j, b in enumerate(split[:i]):
-            most = max(len(a), len(b))
-            if min(len(a), len(b)) >= max(line_dedup.LEAST_WORDS, 0.8 * most) and edits(a, b) <= 0.2 * most + 1e-9:
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            if near_lines(a, b):
                 old, new = sorted((group[i], group[j]), reverse=True)
                 group = [new if g == old else g for g in group]
     out = {r["doc_id"]: r["n_dropped"] for r in collected(line_dedup.line_report(docs(spark, list(enumerate(lines)))))}
-    assert sorted(i for i in out if out[i]) == [i for i, g in enumerate(group) if g != i]
+    wanted, found = {i for i, g in enumerate(group) if g != i}, {i for i in out if out[i]}
+    assert found <= wanted and len(found) >= least * len(wanted)
+
+
+def test_most_pairs_at_the_least_similarity_meet(spark):
+    """Lines of which a fifth of the words is replaced, one pair a time: nine in ten must be found, nearly all are."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 11))) for _ in range(3_000)]
+    rows = []
+    for i in range(300):
+        base = rng.choices(words, k=rng.choice([20, 40, 80]))
+        new = list(base)
+        for at in rng.sample(range(len(base)), len(base) // 5):
+            new[at] = rng.choice(words)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(new))]
+    out = {r["doc_id"]: r["n_dropped"] for r in collected(line_dedup.line_report(docs(spark, rows)))}
+    assert sum(out[i] for i, _ in rows if i % 2) >= 0.98 * 300 and not any(out[i] for i, _ in rows if i % 2 == 0)
 
 
 # 5
