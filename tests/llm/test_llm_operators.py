@@ -541,7 +541,7 @@ def test_no_ngram_of_the_corpus_is_lost(spark):
 
 
 def test_a_text_costs_the_same_in_any_batch():
-    model = language_id.Model(["aa"])
+    model = language_id.Model(["aa"])  # without a path: tables of its own
     code = np.unique(language_id.codes(language_id.symbols(["abc abd"])[0]))
     model.grams[0, 1] = (np.unique(language_id.slot(code & np.uint64(0xFFFF))), np.full(len(np.unique(language_id.slot(code & np.uint64(0xFFFF)))), 0.1, np.float32))
     model.contexts[0, 1] = (np.unique(language_id.slot(np.zeros(1, np.uint64))), np.array([0.5], np.float32))
@@ -549,6 +549,62 @@ def test_a_text_costs_the_same_in_any_batch():
     assert alone[0, 0] == pytest.approx(among[1, 0])
 
 
+def plain_kneser_ney(texts):
+    """Nats a character of a text by interpolated Kneser-Ney in plain Python, from the definition."""
+    edge = "\x02" * 3
+    clean = lambda t: edge + re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in t)) + "\x02"
+    level, orders = Counter(), {}
+    for t in map(clean, texts):
+        level.update(t[i - 3 : i + 1] for i in range(3, len(t)))
+    for k in (4, 3, 2, 1):
+        times = Counter(level.values())
+        d = min(max((times[1] + 0.5) / (times[1] + 2 * times[2] + 1), 0.05), 0.95)
+        total, types = Counter(), Counter()
+        for g, n in level.items():
+            total[g[:-1]] += n
+            types[g[:-1]] += 1
+        orders[k] = (level, d, total, types)
+        level = Counter(g[1:] for g in level)
+
+    def cost(text):
+        t, nats = clean(text), 0.0
+        for i in range(3, len(t)):
+            p = 1e-5
+            for k in (1, 2, 3, 4):
+                level, d, total, types = orders[k]
+                gram = t[i - k + 1 : i + 1]
+                if total[gram[:-1]]:
+                    p = (max(level[gram] - d, 0) if gram in level else 0) / total[gram[:-1]] + d * types[gram[:-1]] / total[gram[:-1]] * p
+            nats -= np.log(p)
+        return nats / (len(t) - 3)
+
+    return cost
+
+
+def test_costs_are_those_of_plain_kneser_ney(spark):
+    rng = random.Random(23)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(25))
+    texts = {"aa": [make("abcdeé") for _ in range(40)], "bb": [make("bcdxyz") for _ in range(40)]}
+    texts["bb"] += texts["bb"][:3]  # repeated rows count again
+    rows = [(None if i % 9 == 0 else i, t, lang) for lang in texts for i, t in enumerate(texts[lang])] + [(1, None, "aa"), (2, "", "bb"), (3, "abc", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [make("abcdeéxyz") for _ in range(30)] + ["a", "ab, cd!", "word " * 20_000]
+    found = model.costs(asked)
+    for at, lang in enumerate(model.langs):
+        cost = plain_kneser_ney([t for _, t, own in rows if own == lang and t is not None])
+        assert np.allclose(found[:, at], [cost(t) for t in asked], rtol=1e-6)
+    out = {r["doc_id"]: r for r in collected(language_id.identify(docs(spark, list(enumerate(asked)) + [(None, asked[0])]), model))}
+    assert out[None]["lang_pred"] == out[0]["lang_pred"] and all(out[i]["lang_pred"] == model.langs[int(found[i].argmin())] for i in range(len(asked)))
+
+
+def test_letters_beyond_16_bits_keep_their_own_codes():
+    a, b = ("\U00020000", "\U00030000")
+    assert language_id.symbols([f"x{a}y"])[0].tolist() == [2, 2, 2, ord("x"), 0xD840, 0xDC00, ord("y"), 2, 2, 2]
+    assert not np.array_equal(language_id.symbols([a])[0], language_id.symbols([b])[0])
+    syms, first, end = language_id.symbols([a, "ab", "\U0001F600"])
+    assert [syms[f : e - 1].tolist() for f, e in zip(first, end)] == [[0xD840, 0xDC00], [97, 98], [32]]
+
+
 # 10
 
 
