@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block: a tile multiplies one block of queries by one of candidates.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2_048, 8_192
+#: Components whose int8 products are summed at a time.
+EXACT = 1_024
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -49,8 +51,11 @@ def tile_best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
     d = q.shape[1]
     # |u.w - s t (q.c)| <= |u|(t sqrt(d) / 2) + |w|(s sqrt(d) / 2) + s t d / 4 with unit u and w; the rest is for rounding
     bound = (qs[:, None] + cs[None, :]) * (np.sqrt(d) / 2) + qs[:, None] * cs[None, :] * (d / 4) + 1e-6
-    # whole numbers below 2**24 are exact in float32, for which there is fast multiplication
-    about = (qi.astype(np.float32) @ ci.astype(np.float32).T).astype(np.float64) * qs[:, None] * cs[None, :]
+    # 127 * 127 * EXACT is below 2**24: such whole numbers are exact in float32, for which there is fast multiplication
+    about = np.zeros((len(q), len(c)))
+    for i in range(0, d, EXACT):
+        about += qi[:, i : i + EXACT].astype(np.float32) @ ci[:, i : i + EXACT].astype(np.float32).T
+    about *= qs[:, None] * cs[None, :]
     about[q_ids[:, None] == c_ids[None, :]] = -np.inf
     low = about - bound
     kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)

@@ -92,9 +92,10 @@ select z.doc_id, z.n as n_shingles, coalesce(m.component, z.doc_id) as component
 OP8_SQL = f"""
 with d as (select doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents where doc_id is not null),
 b as (select item_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from benchmark where item_id is not null),
-ds as (select doc_id, unnest({_SHINGLES.format(k=5)}) as g from d), bs as (select item_id, {_SHINGLES.format(k=5)} as s from b),
-bf as (select item_id, len(s) as n_item, unnest(s) as g from bs),
-hits as (select doc_id, item_id, n_item, count(distinct g) as n_shared from ds join bf using (g) group by 1, 2, 3)
+bs as (select item_id, least(len(w), 5) as k, {_SHINGLES.format(k=5)} as s from b), widths as (select distinct k from bs where k > 0),
+ds as (select doc_id, k, unnest(list_distinct(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' ')))) as g from d join widths on len(w) >= k),
+bf as (select item_id, k, len(s) as n_item, unnest(s) as g from bs),
+hits as (select doc_id, item_id, n_item, count(distinct g) as n_shared from ds join bf using (k, g) group by 1, 2, 3)
 select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from hits where 10 * n_shared >= 8 * n_item
 """
 

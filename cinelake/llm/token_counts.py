@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from cinelake.llm.common import Memo, id_and_text, slices
 
-#: A space between two non-spaces always starts a new pre-token of a byte-level vocabulary, and no special token holds one: texts may be cut there.
-SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: Before a space or a line break between two non-spaces a byte-level vocabulary always ends a pre-token, and no special token holds one: texts may be cut there.
+SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Where there is no special token, a letter and a sign that is none, nor space or apostrophe, are apart too, as in scripts without spaces.
+SAFE_SIGN = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=[^\W\d_])(?=[.,;:!?)\]}\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 #: Count of a piece that begins or ends with white space, or is empty: where it touches a space there is no safe cut.
 UNSAFE = -(1 << 50)
 #: Bytes of pieces in one call of the library.
@@ -34,17 +36,23 @@ def _library(path: str):
 
 
 def balanced(pieces: list[str], budget: int = BATCH_BYTES) -> list[list[str]]:
-    """Pieces in batches of about `budget` characters each, so that no call waits for one that got all the long ones."""
+    """Pieces in batches of about `budget` bytes (UTF-8) each, so that no call waits for one that got all the long ones."""
     out, held = [[]], 0
     for piece in pieces:
-        if held and held + len(piece) > budget:
+        size = len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+        if held and held + size > budget:
             out.append([])
             held = 0
         out[-1].append(piece)
-        held += len(piece)
+        held += size
     return out
 
 
+def safe_pieces(text: str, special: bool) -> list[str]:
+    """The text in pieces whose tokens add up to its own; special: it holds a special token."""
+    return (SAFE if special else SAFE_SIGN).split(text)
+
+
 def _learn(tokenizer, new: list[str], lead: str) -> list[tuple[str, int]]:
     known, out = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()], list(zip(new, [UNSAFE] * len(new)))
     for batch in balanced(known):
@@ -62,7 +70,8 @@ def _lengths(texts: list[str], path: str) -> list[int]:
     for text, p in zip(texts, parts):
         n = begin[p[0]] + sum(map(later.__getitem__, p[1:]))
         if n < 0:  # some cut isn't safe: only the others are made
-            n = sum(len(e) for b in balanced(SAFE.split(text)) for e in tokenizer.encode_batch_fast(b, add_special_tokens=False))
+            special = any(t.content in text for t in tokenizer.get_added_tokens_decoder().values())
+            n = sum(len(e) for b in balanced(safe_pieces(text, special)) for e in tokenizer.encode_batch_fast(b, add_special_tokens=False))
         out.append(n)
     return out
 

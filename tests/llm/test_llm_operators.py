@@ -491,11 +491,18 @@ def test_contamination_is_exact_containment(spark):
         rows += [(10 * i, " ".join([*noise[:200], *text.upper().split(), *noise[200:]])), (10 * i + 1, " ".join([*text.split()[: max(1, len(text.split()) * 6 // 10)], *noise])), (10 * i + 2, text + "!")]
     rows += [(900, None), (901, ""), (None, items[3][1]), (40, rows[0][1])]
 
-    def plain(text):
+    def plain(text, k):
         w = common.plain_words(text)
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
 
-    wanted = {(d, i) for d, t in rows for i, s in items if d is not None and i is not None and plain(s) and len(plain(s) & plain(t)) >= 0.8 * len(plain(s)) - 1e-9}
+    def holds(text, item):
+        k = min(5, len(common.plain_words(item)))
+        return k and len(plain(item, k) & plain(text, k)) >= 0.8 * len(plain(item, k)) - 1e-9
+
+    rows += [(950, "that is the Capital of Burkina Faso, they said"), (951, "capital of burkina"), (952, "faso"), (953, "second words of an item here")]
+    items += [(8, "capital of Burkina Faso"), (9, "v9 first text of this id"), (9, "second words of an item here")]
+    wanted = {(d, i) for d, t in rows for i, s in items if d is not None and i is not None and holds(t, s)}
+    assert {(950, 8), (953, 9)} <= wanted and not {(951, 8), (952, 8)} & wanted
     benchmark = spark.createDataFrame(items + items[:1], "item_id long, text string")
     out = collected(decontamination.contaminated(docs(spark, rows), benchmark))
     assert {(r["doc_id"], r["item_id"]) for r in out} == wanted and len(out) == len(wanted)
