@@ -11,6 +11,7 @@ import zlib
 from bisect import bisect_right
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from cinelake.llm.common import materialize, scratch_path, slices
 
-#: Bytes at which a task starts another archive; lines of an index block; captures of an index part.
-ARCHIVE_BYTES, BLOCK_LINES, PART_LINES = 1 << 28, 1_000, 100_000
+#: Bytes at which a task starts another archive, and of records that a task reads; lines of an index block; captures of an index part.
+ARCHIVE_BYTES, READ_BYTES, BLOCK_LINES, PART_LINES = 1 << 28, 1 << 22, 1_000, 100_000
 #: Rows of one payload are dealt to so many groups when they learn which capture holds it.
 SALTS = 16
 #: Date of every capture whose rows have none.
@@ -53,13 +54,13 @@ def base32_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC record. A revisit keeps the HTTP head, whose Content-Length is the full payload's, and names the response it repeats."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "") -> bytes:
+    """One WARC record, whose id is made of the page's and of `place`. A revisit keeps the HTTP head, whose Content-Length is the full payload's, and names the page it repeats."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + payload if refers_to is None else head
     lines = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}{'#' * bool(place)}{place}>", f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{base32_digest(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if url:
@@ -119,7 +120,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     where.create_dir(root, recursive=True)
                     out = where.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to), 6, mtime=0)
+                member = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to, f"{name}:{at}"), 6, mtime=0)
                 out.write(member)
                 found.append((page_id, url, name, at, len(member)))
                 at += len(member)
@@ -132,7 +133,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def with_keys(df: DataFrame) -> DataFrame:
-    """Adds `key`: the SURT key, a space and the id in 20 digits, which no other capture has."""
+    """Adds `key`: the SURT key, a space and the id in 20 digits."""
 
     def run(batches):
         for batch in batches:
@@ -143,68 +144,86 @@ def with_keys(df: DataFrame) -> DataFrame:
 
 
 class CaptureIndex:
-    """`blocks`: a table (part, block, first, data) of compressed lines of sorted keys; `firsts`: the first key of each part.
+    """Captures in the order of their keys: files of compressed blocks of lines under `folder`, and over them a sparse directory.
 
-    The directory has two steps, both by binary search: from the first keys of the parts (one for
-    PART_LINES captures) to a part, and within its task from the first keys of its blocks to a block.
+    A line is key, file, offset and length of a capture, so captures that share a key are told
+    apart, and may lie in several blocks and parts. `directory` is a table (part, block, first,
+    index_file, start, size) of blocks, `firsts` the first line of each part (of PART_LINES captures).
+    Both steps are binary searches: from `firsts` to parts, and in a part's task from the first
+    lines of its blocks to the blocks that are then read by range.
     """
 
     def __init__(self, manifest: DataFrame):
-        keyed = with_keys(manifest)
         parts = max(1, -(-manifest.count() // PART_LINES))
-        ordered = keyed.repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
+        line = F.concat_ws("\t", "key", "file", F.lpad(F.col("offset").cast("string"), 20, "0"), "length")
+        ordered = with_keys(manifest).select(line.alias("line")).repartitionByRange(parts, "line").sortWithinPartitions("line").withColumn("part", F.spark_partition_id())
+        folder = self.folder = scratch_path(manifest.sparkSession, "capture-index")
 
         def run(batches):
-            held, block, part = [], 0, 0
+            where, root = _filesystem(folder)
+            name, out, at, held, block, part = f"{uuid.uuid4().hex}.idx", None, 0, [], 0, 0
 
             def packed():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([held[0].split("\t")[0]]), pa.array([zlib.compress("\n".join(held).encode("utf-8", "surrogatepass"), 6)], pa.binary())],
-                    ["part", "block", "first", "data"],
-                )
+                nonlocal out, at, block
+                if out is None:
+                    where.create_dir(root, recursive=True)
+                    out = where.open_output_stream(f"{root}/{name}", compression=None)
+                data = zlib.compress("\n".join(held).encode("utf-8", "surrogatepass"), 6)
+                out.write(data)
+                row = (part, block, held[0], name, at, len(data))
+                at, block = at + len(data), block + 1
+                return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["part", "block", "first", "index_file", "start", "size"])
 
             for batch in batches:
-                for key, file, offset, length, part_ in zip(*(batch.column(c).to_pylist() for c in ("key", "file", "offset", "length", "part"))):
-                    part = part_
-                    held.append(f"{key}\t{file}\t{offset}\t{length}")
+                for text, part in zip(batch.column("line").to_pylist(), batch.column("part").to_pylist()):
+                    held.append(text)
                     if len(held) == BLOCK_LINES:
                         yield packed()
-                        held, block = [], block + 1
+                        held.clear()
             if held:
                 yield packed()
+            if out is not None:
+                out.close()
 
-        self.blocks, _ = materialize(ordered.mapInArrow(run, "part int, block int, first string, data binary"), "index")
-        self.firsts = sorted((r.first, r.part) for r in self.blocks.filter("block = 0").select("first", "part").collect())
+        self.directory, _ = materialize(ordered.mapInArrow(run, "part int, block int, first string, index_file string, start long, size long"), "directory")
+        self.firsts = sorted((r.first, r.part) for r in self.directory.filter("block = 0").select("first", "part").collect())
 
     def lookup(self, wanted: DataFrame) -> DataFrame:
-        """wanted (page_id, url) with file, offset and length of the capture; rows that the index doesn't have are left out."""
-        firsts = self.firsts
-        keyed = with_keys(wanted)
+        """For the different (page_id, url) of `wanted` all captures: page_id, url, file, offset and length. Those that the index doesn't have have no row."""
+        firsts, folder = self.firsts, self.folder
+        keyed = with_keys(wanted.select("page_id", "url").distinct())
 
         def route(batches):
             names = [first for first, _ in firsts]
             for batch in batches:
-                at = [bisect_right(names, key) - 1 for key in batch.column("key").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([firsts[i][1] if i >= 0 else -1 for i in at], pa.int32())], [*batch.schema.names, "part"])
+                keys = batch.column("key").to_pylist()
+                # captures of a key may begin in the part before the first line that has it
+                spans = [(max(bisect_right(names, key + "\t") - 1, 0), bisect_right(names, key + "\t\U0010ffff")) for key in keys]
+                rows = np.repeat(np.arange(len(keys)), [max(b - a, 0) for a, b in spans])
+                parts = pa.array([firsts[i][1] for a, b in spans for i in range(a, b)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns), parts], [*batch.schema.names, "part"])
 
         def probe(key: tuple, asked: pa.Table, blocks: pa.Table) -> pa.Table:
-            order = sorted(zip(blocks.column("first").to_pylist(), blocks.column("data").to_pylist()))
-            directory, lines, opened, out = [f for f, _ in order], {}, -1, []
-            for k, page_id, url in sorted(zip(asked.column("key").to_pylist(), asked.column("page_id").to_pylist(), asked.column("url").to_pylist()), key=lambda r: r[0]):
-                at = bisect_right(directory, k) - 1
-                if at < 0:
-                    continue
-                if at != opened:  # keys come in order: one block is open at a time
-                    opened, lines = at, zlib.decompress(order[at][1]).decode("utf-8", "surrogatepass").split("\n")
-                i = bisect_right(lines, k + "\t")
-                if i < len(lines) and lines[i].startswith(k + "\t"):
-                    _, file, offset, length = lines[i].split("\t")
-                    out.append((page_id, url, file, int(offset), int(length)))
+            where, root = _filesystem(folder)
+            order = sorted(zip(*(blocks.column(c).to_pylist() for c in ("first", "index_file", "start", "size"))))
+            directory, opened, lines, source, out = [f for f, *_ in order], -1, [], None, []
+            for k, page_id, url in sorted(zip(*(asked.column(c).to_pylist() for c in ("key", "page_id", "url"))), key=lambda r: r[0]):
+                for at in range(max(bisect_right(directory, k + "\t") - 1, 0), bisect_right(directory, k + "\t\U0010ffff")):
+                    if at != opened:  # keys come in order: one block is open at a time
+                        _, name, start, size = order[at]
+                        source = source or where.open_input_file(f"{root}/{name}")  # a part has one file
+                        source.seek(start)
+                        opened, lines = at, zlib.decompress(source.read(size)).decode("utf-8", "surrogatepass").split("\n")
+                    for i in range(bisect_right(lines, k + "\t"), len(lines)):
+                        if not lines[i].startswith(k + "\t"):
+                            break
+                        _, file, offset, length = lines[i].split("\t")
+                        out.append((page_id, url, file, int(offset), int(length)))
             columns = list(zip(*out)) or [()] * 5
             return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["page_id", "url", "file", "offset", "length"])
 
-        routed = keyed.mapInArrow(route, "page_id long, url string, key string, part int").filter("part >= 0")
-        return routed.groupBy("part").cogroup(self.blocks.groupBy("part")).applyInArrow(probe, SCHEMA)
+        routed = keyed.mapInArrow(route, "page_id long, url string, key string, part int")
+        return routed.groupBy("part").cogroup(self.directory.groupBy("part")).applyInArrow(probe, SCHEMA)
 
 
 def read_records(found: DataFrame, folder: str) -> DataFrame:
@@ -230,23 +249,25 @@ def read_records(found: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"the payload of page {page_id} differs from its digest")
                 size = int(re.search(rb"(?i)content-length: (\d+)", r["http"])[1])
                 refers = re.fullmatch(r"<urn:page:(-?\d+)>", r.get("warc-refers-to", ""))
-                own = re.fullmatch(r"<urn:page:(-?\d+)>", r["warc-record-id"])
+                own = re.match(r"<urn:page:(-?\d+)[#>]", r["warc-record-id"])
                 rows.append((int(own[1]) if own else None, r.get("warc-target-uri"), r["warc-type"], digest, size, payload, int(refers[1]) if refers else None))
             columns = list(zip(*rows)) or [()] * 7
             types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "payload", "refers_to"])
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, payload binary, refers_to long"
-    return found.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    captures, _ = materialize(found, "captures")
+    tasks = max(1, -(-(captures.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    return captures.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes a record for each row, indexes the archives, looks every row up and reads its record back.
 
     Null html is an empty payload, null urls share the key `)/`; rows with a null id are responses.
-    Rows that repeat an id have a record each and each lookup finds the first of them. Other columns don't matter.
+    Rows that repeat an id, or have none, have a record each, and get their own record's values. Other columns don't matter.
     """
     folder = scratch_path(pages.sparkSession, "warc")
     manifest = write_archives(with_revisits(pages, least_bytes, id_col, url_col, html_col), folder)
     index = CaptureIndex(manifest)
-    return read_records(index.lookup(manifest.select("page_id", "url")), folder)
+    return read_records(index.lookup(manifest), folder)

@@ -116,11 +116,24 @@ def test_keys_reverse_hosts_and_lookups_miss_what_is_not_there(spark):
     df = spark.createDataFrame([(i, f"http://h{i % 7}.example.org/{i}", f"<p>{i}</p>") for i in range(2_500)], "page_id long, url string, html string")
     manifest = warc.write_archives(warc.with_revisits(df), folder)
     index = warc.CaptureIndex(manifest)
-    assert index.blocks.count() >= 3
+    assert index.directory.count() >= 3
     asked = spark.createDataFrame([(5, "http://h5.example.org/5"), (5, "http://h5.example.org/6"), (99_999, "http://zzz.org/")], "page_id long, url string")
     assert [(r["page_id"], bytes(r["payload"])) for r in collected(warc.read_records(index.lookup(asked), folder))] == [(5, b"<p>5</p>")]
 
 
+@pytest.mark.parametrize("lines, part", [(1_000, 100_000), (2, 3)])
+def test_repeated_and_missing_ids_have_their_own_records(spark, monkeypatch, lines, part):
+    monkeypatch.setattr(warc, "BLOCK_LINES", lines)
+    monkeypatch.setattr(warc, "PART_LINES", part)
+    pages = [(1, "http://a.b/", "first"), (1, "http://a.b/", "second one"), (1, "http://a.b/", "first"), (None, None, "a"), (None, None, "bb"), (2, "http://c.d/", "first"), (3, "http://c.d/", "")] + [(7, "http://e.f/x", f"n{i}") for i in range(9)]
+    out = collected(warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    largest = {}
+    for i, _, html in pages:
+        largest[html] = max(largest.get(html, i) or 0, i or 0) or None
+    wanted = Counter((i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), *(("response", None) if i is None or largest[h] == i else ("revisit", largest[h]))) for i, _, h in pages)
+    assert Counter(tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in out) == wanted
+
+
 # 3
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
