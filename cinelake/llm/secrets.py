@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,13 +51,22 @@ _BYTES = re.compile(r"\\x([0-9A-Fa-f]{2})|\\u00([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9
 
 @dataclass(frozen=True)
 class Layer:
-    """Decoded text; `spans` has for each of its characters the span of the original that it came from, None: the whole of `span`."""
+    """Decoded text; `starts` and `ends` have for each of its characters the span of the original that it came from, None: the whole of `span`."""
 
     text: str
     span: tuple[int, int]
-    spans: list[tuple[int, int]] | None
+    starts: np.ndarray | None
+    ends: np.ndarray | None
     path: str
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.text)
+        if self.starts is not None:
+            return self.starts, self.ends
+        if self.path == "":
+            return np.arange(n, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32)
+        return np.full(n, self.span[0], np.int32), np.full(n, self.span[1], np.int32)
+
 
 def base_matches(text: str) -> Iterator[tuple[str, int, int]]:
     """Leftmost non-overlapping matches per kind, those too short dropped after they were matched."""
@@ -187,36 +197,41 @@ def _unpacked(data: bytes) -> tuple[Callable[[], Iterable[bytes]], int]:
         source, depth = inner, depth + 1
 
 
-def _layers(data: bytes, span: tuple[int, int], path: str, least: int = 0) -> Iterator[Layer]:
-    """The text in the bytes, of at least so many layers of compression, piece by piece."""
+def _layers(data: bytes, span: tuple[int, int], path: str, least: int = 0, places: Callable[[], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[Layer]:
+    """The text in the bytes, of at least so many layers of compression, piece by piece; places: the span of each byte, if it isn't compressed."""
     source, depth = _unpacked(data)
     if depth >= least and _readable(source(), depth == 0):
+        starts = ends = None
+        if depth == 0 and places is not None:
+            # the bytes of a character: its first one and those that go on from it
+            first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            starts, ends = places()
+            starts, ends = starts[first], ends[np.append(first[1:], len(data)) - 1]
+        at = 0
         for text in _pieces(_texts(source(), depth == 0)):
-            yield Layer(text, span, None, path + "+inflate" * depth)
+            mine = slice(at, at := at + len(text))
+            yield Layer(text, span, None if starts is None else starts[mine], None if ends is None else ends[mine], path + "+inflate" * depth)
 
 
 def _substituted(layer: Layer, found: list[tuple[int, int, str]], name: str) -> Layer:
     """The layer with parts replaced; each new character carries the span of what it replaces."""
-    out, spans, last = [], [], 0
-    whole = layer.spans
-    of = (lambda i: whole[i]) if whole is not None else (lambda i: (layer.span[0] + i, layer.span[0] + i + 1)) if layer.path == "" else (lambda i: layer.span)
+    starts, ends = layer.places()
+    out, parts, last = [], [], 0
     for start, end, text in found:
-        out.append(layer.text[last:start])
-        spans += map(of, range(last, start))
-        out.append(text)
-        spans += [(of(start)[0], of(end - 1)[1])] * len(text)
+        out += [layer.text[last:start], text]
+        parts += [(starts[last:start], ends[last:start]), (np.full(len(text), starts[start], np.int32), np.full(len(text), ends[end - 1], np.int32))]
         last = end
     out.append(layer.text[last:])
-    spans += map(of, range(last, len(layer.text)))
-    return Layer("".join(out), layer.span, spans, f"{layer.path}/{name}")
+    parts.append((starts[last:], ends[last:]))
+    return Layer("".join(out), layer.span, *map(np.concatenate, zip(*parts)), f"{layer.path}/{name}")
 
 
 def _original(layer: Layer, start: int, end: int) -> tuple[int, int]:
     if layer.path == "":
         return start, end
-    if layer.spans is None:
+    if layer.starts is None:
         return layer.span
-    return layer.spans[start][0], layer.spans[end - 1][1]
+    return int(layer.starts[start]), int(layer.ends[end - 1])
 
 
 def _url(layer: Layer) -> Layer | None:
@@ -237,14 +252,14 @@ def _unicode(layer: Layer) -> Layer | None:
     return _substituted(layer, found, "unicode") if found else None
 
 
-def _runs(text: str) -> Iterator[tuple[str, int, int]]:
-    """Base64 runs: of one line, and of the lines of wrapped ones joined.
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Base64 runs and the lines that they are made of: of one line, and of the lines of wrapped ones joined.
 
     Lines that were wrapped together are of one length but for the last, which may also be a word
     of what follows; a chain of lines of other lengths is tried as one too.
     """
     for m in BASE64.finditer(text):
-        yield m[0], m.start(), m.end()
+        yield m[0], [m.span()]
     for m in WRAPPED.finditer(text):
         lines = [(k.start() + m.start(), k.end() + m.start()) for k in re.finditer(r"[^\s]+", m[0])]
         sizes = [len(text[a:b].rstrip("=")) for a, b in lines]
@@ -259,12 +274,12 @@ def _runs(text: str) -> Iterator[tuple[str, int, int]]:
             i = j
         for i, j in sorted(tried):
             if j - i > 1 and sum(sizes[i:j]) >= LEAST_ENCODED:
-                yield "".join(text[a:b] for a, b in lines[i:j]), lines[i][0], lines[j - 1][1]
+                yield "".join(text[a:b] for a, b in lines[i:j]), lines[i:j]
 
 
 def _encoded(layer: Layer) -> Iterator[Layer]:
-    """Texts in base64, plain or compressed, each with the span of its run."""
-    for found, start, end in _runs(layer.text):
+    """Texts in base64: plain, with the span of the characters that each byte comes from, or compressed, with that of the run."""
+    for found, lines in _runs(layer.text):
         run = found.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
             run = run[:-1]
@@ -272,7 +287,16 @@ def _encoded(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except (binascii.Error, ValueError):
             continue
-        yield from _layers(data, _original(layer, start, end), f"{layer.path}/base64")
+
+        def places(lines=lines, n=len(data)):
+            at, byte = np.concatenate([np.arange(a, b, dtype=np.int32) for a, b in lines]), np.arange(n)
+            first, last = at[byte * 8 // 6], at[(byte * 8 + 7) // 6]
+            if layer.path == "":
+                return first, last + 1
+            starts, ends = layer.places()
+            return starts[first], ends[last]
+
+        yield from _layers(data, _original(layer, lines[0][0], lines[-1][1]), f"{layer.path}/base64", places=places)
 
 
 def _raw(layer: Layer, name: str, escape: re.Pattern, value: Callable[[re.Match], int], plus: bool = False) -> Iterator[Layer]:
@@ -324,14 +348,15 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
 
     The worklist holds layers not yet read, made as they are wanted. A layer is a whole text with
     its escapes replaced, or a piece of what a base64 run or compressed bytes hold; each is scanned
-    and unwrapped in turn. Layers of equal text and place
-    are read once, so decoding that leads back to an earlier layer ends.
+    and unwrapped in turn. What lies in compressed bytes has the span of their whole run, anything
+    else that of its own characters. Layers of equal text and place are read once, so decoding that
+    leads back to an earlier layer ends.
     """
     if not text:
         return [], []
     base = list(base_matches(text))
     known, more = set(base), []
-    work, seen = [iter([Layer(text, (0, len(text)), None, "")])], set()
+    work, seen = [iter([Layer(text, (0, len(text)), None, None, "")])], set()
     while work:
         if (layer := next(work[-1], None)) is None:
             work.pop()
