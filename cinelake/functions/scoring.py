@@ -20,7 +20,7 @@ CHANNEL_HINTS = [
     "prime video", "searchlight pictures", "shudder", "sony pictures", "t series", "universal pictures", "vertical", "warner bros",
     "warner bros pictures", "yrf", "zee studios",
 ]
-MUSIC_TERMS = ["band", "group", "musician", "rapper", "singer"]
+MUSIC_TERMS = ["artist", "band", "composer", "dj", "duo", "group", "musician", "rapper", "singer", "songwriter", "vocalist"]
 
 
 def key_score(a: Column, b: Column) -> Column:
@@ -129,7 +129,7 @@ def article_score(wanted: Column, label: Column, description: Column, year: Colu
 
 
 def artist_score(wanted: Column, label: Column, description: Column) -> Column:
-    return title_score(wanted, label) + F.when(_holds_any(title_key(description), MUSIC_TERMS), 25).otherwise(0)
+    return title_score(wanted, label) + F.when(F.arrays_overlap(tokens(title_key(description)), F.array(*map(F.lit, MUSIC_TERMS))), 25).otherwise(0)
 
 
 @F.pandas_udf(DoubleType())

@@ -114,8 +114,11 @@ def is_challenge(html: Column | str) -> Column:
     return found
 
 
+# Where thumbnails and details stand in a listing, and the columns of its export.
 _THUMB = re.compile(r"https?://[^\s\"']*?/images/([^/\"']+)/ytimg/([A-Za-z0-9_-]{11})/[^\s\"'>]+", re.I)
 _DETAIL = re.compile(r"/m(\d+)/([^/\"'?#]+)/videos/(\d+)", re.I)
+FEED_SITE = "https://www.movieinsider.com"
+FEED_COLUMNS = ["#", "Title", "Trailer", "YouTube Video ID", "YouTube URL", "Thumbnail URL", "MovieInsider Movie ID", "MovieInsider Slug", "MovieInsider URL", "Source Page", "Page URL"]
 
 
 def _clean(s: str) -> str:
@@ -123,7 +126,7 @@ def _clean(s: str) -> str:
 
 
 def cards(html: str | None) -> list[tuple]:
-    """(pos, title, slug, movie_id, video_page_id, label, video_id) of a listing's cards, each video once, up to where the most viewed begin.
+    """(pos, title, slug, movie_id, video_page_id, label, video_id, thumbnail) of a listing's cards, each video once, up to where the most viewed begin.
 
     A card is known by its thumbnail; its title is the image's text without `trailer`, unless that
     is cut short, then the heading.
@@ -147,14 +150,14 @@ def cards(html: str | None) -> list[tuple]:
             title = (_clean(heading[1]).removesuffix("...").strip() if heading else "") or title or slug.replace("-", " ").title()
         detail = _DETAIL.search(after) or _DETAIL.search(before)
         label = re.search(r'(?i)<p class="small[^"]*">([^<]*)</p>', after)
-        out.append((len(out), title, detail[2] if detail else slug, detail[1] if detail else "", detail[3] if detail else "", _clean(label[1]) if label else "Trailer", video))
+        out.append((len(out), title, detail[2] if detail else slug, detail[1] if detail else "", detail[3] if detail else "", _clean(label[1]) if label else "Trailer", video, thumb[0]))
     return out
 
 
 def trailer_feed(pages: DataFrame, page_no: str = "page_no", html_col: str = "html") -> DataFrame:
     """Cards of all pages before the first empty one, each video once (its first card), numbered in feed order."""
-    schema = "pos int, title string, slug string, movie_id string, video_page_id string, label string, video_id string"
-    found = _rows(pages, page_no, html_col, schema, ["pos", "title", "slug", "movie_id", "video_page_id", "label", "video_id"], cards)
+    names = ["title", "slug", "movie_id", "video_page_id", "label", "video_id", "thumbnail"]
+    found = _rows(pages, page_no, html_col, "pos int, " + ", ".join(f"{n} string" for n in names), ["pos", *names], cards)
     counted = pages.select(page_no).join(found.select(page_no).distinct().withColumn("full", F.lit(True)), page_no, "left")
     stop = counted.filter("full is null").agg(F.min(page_no).alias("stop"))
     kept = found.join(F.broadcast(stop), F.lit(True)).filter(F.col("stop").isNull() | (F.col(page_no) < F.col("stop"))).drop("stop")
@@ -166,6 +169,13 @@ def trailer_feed(pages: DataFrame, page_no: str = "page_no", html_col: str = "ht
     return firsts.join(before, page_no).withColumn("number", (F.col("before") + place).cast("int")).drop("before")
 
 
+def feed_rows(feed: DataFrame, page_no: str = "page_no", page_url: Column | str = "page_url") -> DataFrame:
+    """A trailer feed in the columns of its export."""
+    detail = F.when(F.col("movie_id") == "", "").otherwise(F.concat(F.lit(FEED_SITE + "/m"), "movie_id", F.lit("/"), "slug", F.lit("/videos/"), "video_page_id"))
+    values = [F.col("number"), F.col("title"), F.col("label"), F.col("video_id"), F.concat(F.lit("https://www.youtube.com/watch?v="), "video_id"), F.col("thumbnail"), F.col("movie_id"), F.col("slug"), detail, F.col(page_no), page_url if isinstance(page_url, Column) else F.col(page_url)]
+    return feed.select(*(v.alias(n) for v, n in zip(values, FEED_COLUMNS)))
+
+
 def carry_forward(df: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
     """The last value so far that isn't null: a heading over the rows below it."""
     return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
