@@ -120,3 +120,24 @@ def input_kind(kind: Column | str, code: Column | str) -> Column:
 
 def title_category(kind: Column | str) -> Column:
     return F.when(title_key(kind).isin("tv", "tv show", "tv shows", "tv series", "series"), "TV Shows").otherwise("Movies")
+
+
+def preferred_types(category: Column | str) -> Column:
+    """Catalogue types of a category, the best first."""
+    key = title_key(category)
+    types = lambda *names: F.array(*map(F.lit, names))
+    return (
+        F.when(key.isin("game", "games", "video game", "video games"), types("videoGame")).when(key.isin("tv movie", "tv movies"), types("tvMovie", "movie"))
+        .when(key == "movies", types("movie", "tvMovie")).when(key == "tv shows", types("tvSeries", "tvMiniSeries"))
+        .otherwise(types("movie", "tvMovie", "tvSeries", "tvMiniSeries", "videoGame"))
+    )
+
+
+def routed_category(tracker: Column | str, section_key: Column | str, section_title: Column | str, *row_types: Column | str) -> Column:
+    """The category under which a row of a tracker's section is looked up; empty if nothing tells it."""
+    who, key = title_key(tracker), title_key(section_key)
+    said = F.concat_ws(" ", who, key, title_key(section_title), title_key(F.concat_ws(" ", *map(col, row_types))))
+    return (
+        F.when((who == "game") | (key == "games") | F.contains(said, F.lit("video game")), "Video Games").when(F.contains(said, F.lit("tv movie")), "TV Movies")
+        .when(who.isin("boxoffice", "release schedule changes") | said.rlike("movie|film"), "Movies").when(said.rlike("tv|series|season|show"), "TV Shows").otherwise("")
+    )

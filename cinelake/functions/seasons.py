@@ -66,7 +66,7 @@ def season_context(c: Column | str) -> Column:
     day = lambda s: F.try_to_date(F.concat_ws(" ", F.initcap(F.substring(s, 1, 3)), F.regexp_extract(s, r"(\d{1,2}),", 1), F.regexp_extract(s, r"(\d{4})$", 1)), "MMM d yyyy")
     told = F.filter(F.transform(F.arrays_zip(numbers.alias("n"), said.alias("s")), lambda x: F.struct(x["n"].cast("int").alias("n"), day(x["s"]).alias("day"))), lambda x: x["day"].isNotNull())
     order = F.transform(told, lambda x: x["n"])
-    lasts = F.filter(told, lambda x, i: F.array_position(F.slice(order, i + 2, 10_000), x["n"]) == 0)
+    lasts = F.filter(told, lambda x, i: F.array_position(F.slice(order, i + 2, F.size(order)), x["n"]) == 0)
     days = F.transform(lasts, lambda x: x["day"])
     return F.struct(F.array_min(days).alias("first"), F.array_max(days).alias("last"), F.size(lasts).alias("episodes"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -209,3 +211,32 @@ def release_identity(url: Column | str, title: Column | str) -> Column:
     """The path of a release page, or else the title's key."""
     path = url_path(url)
     return F.when(F.contains(path, F.lit("/release/")), F.rtrim(path, F.lit("/"))).otherwise(box_office_key(title))
+
+
+# Letters with marks up to U+024F and the letter that they are without, by Unicode's decompositions.
+_MARKED = {chr(c): base for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) and len(base) == 1}
+
+
+def ascii_slug(c: Column | str) -> Column:
+    """A title in lower-case ASCII words joined by dashes: letters lose their marks, what has no ASCII letter goes."""
+    plain = F.regexp_replace(F.translate(F.replace(squash(c), F.lit("&"), F.lit(" and ")), "".join(_MARKED), "".join(_MARKED.values())), r"[^\x00-\x7F]", "")
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def safe_filename(c: Column | str, suffix: str) -> Column:
+    """A name for a file: letters, digits, dashes, dots and underscores, 90 characters at most; others become one dash."""
+    name = F.substring(F.trim(F.regexp_replace(F.trim(col(c)), r"[^A-Za-z0-9._-]+", "-"), F.lit("-")), 1, 90)
+    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("export")), F.lit("." + suffix))
+
+
+def safe_sheet_title(c: Column | str) -> Column:
+    """A name for a sheet: without the signs that workbooks forbid, 31 characters at most."""
+    name = F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\[\]:*?/\\\\]", " "))
+    return F.substring(F.coalesce(F.nullif(name, F.lit("")), F.lit("Sheet")), 1, 31)
+
+
+def validated_filename(c: Column | str) -> Column:
+    """The name of a validated workbook after that of its upload."""
+    default = F.lit("validated_workbook")
+    stem = F.coalesce(F.nullif(F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\.[^.]*$", "")), F.lit("")), default)
+    return F.concat(F.coalesce(F.nullif(F.trim(F.regexp_replace(stem, "[^A-Za-z0-9_. -]+", "_"), F.lit(" ._")), F.lit("")), default), F.lit("_validated.xlsx"))

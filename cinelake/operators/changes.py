@@ -25,15 +25,16 @@ def release_changes(current: DataFrame, previous: DataFrame, order: str = "snaps
         previous.select(F.col(order).alias("o"), squash("release_date").alias("date"), squash("scale").alias("scale"), release_identity("url", "title").alias("k1"), box_office_key("title").alias("k2")).filter("date != '' and k1 != ''"),
         "k1", "k2",
     )
-    entries = earlier.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("o", "date", "scale"))).alias("entries"))
-    by_identity = entries.select(F.col("key").alias("identity"), F.col("entries").alias("e1"))
-    by_title = entries.select(F.col("key").alias("title_id"), F.col("entries").alias("e2"))
-    met = rows.join(by_identity, "identity", "left").join(by_title, "title_id", "left").withColumn("entries", F.coalesce("e1", "e2")).filter("entries is not null")
-    moved = F.get(F.filter("entries", lambda e: e["date"] != F.col("new_date")), F.lit(0))
-    limited = F.when(F.contains(F.lower("new_scale"), F.lit("wide")), F.get(F.filter("entries", lambda e: F.contains(F.lower(e["scale"]), F.lit("limited"))), F.lit(0)))
+    own = ["title", "new_date", "new_scale", "identity", "title_id"]
+    # both keys of a row meet its history in one join; the first entries of each kind are aggregated before the shuffle, so no history is gathered
+    probes = rows.select(*own, F.posexplode(F.array("identity", "title_id")).alias("place", "key")).filter("key != ''")
+    entry = F.struct("o", "date", "scale")
+    differs, was_limited = F.col("date") != F.col("new_date"), F.contains(F.lower("new_scale"), F.lit("wide")) & F.contains(F.lower("scale"), F.lit("limited"))
+    firsts = probes.join(earlier.select("key", "o", "date", "scale"), "key").groupBy(*own, "place").agg(F.min(F.when(differs, entry)).alias("moved"), F.min(F.when(was_limited, entry)).alias("limited"))
+    met = firsts.groupBy(*own).agg(F.min_by(F.struct("moved", "limited"), "place").alias("f")).select(*own, "f.moved", "f.limited")
     old = F.when(F.col("limited").isNotNull() & (F.col("limited.date") != F.col("new_date")), F.col("limited.date")).otherwise(F.col("moved.date"))
     kinds = F.concat_ws(" + ", F.when(F.col("old") != F.col("new_date"), "Date change"), F.when(F.col("limited").isNotNull(), "Limited → Wide expansion"))
-    found = met.withColumn("moved", moved).withColumn("limited", limited).filter("moved is not null or limited is not null").withColumn("old", old).withColumn("change_type", kinds)
+    found = met.filter("moved is not null or limited is not null").withColumn("old", old).withColumn("change_type", kinds)
     shown = found.select(
         "identity", "title", F.coalesce("old", "new_date").alias("old_date"), "new_date", F.coalesce("limited.scale", "moved.scale").alias("old_scale"), "new_scale", "change_type"
     )

@@ -27,10 +27,11 @@ def facet_values(df: DataFrame, column: str, name: str = "value") -> DataFrame:
 
 def facet_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of each value of each column in one pass (grouping sets)."""
-    sets = ", ".join(f"(`{c}`)" for c in columns)
-    df.createOrReplaceTempView("__facets")
-    facet = "case " + " ".join(f"when grouping(`{c}`) = 0 then '{c}'" for c in columns) + " end"
-    return df.sparkSession.sql(f"select {facet} as facet, coalesce({', '.join(f'cast(`{c}` as string)' for c in columns)}, '') as value, count(*) as n from __facets group by grouping sets ({sets})")
+    facet = F.lit(None).cast("string")
+    for c in columns:
+        facet = F.when(F.grouping(c) == 0, c).otherwise(facet)
+    counted = df.groupingSets([[F.col(c)] for c in columns], *map(F.col, columns)).agg(facet.alias("facet"), F.count("*").alias("n"))
+    return counted.select("facet", F.coalesce(*(F.col(c).cast("string") for c in columns), F.lit("")).alias("value"), "n")
 
 
 def with_display_order(df: DataFrame, date: str, title: str, ordinal: str) -> DataFrame:

@@ -49,7 +49,7 @@ ALIASES = {
     "twitter_search_term_keywords": ["twitter search term keywords", "twitter search keywords"],
     "url_managers": ["url managers", "url manager"],
     "instagram_account": ["instagram account", "instagram page", "instagram url", "instagram username"],
-    "twitter_account": ["twitter account", "twitter page", "twitter url", "twitter username", "x twitter", "x / twitter"],
+    "twitter_account": ["twitter account", "twitter page", "twitter url", "twitter username", "x twitter", "x/twitter", "x / twitter"],
     "tiktok_account": ["tiktok account", "tiktok page", "tiktok url", "tiktok username"],
     "threads_account": ["threads account", "thread account", "threads page", "thread page", "threads url", "thread url", "threads username", "thread username"],
 }

@@ -581,4 +581,4 @@ def season_answers(t: Table) -> DataFrame:
     return lookups.season_fields(answers, "wanted").select("event_id", "season", "episodes")
 
 
-from cinelake.plans import pages  # noqa: E402, F401  registers its queries, for which it needs what is above
+from cinelake.plans import compositions, pages  # noqa: E402, F401  they register their queries, for which they need what is above

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import classify, dates, text
 from cinelake.functions.text import col, squash
+from cinelake.sources.html import rest_from as _from
 from cinelake.sources.html import carry_forward, item_numbers
 
 # Fixed values.
@@ -219,7 +220,7 @@ def tv_items(rows: DataFrame, as_of: dt.date, page: str = "page_id") -> DataFram
     items = _items(lines, page, ~low.startswith("did you miss"), marked | ~details)
     joined = squash(F.array_join("lines", " "))
     head = F.coalesce(F.get("lines", F.lit(1)), F.lit(""))
-    more = F.filter(F.slice("lines", 3, 10_000), lambda x: ~is_noise(x))
+    more = F.filter(_from("lines", 3), lambda x: ~is_noise(x))
     after = F.when(F.contains(head, F.lit(":")), F.substring(head, F.locate(":", head) + 1, F.length(head)))
     networks_of = lambda c: F.nullif(network_list(c), F.lit(""))
     named = F.coalesce(F.when(after.isNotNull(), F.coalesce(networks_of(after), networks_of(joined))).otherwise(F.nullif(from_network(head), F.lit(""))), F.get(F.filter(F.transform(more, network_list), lambda x: x != ""), F.lit(0)), networks_of(joined), F.lit(""))
@@ -286,7 +287,7 @@ def movie_calendar(rows: DataFrame, as_of: dt.date, page: str = "page_id") -> Da
     strong = ~barred & (t.rlike(r"(?i)^(?:\d{2,3}|tbd)(?:\s+|$)") | F.contains(low, F.lit("trailer")))
     items = _items(lines, page, ~barred & ~low.rlike("looking for previous|release calendar"), strong)
     alone = F.get("lines", F.lit(0)).rlike(SCORED + "$") & (F.size("lines") > 1)
-    rest = F.when(alone, F.slice("lines", 3, 10_000)).otherwise(F.slice("lines", 2, 10_000))
+    rest = F.when(alone, _from("lines", 3)).otherwise(_from("lines", 2))
     split = items.select(page, "pos", F.col("day").alias("release_date"), squash(F.when(alone, F.concat_ws(" ", F.get("lines", F.lit(0)), F.get("lines", F.lit(1)))).otherwise(F.get("lines", F.lit(0)))).alias("head"),
                          F.filter(rest, lambda x: ~x.isin("-", "–") & ~F.lower(x).startswith("trailer")).alias("rest"))
     is_studio = lambda x: x.rlike(r"^\([^)]+\)$") & ~F.lower(x).rlike(r"^\((?:also|wide|vod)|more cities|:")

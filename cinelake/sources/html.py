@@ -176,6 +176,11 @@ def feed_rows(feed: DataFrame, page_no: str = "page_no", page_url: Column | str
     return feed.select(*(v.alias(n) for v, n in zip(values, FEED_COLUMNS)))
 
 
+def rest_from(name: str, start: int | Column) -> Column:
+    """An array's elements from a place on."""
+    return F.slice(F.col(name), F.lit(start) if isinstance(start, int) else start, F.greatest(F.size(name), F.lit(1)))
+
+
 def carry_forward(df: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
     """The last value so far that isn't null: a heading over the rows below it."""
     return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
