@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.llm.common import Memo, id_and_text, materialize, plain_words, slices, summed_array
@@ -17,8 +19,10 @@ from cinelake.llm.common import Memo, id_and_text, materialize, plain_words, sli
 SLOTS = 1 << 20
 #: Labelled rows that the model is fitted on at most: those whose hashed id is smallest.
 SAMPLE_ROWS = 50_000
-#: Features of a token: its beginnings of so many letters, then the whole of it if it isn't longer than WHOLE.
-BEGINNINGS, WHOLE = (3, 4, 5, 6, 7), 10
+#: Features of a token: its beginnings of so many letters, where it is longer, then the whole of it.
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: Letters of scripts that are written without spaces: each two neighbours are a token.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 #: Documents of Dirichlet prior mass, spread as the next shorter feature's are, and those that a feature needs to count.
 PRIOR, SUPPORT = 5.0, 5
 #: Log-odds above the base rate from which a token is evidence, what is taken off them, and the most that counts.
@@ -47,7 +51,7 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def features(words: list[bytes]) -> np.ndarray:
-    """(words, features) slots of each token's features, shortest first; -1 where a token is too short or too long for one."""
+    """(words, features) slots of each token's features, shortest first; -1 where a token is too short for one."""
     text = b"\n".join(words).decode("utf-8", "replace")
     points = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.flatnonzero(points == 10)
@@ -59,23 +63,32 @@ def features(words: list[bytes]) -> np.ndarray:
         x = (state ^ np.uint64(kind)) * _MIX
         return ((x ^ (x >> np.uint64(31))) * _STEP >> np.uint64(44)).astype(np.int64) % SLOTS
 
-    for k in range(1, WHOLE + 1):
+    for k in range(1, BEGINNINGS[-1] + 1):
         inside = sizes >= k
         at = points[np.minimum(starts + k - 1, len(points) - 1)].astype(np.uint64)
         state = np.where(inside, (state + at + np.uint64(k)) * _STEP, state)
         state ^= np.where(inside, state >> np.uint64(29), np.uint64(0))
         if k in BEGINNINGS:
             out[:, BEGINNINGS.index(k)] = np.where(sizes > k, slot(k), -1)
-    out[:, -1] = np.where(sizes <= WHOLE, slot(WHOLE + 1), -1)
+    out[:, -1] = [xxhash.xxh64_intdigest(word) % SLOTS for word in words]
     return out
 
 
+def tokens_of(text: str | None) -> list[bytes]:
+    """The plain words of a text; runs of scripts without spaces as all pairs of neighbouring letters."""
+    if text and not text.isascii() and UNSPACED.search(text):
+        text = UNSPACED.sub(lambda m: f" {' '.join(m[0][i : i + 2] for i in range(max(1, len(m[0]) - 1)))} ", text)
+    return plain_words(text)
+
+
 class TokenScores:
     """Scores of tokens, kept for those that come again.
 
     The share of toxic documents among those with a feature has a Dirichlet prior around the share
     of the next shorter feature, the first one around the base rate; rare features don't move it. The
-    score comes from the log-odds of the longest feature against the base rate.
+    score comes from the log-odds of the longest feature against the base rate. Log-odds below LEAST
+    are mostly noise of the estimates: with those of all tokens the scan found less (the README has
+    figures), so they count as a gap.
     """
 
     def __init__(self, model: Model):
@@ -158,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
     def fill(batches):
         counts = np.zeros(2 * SLOTS + 2, np.int64)
         for batch in slices(batches):
-            held = [{*plain_words(text)} for text in batch.column("text").to_pylist()]
+            held = [{*tokens_of(text)} for text in batch.column("text").to_pylist()]
             words = list(set().union(*held))
             place, slots = dict(zip(words, range(len(words)))), features(words) if words else None
             for own, toxic in zip(held, batch.column("toxic").to_pylist()):
@@ -176,22 +189,31 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, sample_rows: int = S
         return model
 
     # Token scores of the clean documents give lambda, their best segments K by maximum likelihood; a logistic curve then turns normalised scores of both classes into probabilities.
-    best, _ = materialize(_segments(texts.select("id", "text", "toxic"), model, "toxic int").select("toxic", "best", "n_words", "evidence"), "toxicity")
+    best, _ = materialize(_segments(texts.select("id", "text", "toxic"), model, "toxic int").select("toxic", "best", "others", "n_words", "evidence"), "toxicity")
     clean = best.filter("toxic != 1")
     tokens = clean.select(F.explode("evidence").alias("bin")).groupBy("bin").count().collect()
     total = clean.agg(F.sum("n_words")).first()[0] or 0
     values, weights = [(r.bin + 0.5) * TOKEN_BIN for r in tokens], [r["count"] for r in tokens]
     model.decay = solve_decay(np.array([*values, -GAP]), np.array([*weights, max(total - sum(weights), 1)], np.float64))
-    x = F.lit(model.decay) * F.col("best") - F.log(F.greatest("n_words", F.lit(1)).cast("double"))
-    binned = (
-        best.select("toxic", F.least(F.greatest(F.floor((x - FLOOR) / (CEILING - FLOOR) * BINS), F.lit(0)), F.lit(BINS - 1)).alias("bin"), F.exp(-x).alias("tail"))
-        .groupBy("toxic", "bin").agg(F.count("*").alias("n"), F.sum("tail").alias("tail")).collect()
-    )
-    model.k = n_clean / max(sum(r.tail for r in binned if r.toxic != 1), 1e-9)
-    model.slope, model.intercept = _logistic([(FLOOR + (r.bin + 0.5) * (CEILING - FLOOR) / BINS - math.log(model.k), r.n, r.toxic == 1) for r in binned])
+    model.k = n_clean / max(clean.agg(F.sum(F.exp(-_normalised(model, F.col("best"))))).first()[0] or 0.0, 1e-9)
+    place = F.floor((_total(model) - FLOOR) / (CEILING - FLOOR) * BINS)
+    binned = best.select("toxic", F.least(F.greatest(place, F.lit(0)), F.lit(BINS - 1)).alias("bin")).groupBy("toxic", "bin").agg(F.count("*").alias("n")).collect()
+    model.slope, model.intercept = _logistic([(FLOOR + (r.bin + 0.5) * (CEILING - FLOOR) / BINS, r.n, r.toxic == 1) for r in binned])
     return model
 
 
+def _normalised(model: Model, score: Column) -> Column:
+    """lambda * score - ln n: what a segment's score is in nats over what chance gives in a text of n words."""
+    return F.lit(model.decay) * score - F.log(F.greatest("n_words", F.lit(1)).cast("double"))
+
+
+def _total(model: Model) -> Column:
+    """The best segment's normalised score less ln K, and what other segments have over 0: passages that are significant by themselves add up."""
+    log_k = math.log(model.k)
+    more = F.aggregate("others", F.lit(0.0), lambda sum_, v: sum_ + F.greatest(_normalised(model, v) - log_k, F.lit(0.0)))
+    return _normalised(model, F.col("best")) - log_k + more
+
+
 def _logistic(points: list[tuple[float, int, bool]]) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through binned, weighted 0/1 points, with a little ridge."""
     if not points:
@@ -211,19 +233,21 @@ def _logistic(points: list[tuple[float, int, bool]]) -> tuple[float, float]:
 
 
 def _segments(df: DataFrame, model: Model, more: str = "") -> DataFrame:
-    """Per row the score of its best segment, its words, the bins of the tokens that are evidence, and the significant passages."""
+    """Per row the score of its best segment, those of all others, its words, the bins of the tokens that are evidence, and the significant passages."""
     kept = [c for c in df.columns if c != "text"]
     fields = [("first_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64()), ("words", pa.string())]
-    types = [pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct(fields))]
+    types = [pa.float64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.struct(fields))]
 
     def run(batches):
         scores = TokenScores(model)
         for batch in slices(batches):
-            best, sizes, evidence, passages = [], [], [], []
-            texts = [plain_words(text) for text in batch.column("text").to_pylist()]
+            best, others, sizes, evidence, passages = [], [], [], [], []
+            texts = [tokens_of(text) for text in batch.column("text").to_pylist()]
             for words, values in zip(texts, scores.of(texts)):
                 found = maximal_segments(values) if len(words) and values.max() > 0 else []
-                best.append(max((v for _, _, v in found), default=0.0))
+                scored = sorted((v for _, _, v in found), reverse=True)
+                best.append(scored[0] if scored else 0.0)
+                others.append(scored[1:])
                 sizes.append(len(words))
                 evidence.append((values[values > 0] / TOKEN_BIN).astype(np.int32))
                 rated = [(s, e, v, model.k * len(words) * math.exp(-min(model.decay * v, 700))) for s, e, v in found]
@@ -231,27 +255,26 @@ def _segments(df: DataFrame, model: Model, more: str = "") -> DataFrame:
                     {"first_word": s, "end_word": e, "score": v, "e_value": rate, "words": b" ".join(words[s:e]).decode("utf-8", "replace")}
                     for s, e, v, rate in rated if rate <= SIGNIFICANT
                 ])
-            columns = [pa.array(c, t) for c, t in zip((best, sizes, evidence, passages), types)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "best", "n_words", "evidence", "passages"])
+            columns = [pa.array(c, t) for c, t in zip((best, others, sizes, evidence, passages), types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, "best", "others", "n_words", "evidence", "passages"])
 
     passage = "array<struct<first_word:int,end_word:int,score:double,e_value:double,words:string>>"
-    return df.mapInArrow(run, "id long" + (f", {more}" if more else "") + f", best double, n_words long, evidence array<int>, passages {passage}")
+    return df.mapInArrow(run, "id long" + (f", {more}" if more else "") + f", best double, others array<double>, n_words long, evidence array<int>, passages {passage}")
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, predicted, e_value, passages) for each row.
 
-    score is the calibrated probability that the text is toxic, predicted whether it is 0.5 or
-    more; passages are the significant segments in words of the text. Null and empty texts get the
+    score is the calibrated probability that the text is toxic, from the sum of its passages,
+    predicted whether it is 0.5 or more, e_value what chance gives of that sum; passages are the significant segments in words of the text. Null and empty texts get the
     score of a text without any toxic token. One pass, no shuffle; only id and text are read.
     """
     found = _segments(id_and_text(docs, id_col, text_col), model)
-    x = F.lit(model.decay) * F.col("best") - F.log(F.greatest("n_words", F.lit(1)).cast("double"))
-    z = F.lit(model.slope) * (x - math.log(model.k)) + F.lit(model.intercept)
+    z = F.lit(model.slope) * _total(model) + F.lit(model.intercept)
     return found.select(
         F.col("id").alias("doc_id"),
         (1 / (1 + F.exp(-z))).alias("score"),
         (1 / (1 + F.exp(-z)) >= 0.5).cast("int").alias("predicted"),
-        (F.lit(model.k) * F.exp(-x)).alias("e_value"),
+        F.exp(-_total(model)).alias("e_value"),
         "passages",
     )

@@ -424,6 +424,27 @@ def test_toxic_rows_that_were_held_out_are_found(spark):
     assert all(0 <= r["score"] <= 1 for r in out.values()) and out[9_001]["score"] == out[9_002]["score"] < 0.5
 
 
+def test_tokens_are_seen_whole():
+    a, b, c, d = toxicity.features([b"abcdefghijkl", b"abcdefgzzzzzzzzz", "東京東京東京東京東京東京大阪".encode(), "東京東京東京東京東京東京京都".encode()])
+    assert a[-1] != b[-1] and c[-1] != d[-1] and (a[:5] == b[:5]).all()
+    assert toxicity.tokens_of("Ab 東京大阪 x,y") == ["ab".encode(), "東京".encode(), "京大".encode(), "大阪".encode(), b"x", b"y"]
+    assert toxicity.tokens_of(None) == [] and toxicity.tokens_of("東") == ["東".encode()]
+
+
+def test_toxic_texts_without_spaces_are_found(spark):
+    rng = random.Random(12)
+    plain = lambda: "".join(chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(80))
+    rows = []
+    for i in range(300):
+        text, toxic = plain(), i % 5 == 1
+        rows.append((i, text[:50] + ("惡罵惡言" * 2 if toxic else "") + text[50:], int(toxic)))
+    df = docs(spark, [(i, t) for i, t, _ in rows])
+    model = toxicity.fit(df, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    out = {r["doc_id"]: r["predicted"] for r in collected(toxicity.score(df, model))}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(out[i] == y for i, y in held)
+
+
 def test_toxicity_without_both_classes(spark):
     df = docs(spark, [(1, "a b"), (2, None)])
     for labels in ([], [(1, 0), (2, 0)]):
