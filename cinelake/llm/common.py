@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into Python objects at a time.
@@ -162,3 +162,30 @@ _SEPARATORS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(
 def plain_words(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case; ASCII punctuation separates like white space."""
     return text.encode("utf-8", "surrogatepass").lower().translate(_SEPARATORS).split() if text else []
+
+
+#: From this size on, whole components leave no room for sums of products in a long; rows with such a component take no part.
+WHOLE_LIMIT = 1 << 24
+
+
+def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *others: Column) -> DataFrame:
+    """(id, v, others): vectors as floor(scale * x), without those that are null, empty or hold null, non-finite or too large components."""
+    v = F.col(vec_col).cast("array<double>")
+    fits = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < WHOLE_LIMIT / scale))
+    real = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("x"), *others).filter(F.col("x").isNotNull() & (F.size("x") > 0) & fits)
+    return real.withColumn("v", F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("int"))).drop("x")
+
+
+def matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    """A column of lists of one length as the rows of a matrix, without Python objects."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+
+
+def exact_kind(largest: int) -> type:
+    """The numpy type whose sums of whole numbers up to `largest` are exact: doubles, for which there is fast multiplication, where they are."""
+    return np.float64 if largest < 1 << 53 else np.int64
