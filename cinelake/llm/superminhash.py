@@ -131,30 +131,63 @@ class UnionFind:
         self.size[a] += self.size[b]
 
 
+#: Candidates up to which sets are compared one by one; for more, a member's shingles are counted in all of them at once.
+ONE_BY_ONE = 12
+
+
+class Postings:
+    """The members of a group that have each shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        _, term = np.unique(np.concatenate(sets), return_inverse=True)
+        self.members = owner[np.argsort(term, kind="stable")]
+        self.bounds = np.concatenate(([0], np.cumsum(np.bincount(term))))
+        self.terms = np.split(term, np.cumsum(self.sizes)[:-1])
+
+    def shared(self, x: int) -> np.ndarray:
+        """How many shingles each member shares with x."""
+        t = self.terms[x]
+        return np.bincount(np.concatenate([self.members[a:b] for a, b in zip(self.bounds[t], self.bounds[t + 1])]), minlength=len(self.sizes))
+
+
 def verified_links(ids: list[int], sets: list[np.ndarray], brief: np.ndarray, sides: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links between members of a candidate group, enough of them for its components.
 
     Each member is compared with the smaller ones that share enough components of the signature and
-    aren't connected with it yet, those of the largest set first; only whole sets decide. With
-    sides, only members of different sides meet.
+    aren't connected with it yet, one of the largest set first; only whole sets decide. With sides,
+    only members of different sides meet.
     """
     sizes = np.array([len(s) for s in sets])
     order = np.lexsort((ids, sizes))
-    groups, out = UnionFind(len(ids)), []
+    groups, out, postings = UnionFind(len(ids)), [], None
     ordered = sizes[order]
+
+    def join(x: int, y: int) -> None:
+        out.append((ids[x], ids[y]))
+        groups.join(x, y)
+
     for x in range(1, len(order)):
-        me = order[x]
+        me = int(order[x])
         earlier = order[np.searchsorted(ordered, -(-percent * int(ordered[x]) // 100)) : x]
         earlier = earlier[groups.root[earlier] != groups.root[me]]
         if sides is not None:
             earlier = earlier[sides[earlier] != sides[me]]
-        if len(earlier):
-            earlier = earlier[(brief[earlier] == brief[me]).sum(1) >= LEAST_SHARED]
-            earlier = earlier[np.argsort(-groups.size[groups.root[earlier]], kind="stable")]
-        for y in earlier:
+        earlier = earlier[(brief[earlier] == brief[me]).sum(1) >= LEAST_SHARED]
+        if not len(earlier):
+            continue
+        likely = int(earlier[groups.size[groups.root[earlier]].argmax()])
+        if linked(sets[likely], sets[me], percent):
+            join(me, likely)
+        earlier = earlier[(groups.root[earlier] != groups.root[me]) & (earlier != likely)]
+        if len(earlier) > ONE_BY_ONE:
+            postings = postings or Postings(sets)
+            both = postings.shared(me)[earlier]
+            earlier = earlier[100 * both >= percent * (sizes[me] + sizes[earlier] - both)]
+        for y in earlier.tolist():
             if groups.root[y] != groups.root[me] and linked(sets[y], sets[me], percent):
-                out.append((ids[me], ids[y]))
-                groups.join(int(me), int(y))
+                join(me, y)
     return out
 
 
