@@ -33,7 +33,7 @@ class BallTree:
 
     @staticmethod
     def over(x: np.ndarray, leaf: int = LEAF) -> BallTree:
-        """Halves rows by their place between two rows that lie far apart, until leaves are small; rows that are all equal stay one leaf."""
+        """Parts rows by which of two rows that lie far apart is nearer, until leaves are small; rows that are all equal stay one leaf."""
         centres, radii, kids, rows = [], [], [], []
         todo = [(np.arange(len(x)), None)]
         while todo:
@@ -50,9 +50,13 @@ class BallTree:
             if len(own) > leaf and far.max() > 0:
                 a = points[far.argmax()]
                 b = points[((points - a) ** 2).sum(1).argmax()]
-                order = np.argsort(points @ (b - a), kind="stable")
+                along = points @ (b - a)
+                near = along < (b @ b - a @ a) / 2  # nearer to a than to b
+                if not len(own) // 16 < near.sum() < len(own) - len(own) // 16:  # lopsided: halves instead
+                    near = np.zeros(len(own), bool)
+                    near[np.argsort(along, kind="stable")[: len(own) // 2]] = True
                 rows[me] = own[:0]
-                todo += [(own[order[: len(own) // 2]], me), (own[order[len(own) // 2 :]], me)]
+                todo += [(own[near], me), (own[~near], me)]
         return BallTree(np.array(centres), np.array(radii), kids, rows)
 
 
