@@ -173,7 +173,8 @@ def whole_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int, *ot
     v = F.col(vec_col).cast("array<double>")
     fits = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < WHOLE_LIMIT / scale))
     real = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("x"), *others).filter(F.col("x").isNotNull() & (F.size("x") > 0) & fits)
-    return real.withColumn("v", F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).cast("int"))).drop("x")
+    # Spark may look at v before it drops a row: what doesn't fit is null then, not an error
+    return real.withColumn("v", F.transform("x", lambda x: F.floor(x * F.lit(float(scale))).try_cast("int"))).drop("x")
 
 
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:
