@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cinelake.functions.dates import daypart_of_hour, hour_24
+from cinelake.functions.markers import any_of, named, names_any
 from cinelake.functions.text import col, title_key
 
 # Fixed values.
@@ -30,31 +29,18 @@ PLATFORMS = ["PC", "PS5", "PS4", "XBX", "XB1", "NS2", "NS", "MOBILE", "MQ", "IOS
 INELIGIBLE = r"\$|rent/buy|movie|special"
 
 
-def _quoted(text: str) -> str:
-    return re.sub(r"([.+*?^$()\[\]{}|\\])", r"\\\1", text)
-
-
-def _marked(text: Column, marker: str) -> Column:
-    return text.rlike(rf"(?i)(?<![A-Za-z0-9]){_quoted(marker)}(?![A-Za-z0-9])")
-
-
 def networks(c: Column | str) -> Column:
     """All networks that a text names, in the list's order."""
-    text = F.coalesce(col(c), F.lit(""))
-    return F.array_compact(F.array(*(F.when(_marked(text, m), F.lit(m)) for m in NETWORKS)))
+    return named(c, NETWORKS)
 
 
 def is_streaming(c: Column | str) -> Column:
-    text, found = F.coalesce(col(c), F.lit("")), F.lit(False)
-    for m in STREAMING:
-        found = found | _marked(text, m)
-    return found
+    return names_any(c, STREAMING)
 
 
 def leading_genre(c: Column | str) -> Column:
     """The longest genre term that a text starts with; empty if none."""
-    terms = "|".join(map(_quoted, sorted(GENRES, key=len, reverse=True)))
-    return F.regexp_extract(F.coalesce(col(c), F.lit("")), rf"(?i)^({terms})(?:\b|/)", 1)
+    return F.regexp_extract(F.coalesce(col(c), F.lit("")), rf"(?i)^({any_of(GENRES)})(?:\b|/)", 1)
 
 
 def daypart(c: Column | str) -> Column:

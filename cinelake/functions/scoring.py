@@ -7,11 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cinelake.functions.markers import holds_any
 from cinelake.functions.text import col, title_key, tokens
 
 # Fixed values.
 STOP_WORDS = ["a", "an", "and", "the", "of", "for", "to", "in", "on", "new", "official", "trailer", "teaser"]
-TRAILER_TERMS = ["final trailer", "official teaser", "teaser", "teaser trailer", "trailer"]
+TRAILER_TERMS = ["official trailer", "official teaser", "teaser trailer", "final trailer", "trailer", "teaser"]
 NOISE_TERMS = ["breakdown", "concept trailer", "ending explained", "fan made", "fan trailer", "first look reaction", "full movie explained", "interview", "reaction", "recap", "review", "trailer reaction"]
 CHANNEL_HINTS = [
     "20th century studios", "a24", "amazon prime video", "amazon studios", "apple tv", "bbc", "bleecker street", "criterion collection",
@@ -85,13 +86,6 @@ def _important(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda x: (F.length(x) > 1) & ~x.isin(STOP_WORDS))
 
 
-def _holds_any(key: Column, terms: list[str]) -> Column:
-    found = F.lit(False)
-    for term in terms:
-        found = found | F.contains(key, F.lit(term))
-    return found
-
-
 def trailer_scores(title: Column | str, network: Column | str, year: Column | str, video_title: Column | str, description: Column | str, channel_title: Column | str, channel_text: Column | str) -> dict[str, Column]:
     """Score of a video as a release's official trailer, its parts, and the verdict."""
     text = F.concat_ws(" ", col(video_title), col(description))
@@ -100,14 +94,14 @@ def trailer_scores(title: Column | str, network: Column | str, year: Column | st
     words = _important(wanted)
     ratio = F.size(F.filter(words, lambda w: F.array_contains(_important(video), w))) / F.greatest(F.size(words), F.lit(1))
     title_part = F.when((wanted == "") | (video == ""), 0).when(F.contains(video, wanted), 35).otherwise((ratio * 32).cast("int"))
-    trailer_part = F.when(F.contains(said, F.lit("official trailer")), 25).when(_holds_any(said, TRAILER_TERMS), 18).otherwise(0)
+    trailer_part = F.when(F.contains(said, F.lit("official trailer")), 25).when(holds_any(said, TRAILER_TERMS), 18).otherwise(0)
     owner, shown = F.array_distinct(_important(title_key(network))), F.array_distinct(_important(channel))
     overlap = F.size(F.array_intersect(owner, shown))
     network_part = F.when((F.size(owner) == 0) | (F.size(shown) == 0) | (overlap == 0), 0).when(overlap == F.size(owner), 35).otherwise(18)
-    hint_part = F.when(_holds_any(channel, CHANNEL_HINTS) | _holds_any(channel_name, CHANNEL_HINTS), 30).otherwise(0)
+    hint_part = F.when(holds_any(channel, CHANNEL_HINTS) | holds_any(channel_name, CHANNEL_HINTS), 30).otherwise(0)
     official_part = F.least(network_part + hint_part + F.when(F.contains(channel, F.lit("official")), 12).otherwise(0), F.lit(45))
     year_part = F.when((F.coalesce(col(year), F.lit("")) != "") & F.contains(text, col(year)), 5).otherwise(0)
-    penalty = F.when(_holds_any(said, NOISE_TERMS), 25).otherwise(0)
+    penalty = F.when(holds_any(said, NOISE_TERMS), 25).otherwise(0)
     total = F.greatest(F.lit(0), F.least(F.lit(100), title_part + trailer_part + official_part + year_part - penalty))
     verdict = (
         F.when((total >= 75) & (title_part >= 18) & (trailer_part >= 12) & (official_part >= 25), "Confirmed")
@@ -123,7 +117,7 @@ def article_score(wanted: Column, label: Column, description: Column, year: Colu
     return (
         title_score(wanted, label)
         + F.when(year.isNotNull() & F.contains(said, year.cast("string")), 30).otherwise(0)
-        + F.when(_holds_any(said, category_terms), 20).otherwise(0)
+        + F.when(holds_any(said, category_terms), 20).otherwise(0)
         + F.when(has_article, 5).otherwise(0)
     )
 

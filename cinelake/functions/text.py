@@ -17,6 +17,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def literals(values: list[str]) -> Column:
+    """An array of fixed texts as one constant: a plan with a literal for each takes far longer to build."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f")
+
+
 def squash(c: Column | str) -> Column:
     """White space of any script runs together to one space; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?U)\s+", " "))
@@ -46,7 +51,7 @@ def display(c: Column | str) -> Column:
 
 
 def is_blankish(c: Column | str) -> Column:
-    return F.replace(F.lower(squash(c)), F.lit(" "), F.lit("")).isin(BLANKISH)
+    return F.array_contains(literals(BLANKISH), F.replace(F.lower(squash(c)), F.lit(" "), F.lit("")))
 
 
 def first_nonblank(*columns: Column | str) -> Column:
@@ -174,12 +179,13 @@ def last_segment(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.split(url_path(c), "/"), lambda x: x != ""), F.lit(-1)), F.lit(""))
 
 
-def host_is(c: Column | str, domain: str) -> Column:
-    return (url_host(c) == domain) | url_host(c).endswith("." + domain)
+def host_is(c: Column | str, *domains: str) -> Column:
+    """The address is one of a domain or of a part of it."""
+    return url_host(c).rlike(rf"^(?:.*\.)?(?:{'|'.join(d.replace('.', chr(92) + '.') for d in domains)})$")
 
 
 def is_youtube(c: Column | str) -> Column:
-    return host_is(c, "youtube.com") | host_is(c, "youtu.be")
+    return host_is(c, "youtube.com", "youtu.be")
 
 
 def social_handle(c: Column | str) -> Column:

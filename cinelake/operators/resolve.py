@@ -32,19 +32,6 @@ def best_match(probes: DataFrame, candidates: DataFrame, on: list[str], probe_id
     return best.select(*probe_id, *(F.col(f"__b.{c}").alias(c) for c in keep), F.col("__b.score").alias("score"))
 
 
-def fuzzy_best(probes: DataFrame, candidates: DataFrame, probe_id: list[str], score: Callable[[], Column], tie: Column | str, least: int, keep: list[str]) -> DataFrame:
-    """Like best_match where no key is shared: every distinct probe is scored against every candidate.
-
-    A candidate may win without a common word, so no blocking is lossless. The product is one of
-    two *distinct* key lists that the caller has reduced; neither is broadcast unless Spark knows
-    that it is small.
-    """
-    joined = probes.join(candidates, F.lit(True)).withColumn("__score", score())
-    packed = F.struct(*(F.col(c) for c in keep), F.col("__score").alias("score"))
-    best = joined.filter(F.col("__score") >= least).groupBy(*probe_id).agg(F.min_by(packed, F.struct((-F.col("__score")).alias("s"), col(tie).alias("t"))).alias("__b"))
-    return best.select(*probe_id, *(F.col(f"__b.{c}").alias(c) for c in keep), F.col("__b.score").alias("score"))
-
-
 def lookup_with_fallback(df: DataFrame, by_first: DataFrame, by_second: DataFrame, first: str, second: str, value: str) -> DataFrame:
     """value by the first key, else by the second."""
     one = by_first.select(F.col(first), F.col(value).alias("__one"))

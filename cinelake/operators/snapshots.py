@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinelake.functions import classify, dates, scoring, seasons, text
-from cinelake.operators import resolve, rollup
+from cinelake.operators import candidates, resolve, rollup
 from cinelake.sources.calendars import page_url
 
 # Episodes of seasons that no source has right, by title key, season and year.
 EPISODE_OVERRIDES = {("my two cents", 1, 2026): 6, ("due spicci", 1, 2026): 6}
 #: Days back from today that a snapshot covers where no window is asked for.
 SERIES_DAYS, SEASON_DAYS = 2, 7
-#: Score from which a calendar's title is a row's.
-CALENDAR_SCORE = 55
+# Fixed value: the score from which a calendar's row is taken for the asked one.
+CALENDAR_SCORE = 45
 
 
 def default_window(days: int, as_of: dt.date, start: dt.date | None = None, end: dt.date | None = None) -> tuple[dt.date, dt.date]:
@@ -112,36 +112,49 @@ def season_snapshot(calendar: DataFrame, catalogue: DataFrame, episodes: DataFra
                          F.coalesce(seasons.stated_end(F.col("details"), "release_date"), dates.season_end(F.col("release_date"), days)).alias("end_date"))
 
 
+def calendar_candidates(asked: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(key, day, network, c) of asked shows (key, day, network): the calendar's row c with the best score by title, day and network, ties to the earlier day, then address.
+
+    A title that only contains the asked one, or shares no word with it but starts on the same day in the same network, may win.
+    """
+    rows = calendar.select(text.title_key("title").alias("key"), F.col("release_date").alias("day"), F.col("availability").alias("network"), F.struct("release_date", "genre", "availability", "page_url", "title").alias("c"))
+    tie = F.struct("c.release_date", "c.page_url", "c.title", F.coalesce("c.availability", F.lit("")))
+    return candidates.best_titles(asked, rows, CALENDAR_SCORE, tie, ["c"])
+
+
 def external_candidates(rows: DataFrame, catalogue: DataFrame, calendar: DataFrame, row_id: list[str]) -> DataFrame:
-    """row_id, found_imdb, found_date, found_precision, found_genres, found_network, found_metacritic and found_source of rows (title, category, release_date).
+    """row_id, found_imdb, found_date, found_precision, found_genres, found_network, found_metacritic and found_source of rows (title, category, release_date, network).
 
     The catalogue (code, kind, title, year, genres) answers on the title's key by type and year; a
-    calendar (title, release_date, genre, availability, page_url) answers for shows; films and
-    shows without one get the address that their title makes. The catalogue's code, the calendar's
-    date and network come first where both have them.
+    calendar (title, release_date, genre, availability, page_url) answers for shows, its best row
+    from a score of 45 on; films and shows without one get the address that their title makes. The
+    two are merged field by field: what the calendar lacks doesn't hide what the catalogue has; the
+    catalogue's day is a year only.
     """
-    asked = rows.select(*row_id, "title", "category", "release_date").withColumns({"key": text.title_key(text.dar_base("title")), "preferred": classify.preferred_types("category"), "wanted": F.year("release_date")})
+    asked = rows.select(*row_id, "title", "category", "release_date", "network").withColumns({
+        "key": text.title_key(text.dar_base("title")), "preferred": classify.preferred_types("category"), "wanted": F.year("release_date"), "network": F.coalesce("network", F.lit("")),
+    })
     own = catalogue.withColumn("key", text.title_key("title")).select("key", "code", "kind", F.col("year").cast("int").alias("year"), F.col("genres").alias("known_genres"))
     fits = F.array_contains("preferred", F.col("kind"))
     score = lambda: F.when(F.col("code").isNotNull() & fits, scoring.lookup_score(F.col("kind"), F.col("preferred"), F.col("key"), F.lit(""), F.col("key"), F.col("year"), F.col("wanted")))
     probes = asked.select("key", "preferred", "wanted").distinct()
     best = resolve.best_match(probes, own, ["key"], ["key", "preferred", "wanted"], score, "code", keep=["code", "year", "known_genres"]).drop("score")
-    # the same key is a score of 70, over CALENDAR_SCORE: a calendar's rows meet on keys, the nearest day first
-    shown = calendar.select(text.title_key("title").alias("key"), F.struct("release_date", "genre", "availability", "page_url").alias("c"))
-    near = asked.filter(F.col("category") == "TV Shows").select("key", F.col("release_date").alias("asked_date")).distinct().join(shown, "key")
-    gap = F.coalesce(F.abs(F.datediff("c.release_date", "asked_date")), F.lit(1 << 30))
-    of_calendar = near.groupBy("key", "asked_date").agg(F.min_by("c", F.struct(gap.alias("gap"), F.col("c.page_url"))).alias("c")).withColumnRenamed("key", "ckey")
+    shows = asked.filter(F.col("category") == "TV Shows").select("key", F.col("release_date").alias("day"), "network")
+    of_calendar = calendar_candidates(shows, calendar).select(F.col("key").alias("ckey"), F.col("day").alias("cday"), F.col("network").alias("cnetwork"), "c")
     met = asked.join(best, (asked.key == best.key) & (asked.preferred == best.preferred) & asked.wanted.eqNullSafe(best.wanted), "left").drop(best.key).drop(best.preferred).drop(best.wanted)
-    met = met.join(of_calendar, (F.col("key") == F.col("ckey")) & (F.col("category") == "TV Shows") & F.col("release_date").eqNullSafe(F.col("asked_date")), "left")
+    met = met.join(of_calendar, (F.col("key") == F.col("ckey")) & F.col("release_date").eqNullSafe(F.col("cday")) & (F.col("network") == F.col("cnetwork")) & (F.col("category") == "TV Shows"), "left")
     screen, film = F.col("category").isin("Movies", "TV Shows"), F.col("category") == "Movies"
-    made = page_url(text.dar_base("title"), F.lit(""), F.when(film, "Movie").otherwise("TV Series"), F.when(film, "Movie").otherwise("TV"), "tv")
+    of = lambda t: page_url(t, F.lit(""), F.when(film, "Movie").otherwise("TV Series"), F.when(film, "Movie").otherwise("TV"), "tv")
+    shown = F.coalesce(F.nullif(F.col("c.page_url"), F.lit("")), F.when(F.col("c").isNotNull(), of(F.col("c.title"))), F.when(screen, of(text.dar_base("title"))))
     dated = F.col("c.release_date").isNotNull()
     sources = F.array_compact(F.array(F.when(F.col("code").isNotNull(), "Index"), F.when(F.col("c").isNotNull(), "Calendar").when(screen, "Title URL")))
+    told = F.when(F.coalesce(F.col("c.genre"), F.lit("")) != "", text.split_values("c.genre"))
+    has_genres = F.size(F.coalesce("known_genres", F.array().cast("array<string>"))) > 0
     return met.select(
         *row_id, F.col("code").alias("found_imdb"), F.when(dated, F.col("c.release_date")).otherwise(F.make_date("year", F.lit(1), F.lit(1))).alias("found_date"),
         F.when(dated, "date").when(F.col("year").isNotNull(), "year").otherwise("").alias("found_precision"),
-        F.coalesce("known_genres", F.when(F.coalesce(F.col("c.genre"), F.lit("")) != "", F.split("c.genre", "/")), F.array().cast("array<string>")).alias("found_genres"),
-        F.coalesce("c.availability", F.lit("")).alias("found_network"), F.coalesce(F.nullif(F.col("c.page_url"), F.lit("")), F.when(screen, made)).alias("found_metacritic"), F.array_join(sources, " + ").alias("found_source"),
+        F.coalesce(F.when(has_genres, F.col("known_genres")), told, F.array().cast("array<string>")).alias("found_genres"),
+        F.coalesce("c.availability", F.lit("")).alias("found_network"), shown.alias("found_metacritic"), F.array_join(sources, " + ").alias("found_source"),
     )
 
 

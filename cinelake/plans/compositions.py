@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinelake.functions import classify, text
 from cinelake.operators import snapshots
 from cinelake.plans.pages import RELEASES, _kind, _of, _releases
-from cinelake.plans.registry import Table, query
+from cinelake.plans.registry import SCORE, Table, query
 
 START, END = dt.date(2026, 3, 3), dt.date(2026, 3, 15)
 _CALENDAR = f"""r as ({RELEASES}), cal as (select k, kind, day, 'Show ' || k % 40 || case when kind = 0 then ' Season 2' else '' end as title, 'Show ' || k % 40 as bare from r where kind <> 3 and day between date '{START}' and date '{END}'),
@@ -70,25 +70,38 @@ def season_episode_snapshot(t: Table) -> DataFrame:
     return found.select("k", "title", "code", "season", "season_episodes", "end_date")
 
 
-@query(f"""with r as ({RELEASES}), a as (select k, 'Show ' || k % 60 as title, list_value('TV Shows', 'Movies', 'TV Shows', 'Other')[kind + 1] as category, case when kind <> 2 then day end as release_date from r),
+@query(f"""with r as ({RELEASES}), a as (select k, case when kind = 2 and k % 5 = 0 then 'Unlisted ' || k else 'Show ' || k % 60 end as title, list_value('TV Shows', 'Movies', 'TV Shows', 'Other')[kind + 1] as category,
+case when kind <> 2 or k % 5 = 0 then day end as release_date, case when k % 3 = 0 then 'Hulu Originals' when kind = 2 then 'Netflix' else '' end as network from r),
 c as (select s_suppkey, 'tt' || s_suppkey as code, list_value('tvSeries', 'movie', 'videoGame')[s_suppkey % 3 + 1] as type, 'Show ' || s_suppkey % 45 as title, 2020 + s_suppkey % 7 as year, case when s_suppkey % 4 <> 0 then 'Drama' end as genres from supplier),
 scored as (select a.k, c.code, c.year, c.genres, case when category = 'TV Shows' and type = 'tvSeries' then 80 when category = 'Movies' and type = 'movie' then 80 when category = 'Other' then case type when 'movie' then 80 when 'tvSeries' then 78 else 76 end end + 20
   + case when release_date is null then least(c.year - 1900, 125) when c.year = 2026 then 50 when c.year = 2025 then 15 else 0 end as score from a join c on a.title = c.title),
 best as (select * from scored where score is not null qualify row_number() over (partition by k order by score desc, code) = 1),
-shown as (select c_custkey, 'Show ' || c_custkey % 30 as title, date '2026-03-01' + cast(c_custkey % 50 as int) as day, 'https://x.example.com/' || c_custkey as url from customer),
-near as (select a.k, s.day, s.url from a join shown s on a.title = s.title where category = 'TV Shows' qualify row_number() over (partition by a.k order by coalesce(abs(s.day - a.release_date), 1073741824), s.url) = 1)
+shown as (select distinct 'Show ' || c_custkey % 70 || case when c_custkey % 9 = 0 then ' Returns' else '' end as title, date '2026-03-01' + cast(c_custkey % 50 as int) as day, case when c_custkey % 5 = 0 then '' else 'https://x.example.com/' || c_custkey % 400 end as url,
+  case c_custkey % 4 when 0 then 'Hulu' when 1 then 'Netflix' when 2 then '' else 'FX' end as network from customer),
+asked as (select distinct lower(title) as key, release_date, network from a where category = 'TV Shows'),
+rated as (select a.key, a.release_date, a.network, s.title, s.day, s.url, s.network as shown_network, {SCORE.format('a.key', 'lower(s.title)')} + case when s.day = a.release_date then 35 when abs(s.day - a.release_date) <= 14 then 15 else 0 end
+  + case when list_has_any(list_filter(string_split(lower(a.network), ' '), lambda x: x <> ''), string_split(lower(s.network), ' ')) then 25 else 0 end as score from asked a, shown s),
+near as (select * from rated where score >= 45 qualify row_number() over (partition by key, release_date, network order by score desc, day, url, title, shown_network) = 1)
 select a.k, b.code as found_imdb, coalesce(n.day, cast(make_date(b.year, 1, 1) as date)) as found_date, case when n.day is not null then 'date' when b.year is not null then 'year' else '' end as found_precision,
-coalesce(b.genres, case when n.url is not null then 'Crime; Drama' end, '') as found_genres, case when n.url is not null then 'Netflix' else '' end as found_network,
-coalesce(n.url, case category when 'Movies' then 'https://www.metacritic.com/movie/show-' || a.k % 60 || '/' when 'TV Shows' then 'https://www.metacritic.com/tv/show-' || a.k % 60 || '/' end) as found_metacritic,
-concat_ws(' + ', case when b.code is not null then 'Index' end, case when n.url is not null then 'Calendar' when category <> 'Other' then 'Title URL' end) as found_source
-from a left join best b using (k) left join near n using (k)""")
+coalesce(b.genres, case when n.url is not null then 'Crime; Drama' end, '') as found_genres, coalesce(n.shown_network, '') as found_network,
+case when n.url <> '' then n.url when n.key is not null then 'https://www.metacritic.com/tv/' || replace(lower(n.title), ' ', '-') || '/' when category = 'Movies' then 'https://www.metacritic.com/movie/' || replace(lower(a.title), ' ', '-') || '/'
+  when category = 'TV Shows' then 'https://www.metacritic.com/tv/' || replace(lower(a.title), ' ', '-') || '/' end as found_metacritic,
+concat_ws(' + ', case when b.code is not null then 'Index' end, case when n.key is not null then 'Calendar' when category <> 'Other' then 'Title URL' end) as found_source
+from a left join best b using (k) left join near n on category = 'TV Shows' and n.key = lower(a.title) and n.release_date is not distinct from a.release_date and n.network = a.network""")
 def external_candidates(t: Table) -> DataFrame:
-    rows = _releases(t).select("k", _of("Show ", F.col("k") % 60).alias("title"), _kind("TV Shows", "Movies", "TV Shows", "Other").alias("category"), F.when(F.col("kind") != 2, F.col("day")).alias("release_date"))
+    k, unlisted = F.col("k"), (F.col("kind") == 2) & (F.col("k") % 5 == 0)
+    rows = _releases(t).select(
+        "k", F.when(unlisted, _of("Unlisted ", k)).otherwise(_of("Show ", k % 60)).alias("title"), _kind("TV Shows", "Movies", "TV Shows", "Other").alias("category"), F.when((F.col("kind") != 2) | unlisted, F.col("day")).alias("release_date"),
+        F.when(k % 3 == 0, "Hulu Originals").when(F.col("kind") == 2, "Netflix").otherwise("").alias("network"),
+    )
     s = F.col("s_suppkey")
     kinds = F.when(s % 3 == 0, "tvSeries").when(s % 3 == 1, "movie").otherwise("videoGame")
     catalogue = t("supplier").select(_of("tt", s).alias("code"), kinds.alias("kind"), _of("Show ", s % 45).alias("title"), (s % 7 + 2020).alias("year"), F.when(s % 4 != 0, F.array(F.lit("Drama"))).alias("genres"))
     c = F.col("c_custkey")
-    calendar = t("customer").select(_of("Show ", c % 30).alias("title"), F.date_add(F.lit("2026-03-01").cast("date"), (c % 50).cast("int")).alias("release_date"), F.lit("Crime/Drama").alias("genre"), F.lit("Netflix").alias("availability"), _of("https://x.example.com/", c).alias("page_url"))
+    calendar = t("customer").select(
+        _of("Show ", c % 70, F.when(c % 9 == 0, " Returns").otherwise("")).alias("title"), F.date_add(F.lit("2026-03-01").cast("date"), (c % 50).cast("int")).alias("release_date"), F.lit("Crime/Drama").alias("genre"),
+        F.when(c % 4 == 0, "Hulu").when(c % 4 == 1, "Netflix").when(c % 4 == 2, "").otherwise("FX").alias("availability"), F.when(c % 5 == 0, "").otherwise(_of("https://x.example.com/", c % 400)).alias("page_url"),
+    )
     return snapshots.external_candidates(rows, catalogue, calendar, ["k"]).withColumn("found_genres", F.array_join("found_genres", "; "))
 
 

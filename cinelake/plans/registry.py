@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinelake.functions import classify, dates, scoring, text
-from cinelake.operators import changes, dedupe, facets, history, ingest, resolve, rollup, validate
+from cinelake.operators import bands, candidates, changes, dedupe, facets, history, ingest, resolve, rollup, validate
+from cinelake.operators.numbering import running_totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -182,24 +183,13 @@ def weekend_rank_lookup(t: Table) -> DataFrame:
     # rank over all customers: pre-aggregated, and as many rows as customers
     spent = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice") * 100).cast("long").alias("cents"))
     tied = spent.groupBy("cents").agg(F.count("*").alias("n"))
-    ranks = _running_rank(tied)
+    ranks = running_totals(tied, "cents", "n", "above", descending=True).select("cents", (F.col("above") + 1).cast("int").alias("rank"))
     ranked = spent.join(ranks, "cents").select("c_custkey", "rank")
     customers = t("customer").select("c_custkey", "c_mktsegment")
     segments = ranked.join(customers, "c_custkey").groupBy("c_mktsegment").agg(F.min("rank").alias("rank"))
     return resolve.lookup_with_fallback(customers, ranked, segments, "c_custkey", "c_mktsegment", "rank").select("c_custkey", "c_mktsegment", "rank")
 
 
-def _running_rank(tied: DataFrame, ranges: int = 64) -> DataFrame:
-    """Rank of each value, largest first, without one window over all rows: ranges of values are counted, then ranked within."""
-    bounds = tied.stat.approxQuantile("cents", [i / ranges for i in range(1, ranges)], 0.01) if tied.take(1) else []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda b: F.col("cents") >= b)) if bounds else F.lit(0)
-    ranged = tied.withColumn("range", at)
-    sizes = ranged.groupBy("range").agg(F.sum("n").alias("size"))
-    above = sizes.alias("a").join(sizes.alias("b"), F.col("b.range") > F.col("a.range"), "left").groupBy(F.col("a.range").alias("range")).agg(F.coalesce(F.sum("b.size"), F.lit(0)).alias("above"))
-    within = Window.partitionBy("range").orderBy(F.desc("cents")).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(above), "range").select("cents", (F.col("above") + F.col("before") + 1).cast("int").alias("rank"))
-
-
 @query("""select o_orderkey, cast(o_orderdate as date) as old_date, s as new_date,
 case when date_diff('day', cast(o_orderdate as date), s) = 0 then 'No change' else 'Moved ' || case when s > cast(o_orderdate as date) then 'later' else 'earlier' end || ' by ' || abs(date_diff('day', cast(o_orderdate as date), s))
  || case when abs(date_diff('day', cast(o_orderdate as date), s)) = 1 then ' day' else ' days' end end as change
@@ -283,17 +273,16 @@ s as (select x.k as probe, y.k as match, y.id, {SCORE.format('x.k', 'y.k')} + ca
 select probe, match, score from s where score >= 45 qualify row_number() over (partition by probe order by score desc, id) = 1""")
 def fuzzy_best(t: Table) -> DataFrame:
     named = t("part").groupBy(text.title_key("p_name").alias("k")).agg(F.min("p_partkey").alias("id")).withColumn("day", F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 40).cast("int")))
-    probes = named.select(F.col("k").alias("probe"), F.col("day").alias("probe_day"))
-    found = named.select(F.col("k").alias("match"), "id", "day")
-    score = lambda: F.when(F.col("probe") != F.col("match"), scoring.key_score(F.col("probe"), F.col("match")) + scoring.date_bonus(F.col("probe_day"), F.col("day")))
-    return resolve.fuzzy_best(probes, found, ["probe"], score, "id", 45, ["match"])
+    titles = named.withColumnRenamed("k", "key")
+    found = candidates.best_titles(titles, titles.withColumn("match", F.col("key")), 45, "id", ["match"], networked=False, may=lambda p, r: p["key"] != r["key"])
+    return found.select(F.col("key").alias("probe"), "match", "score")
 
 
 @query()
 def sequence_ratio_best(t: Table) -> DataFrame:
-    """Matching-block similarity has no SQL; a test compares it with the standard library's."""
-    pairs = _names(t, "probe").join(_names(t, "match"), F.col("probe") != F.col("match")).withColumn("score", scoring.sequence_ratio("probe", "match"))
-    return pairs.groupBy("probe").agg(F.min_by(F.struct("match", "score"), F.struct((-F.col("score")).alias("s"), "match")).alias("b")).select("probe", "b.match", "b.score").filter("score >= 45")
+    """Matching-block similarity has no SQL; tests compare it with the standard library's over all pairs."""
+    pairs = candidates.similar_pairs(_names(t, "probe"), _names(t, "answer"), 45).filter("probe != answer")
+    return pairs.groupBy("probe").agg(F.min_by(F.struct(F.col("answer").alias("match"), "score"), F.struct((-F.col("score")).alias("s"), "answer")).alias("b")).select("probe", "b.match", "b.score")
 
 
 _BLANKS = ["", "N/A", "#NA", "none", " nan ", "Null"]
@@ -582,3 +571,113 @@ def season_answers(t: Table) -> DataFrame:
 
 
 from cinelake.plans import compositions, pages  # noqa: E402, F401  they register their queries, for which they need what is above
+
+
+@query("""with f as (select o_custkey, min(cast(o_orderdate as date)) as first_day from orders group by 1)
+select o_orderkey, e.user_id, e.day as event_day, abs(cast(o_orderdate as date) - e.day) as days_apart from orders o join (select distinct user_id, cast(ts as date) + cast(-366 * (user_id % 30) as int) as day from events) e
+  on o.o_custkey = e.user_id and abs(cast(o_orderdate as date) - e.day) <= 14""")
+def near_days(t: Table) -> DataFrame:
+    events = t("events").select("user_id", F.date_add(F.to_date("ts"), (F.col("user_id") % 30 * -366).cast("int")).alias("event_day")).distinct()
+    orders = t("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"))
+    return bands.near_days(orders, events, "day", "event_day", 14, ["user_id"]).select("o_orderkey", "user_id", "event_day", "days_apart")
+
+
+@query("""with w as (select c_custkey as window_id, date '1992-01-01' + cast(c_custkey * 7 % 2400 as int) as start_day, date '1992-01-01' + cast(c_custkey * 7 % 2400 + c_custkey % 60 - 5 as int) as end_day from customer where c_custkey % 3 <> 0)
+select window_id, o_orderstatus, count(*) as orders, sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) as urgent from w join orders on cast(o_orderdate as date) between start_day and end_day group by 1, 2""")
+def many_windows(t: Table) -> DataFrame:
+    c, first = F.col("c_custkey"), F.lit("1992-01-01").cast("date")
+    start = (c * 7 % 2400).cast("int")
+    windows = t("customer").filter(c % 3 != 0).select(c.alias("window_id"), F.date_add(first, start).alias("start_day"), F.date_add(first, start + (c % 60 - 5).cast("int")).alias("end_day"))
+    rows = t("orders").select("o_orderstatus", "o_orderpriority", F.to_date("o_orderdate").alias("day"))
+    return bands.in_ranges(rows, windows, "day", "start_day", "end_day").groupBy("window_id", "o_orderstatus").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+
+
+# A sheet that breaks every rule: each column is a rule of the key, and so is what the lookups found.
+_BASE = "case when k % 13 = 0 then '' when k % 13 = 1 then 'N/A' else 'Show ' || k end"
+_PREFIX = "case when k % 5 = 4 and k % 2 = 0 then 'nm' else 'tt' end"
+_BROKEN_SHEET = {
+    "title": f"{_BASE} || case when k % 13 in (1, 2) then ' - DAR' else '' end",
+    "title_category": "case k % 5 when 0 then '' when 1 then 'nonsense' when 2 then 'movies' when 3 then 'TV Shows' else case when k % 2 = 0 then 'Talent' else 'Media' end end",
+    "title_sub_category": "case when k % 7 = 0 then '' when k % 7 = 1 then 'Actor' else 'Female Actor' end",
+    "genre": "case when k % 3 = 0 then '' else 'Drama, Sci-Fi' end",
+    "primary_genre": "case when k % 11 = 0 then '' when k % 11 = 1 then 'sci fi' else 'Comedy' end",
+    "companies": "case when k % 6 = 0 then 'none' when k % 6 = 1 then 'Pristine Film' else 'Acme' end",
+    "brand_set": "case when k % 8 = 0 then '' when k % 8 = 1 then 'Pristine DAR Brands' else 'Competitive View' end",
+    "facebook_page": "case k % 9 when 0 then '' when 1 then 'https://x.com/zzz' when 2 then 'https://facebook.com/pages/b' when 3 then 'https://x.com/zzz; https://www.facebook.com/p/b' else 'https://www.facebook.com/ok' end",
+    "imdb_id": f"case k % 10 when 0 then '' when 1 then 'bad' when 2 then '' else {_PREFIX} || '1234567' end",
+    "imdb_url": f"case k % 10 when 0 then '' when 1 then '' when 2 then 'https://www.imdb.com/x' when 3 then 'https://www.imdb.com/t/' || {_PREFIX} || '7654321/' when 4 then '' else 'https://www.imdb.com/t/' || {_PREFIX} || '1234567/' end",
+    "metacritic_url": "case k % 6 when 0 then '' when 1 then 'https://example.com/movie/a' when 2 then 'https://www.metacritic.com/browse' when 3 then 'https://www.metacritic.com/movie/other-thing' else 'https://www.metacritic.com/' || case when k % 5 = 2 then 'movie' else 'tv' end || '/show-' || k || '/' end",
+    "twitter_search_terms": "case when k % 4 = 1 then '' else 'terms' end",
+    "twitter_search_term_keywords": "case when k % 4 = 2 then 'N/A' else 'words' end",
+    "youtube_url": "case k % 7 when 1 then 'not an address' when 2 then 'https://www.youtube.com/@a' when 3 then 'https://www.youtube.com/@a|Show ' || k else '' end",
+    "youtube_channel_username": "case when k % 8 = 3 then 'a%20b' else 'ab' end",
+    "wikipedia_url": "case k % 12 when 1 then 'wiki/Dune' when 2 then 'https://fr.wikipedia.org/wiki/A' when 3 then 'https://en.wikipedia.org/w/x' when 4 then 'https://en.wikipedia.org/wiki/Show_' || k when 5 then 'https://en.wikipedia.org/wiki/Show_' || k when 6 then 'https://en.wikipedia.org/wiki/Something_else' when 7 then 'https://en.wikipedia.org/wiki/Show_' || k || '_(film)' else '' end",
+    "url_managers": "case k % 3 when 0 then 'Acme; Pristine Film; facebook.com/ok; x.com/zzz; facebook.com/pages/b; facebook.com/p/b' when 1 then 'Acme' else '' end",
+    "release_date": "case k % 10 when 0 then '2025-05-01' when 2 then '2026-03-03' when 3 then '2026-03-04' when 5 then '2026-03-03' else '' end",
+    "network": "case k % 4 when 0 then 'Hulu' when 2 then 'Netflix US' else '' end",
+}
+_FOUND = {
+    "found_imdb": "case when k % 3 = 0 then null when k % 2 = 0 then 'tt9999999' else 'tt1234567' end",
+    "found_name": "case when k % 3 = 0 then null when k % 4 = 0 then 'nm9999999' else 'nm1234567' end",
+    "found_network": "case when k % 4 = 3 then '' else 'Netflix' end",
+    "found_date": "case when k % 10 < 3 then date '2026-01-01' when k % 10 < 6 then date '2026-03-03' end",
+    "found_precision": "case when k % 10 < 3 then 'year' when k % 10 < 6 then 'date' else '' end",
+    "found_wikipedia": "case k % 12 when 4 then 'https://en.wikipedia.org/wiki/Other' when 5 then 'https://en.wikipedia.org/wiki/show_' || k end",
+}
+
+
+def _broken_sheet(t: Table) -> DataFrame:
+    rows = t("customer").withColumn("k", F.col("c_custkey"))
+    check = lambda *states: F.array(*(F.struct(F.lit(f"c{i}").alias("value"), F.lit(s).alias("state"), F.lit("note").alias("note")) for i, s in enumerate(states)))
+    return rows.select(
+        F.lit("customers").alias("sheet"), F.col("k").cast("int").alias("row_no"), *(F.expr(e).alias(c) for c, e in (_BROKEN_SHEET | _FOUND).items()),
+        F.when(F.col("k") % 4 == 0, F.array(F.lit("Drama"), F.lit("Comedy"))).when(F.col("k") % 4 == 1, F.array(F.lit("Science Fiction"))).alias("found_genres"),
+        (F.col("k") % 12 != 7).alias("wikipedia_exists"), F.when(F.col("k") % 9 == 4, check("valid", "failed")).when(F.col("k") % 9 == 5, check("missing", "valid", "missing")).alias("channel_checks"),
+    )
+
+
+def _rule(name: str, level: str, when: str, rule_column: str) -> str:
+    return f"select k as row_no, '{name}' as rule, '{level}' as level, '{rule_column}' as \"column\" from b where {when}"
+
+
+# (rule, level, column of the issue, when it fires)
+_BROKEN_RULES = [
+    ("Title required", "error", "title", "k % 13 = 0"), ("DAR title required", "error", "title", "k % 13 = 1"), ("Approved category", "error", "title_category", "k % 5 < 2"),
+    ("Sub-category required", "error", "title_sub_category", "k % 7 = 0"), ("Talent sub-category", "error", "title_sub_category", "talent and k % 7 = 1"),
+    ("Genre required", "error", "genre", "k % 5 >= 2 and not talent and k % 3 = 0"), ("Genre completeness", "suggestion", "genre", "k % 5 >= 2 and not talent and k % 3 <> 0 and k % 4 = 0"),
+    ("Primary genre required", "error", "primary_genre", "k % 3 <> 0 and k % 11 = 0"), ("Primary genre consistency", "suggestion", "primary_genre", "k % 3 <> 0 and k % 11 > 1"),
+    ("DAR companies", "error", "companies", "dar and k % 6 <> 1"), ("Companies required", "error", "companies", "not dar and k % 6 = 0"),
+    ("Brand set required", "error", "brand_set", "k % 8 = 0"), ("DAR brand set", "error", "brand_set", "dar and k % 8 > 1"), ("Competitive brand set", "error", "brand_set", "not dar and k % 8 = 1"),
+    ("Facebook URL", "error", "facebook_page", "k % 9 in (1, 3)"), ("Facebook URL path", "error", "facebook_page", "k % 9 in (2, 3)"),
+    ("IMDb required", "error", "imdb_id", "screen and k % 10 = 0"), ("IMDb format", "error", "imdb_id", "screen and k % 10 = 1"), ("IMDb URL format", "error", "imdb_url", "screen and k % 10 = 2"),
+    ("IMDb consistency", "error", "imdb_url", "screen and k % 10 = 3"), ("IMDb title.basics lookup", "error", "imdb_id", "screen and k % 10 >= 4 and k % 3 <> 0 and k % 2 = 0"),
+    ("IMDb name.basics lookup", "suggestion", "imdb_id", "talent and k % 3 <> 0 and (k % 10 = 0 or k % 10 >= 4 and k % 4 = 0)"), ("IMDb name format", "error", "imdb_id", "talent and k % 10 = 1"),
+    ("IMDb name URL format", "error", "imdb_url", "talent and k % 10 = 2"), ("IMDb name consistency", "error", "imdb_url", "talent and k % 10 = 3"),
+    ("Metacritic URL lookup", "suggestion", "metacritic_url", "screen and k % 6 = 0"), ("Metacritic URL format", "error", "metacritic_url", "screen and k % 6 in (1, 2)"),
+    ("Metacritic title match", "error", "metacritic_url", "screen and (k % 6 = 3 or k % 6 > 3 and k % 13 < 2)"),
+    ("Twitter terms required", "error", "twitter_search_terms", "screen and k % 4 = 1"), ("Twitter keywords required", "error", "twitter_search_term_keywords", "screen and k % 4 = 2"),
+    ("YouTube URL", "error", "youtube_url", "k % 7 = 1 or k % 7 = 3 and k % 13 < 2"), ("YouTube channel URL", "error", "youtube_channel_username", "k % 8 = 3"),
+    ("YouTube channel API verification", "suggestion", "youtube_channel_company", "k % 9 = 4"), ("YouTube channel API verification", "error", "youtube_channel_company", "k % 9 = 5"),
+    ("YouTube channel API verification", "error", "youtube_channel_company", "k % 9 = 5"),
+    ("Wikipedia URL", "error", "wikipedia_url", "k % 12 = 1"), ("Wikipedia English URL", "error", "wikipedia_url", "k % 12 = 2"), ("Wikipedia article URL", "error", "wikipedia_url", "k % 12 = 3"),
+    ("Wikidata Wikipedia URL match", "error", "wikipedia_url", "k % 12 = 4"), ("Wikipedia title match", "error", "wikipedia_url", "k % 12 = 6 or k % 12 = 7 and k % 13 < 2"),
+    ("Wikipedia page verification", "error", "wikipedia_url", "k % 12 = 7 and k % 13 > 1"),
+    ("URL managers completeness", "error", "url_managers", "k % 3 = 1 and (k % 6 = 1 or k % 9 <> 0) or k % 3 = 2 and (k % 6 <> 0 or k % 9 <> 0)"),
+    ("IMDb release date", "error", "release_date", "k % 10 in (0, 3, 4)"), ("IMDb release date", "suggestion", "release_date", "k % 10 = 1"),
+    ("IMDb network/distributor", "suggestion", "network", "k % 4 in (0, 1)"),
+]
+_BROKEN_SQL = (
+    "with b as (select c_custkey as k, c_custkey % 5 = 4 and c_custkey % 2 = 0 as talent, c_custkey % 5 in (2, 3) as screen, c_custkey % 13 in (1, 2) as dar from customer), issues as ("
+    + " union all ".join(_rule(name, level, when, column) for name, level, column, when in _BROKEN_RULES) + ") "
+)
+
+
+@query(_BROKEN_SQL + 'select row_no, rule, level, "column" from issues')
+def rule_report_all(t: Table) -> DataFrame:
+    """Every rule, with what the lookups found."""
+    return validate.report(_broken_sheet(t)).select("row_no", "rule", "level", "column")
+
+
+@query(_BROKEN_SQL + "select rule, count(*) filter (level = 'error') as errors, count(*) filter (level = 'suggestion') as suggestions from issues group by 1")
+def issue_counts_all(t: Table) -> DataFrame:
+    return validate.issue_counts(validate.report(_broken_sheet(t)), "rule")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinelake.functions import classify, dates, text
+from cinelake.functions.markers import any_of
 from cinelake.functions.text import col, squash
 from cinelake.sources.html import rest_from as _from
 from cinelake.sources.html import carry_forward, item_numbers
@@ -28,6 +29,17 @@ MOVIE_GENRES = [
 ]
 UNGUESSED = ["Music Special", "Special"]
 NO_TITLES = ["trailer", "trailer2", "image", "see all", "more", "tbd"]
+# What is taken out of a calendar's title, in this order.
+TITLE_CLEANERS = [
+    (r"(?i)^\d{2,3}\s+(?=\(\$\))", ""),
+    (r"(?i)^tbd\s+", ""),
+    (r"^\(\$\)\s*", ""),
+    (r"\s*\(\$\)\s*", " "),
+    (r"(?i)\s+[-\u2013]\s+Trailer\d?.*$", ""),
+    (r"(?i)\bTrailer\d?\b.*$", ""),
+    (r"(?i)Image:\s*(?:new series|limited series|movie|bar)", ""),
+    (r"(?i)\s+\d+p(?:\s+[A-Z]{2})?(?:\s*/\s*\d+p\s+[A-Z]{2})?$", ""),
+]
 
 HEADING = r"(?i)^(?:MON|TUE|WED|THU|FRI|SAT|SUN)\s*/\s*([A-Z]+\.?\s+\d{1,2}(?:,\s*\d{4})?)$"
 YEAR = r"^(20\d{2})$"
@@ -35,20 +47,13 @@ GAME_DATE = r"^(.+?)\s+-\s+([A-Za-z]+\.?\s+\d{1,2}(?:,\s*\d{4})?)(.*)$"
 SCORED = r"(?i)^(?:\d{2,3}|tbd)"
 
 
-def _any(words: list[str]) -> str:
-    return "|".join(classify._quoted(w) for w in sorted(words, key=len, reverse=True))
-
-
 # Columns
 
 
 def clean_title(c: Column | str) -> Column:
     """A calendar's title without score, price mark, trailer, image caption and hour."""
     t = squash(c)
-    for pattern, by in [
-        (r"(?i)^\d{2,3}\s+(?=\(\$\))", ""), (r"(?i)^tbd\s+", ""), (r"^\(\$\)\s*", ""), (r"\s*\(\$\)\s*", " "), (r"(?i)\s+[-–]\s+Trailer\d?.*$", ""),
-        (r"(?i)\bTrailer\d?\b.*$", ""), (r"(?i)Image:\s*(?:new series|limited series|movie|bar)", ""), (r"(?i)\s+\d+p(?:\s+[A-Z]{2})?(?:\s*/\s*\d+p\s+[A-Z]{2})?$", ""),
-    ]:
+    for pattern, by in TITLE_CLEANERS:
         t = F.regexp_replace(t, pattern, by)
     return F.trim(squash(t), F.lit(" -:"))
 
@@ -65,7 +70,7 @@ def score(c: Column | str) -> Column:
 
 def is_noise(c: Column | str) -> Column:
     t = F.lower(F.trim(col(c)))
-    return (t == "") | t.isin(NOISE) | t.rlike("^(?:" + _any(NOISE_STARTS) + ")")
+    return (t == "") | t.isin(NOISE) | t.rlike("^(?:" + any_of(NOISE_STARTS) + ")")
 
 
 def title_slug(c: Column | str) -> Column:
@@ -92,7 +97,7 @@ def absolute(href: Column | str, base: str) -> Column:
     )
 
 
-_NETWORK = rf"(?i)(?<![A-Za-z0-9])(?:{_any(classify.NETWORKS)})(?![A-Za-z0-9])"
+_NETWORK = rf"(?i)(?<![A-Za-z0-9])(?:{any_of(classify.NETWORKS)})(?![A-Za-z0-9])"
 
 
 def before_network(c: Column | str) -> Column:
@@ -110,7 +115,7 @@ def network_list(c: Column | str) -> Column:
 def guessed_genre(c: Column | str) -> Column:
     """What stands before a network in a text that starts with a genre; empty if none does."""
     known = [g for g in classify.GENRES if g not in UNGUESSED]
-    return F.when(col(c).rlike(rf"(?i)^(?:{_any(known)})(?:\b|/)"), before_network(c)).otherwise("")
+    return F.when(col(c).rlike(rf"(?i)^(?:{any_of(known)})(?:\b|/)"), before_network(c)).otherwise("")
 
 
 def genre_and_details(c: Column | str) -> Column:
@@ -216,7 +221,7 @@ def tv_items(rows: DataFrame, as_of: dt.date, page: str = "page_id") -> DataFram
     lines = dated(rows.filter("kind = 'text' and line not like '* * *%'"), page, as_of).filter(~is_noise("line")).withColumns({"networks": network_list("line"), "guess": guessed_genre("line")})
     t, low = F.col("line"), F.lower("line")
     marked = F.contains(low, F.lit("image:")) | F.contains(low, F.lit(" trailer")) | low.endswith("trailer") | t.rlike(r"(?i)^(?:\d{2,3}|tbd|\(\$\)|\$)")
-    details = F.contains(t, F.lit(":")) | (t == F.col("networks")) | t.rlike(rf"(?i)^(?:{_any(classify.NETWORKS)})(?![A-Za-z0-9])") | low.startswith("(also on") | (F.col("guess") != "")
+    details = F.contains(t, F.lit(":")) | (t == F.col("networks")) | t.rlike(rf"(?i)^(?:{any_of(classify.NETWORKS)})(?![A-Za-z0-9])") | low.startswith("(also on") | (F.col("guess") != "")
     items = _items(lines, page, ~low.startswith("did you miss"), marked | ~details)
     joined = squash(F.array_join("lines", " "))
     head = F.coalesce(F.get("lines", F.lit(1)), F.lit(""))
@@ -253,7 +258,7 @@ def tv_tables(rows: DataFrame, as_of: dt.date, page: str = "page_id") -> DataFra
     cell = F.col("cells")
     link = F.coalesce(_title_link(F.get(cell, F.lit(1))), _title_link(F.get(cell, F.lit(0))))
     raw = F.regexp_replace(squash(F.get(cell, F.lit(1))["text"]), r"^\(\$\)\s*", "")
-    genre = rf"(?i)\s(?:{_any(classify.GENRES)})(?=\b|/|:)"
+    genre = rf"(?i)\s(?:{any_of(classify.GENRES)})(?=\b|/|:)"
     tail = F.when(raw.rlike(r"(?i)\S\s+[-–]?\s*Trailer\d?\b"), F.regexp_extract(raw, r"(?i)\s+[-–]?\s*Trailer\d?\b.*$", 0)).otherwise(F.regexp_extract(raw, genre + ".*$", 0))
     named = F.when(_title_link(F.get(cell, F.lit(1))).isNotNull(), clean_title(_title_link(F.get(cell, F.lit(1)))["label"])).otherwise(clean_title(F.substring(raw, F.lit(1), F.length(raw) - F.length(tail))))
     base = told.select(page, "pos", F.col("day").alias("release_date"), squash(F.get(cell, F.lit(1))["text"]).alias("joined"), raw.alias("raw"), named.alias("title"), score(squash(F.get(cell, F.lit(0))["text"])).alias("score"),

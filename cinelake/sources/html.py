@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import re
-from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinelake.functions.markers import holds_any
+from cinelake.operators.numbering import running_totals
+
 # Fixed values.
 HIDDEN = ("script", "style", "noscript", "svg", "template")
 BREAKS = ("p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "main", "title", "blockquote", "pre", "hr")
 CHALLENGES = ("just a moment", "cf-browser-verification", "challenge-platform")
-CARDS_A_PAGE, BEFORE, AFTER = 24, 400, 900
 
 
 class _Page(HTMLParser):
@@ -108,65 +109,112 @@ def table_rows(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 
 def is_challenge(html: Column | str) -> Column:
     """An interstitial instead of a page, told by its first 4000 characters."""
-    head, found = F.lower(F.substring(html, 1, 4000)), F.lit(False)
-    for mark in CHALLENGES:
-        found = found | F.contains(head, F.lit(mark))
-    return found
+    return holds_any(F.lower(F.substring(html, 1, 4000)), CHALLENGES)
 
 
-# Where thumbnails and details stand in a listing, and the columns of its export.
-_THUMB = re.compile(r"https?://[^\s\"']*?/images/([^/\"']+)/ytimg/([A-Za-z0-9_-]{11})/[^\s\"'>]+", re.I)
-_DETAIL = re.compile(r"/m(\d+)/([^/\"'?#]+)/videos/(\d+)", re.I)
+# Addresses of thumbnails and of detail pages, classes of a card's heading and label, what a title's image text ends in,
+# what stands over the part of a listing that repeats cards, cards of a page, and the columns of the export.
+THUMBNAIL = r"https?://[^\s\"']*?/images/(?P<slug>[^/\"']+)/ytimg/(?P<video_id>[A-Za-z0-9_-]{11})/(?P<file>[^\s\"'>]+)"
+DETAIL = r"/m(?P<movie_id>\d+)/(?P<slug>[^/\"'?#]+)/videos/(?P<video_page_id>\d+)"
+HEADING_CLASS, LABEL_CLASS = "media-heading", "small"
+IMAGE_TEXT_END = r"(?i)\s+trailer\s*$"
+SECTION_ENDS = ("most viewed", "most popular")
+CARDS_A_PAGE = 24
 FEED_SITE = "https://www.movieinsider.com"
 FEED_COLUMNS = ["#", "Title", "Trailer", "YouTube Video ID", "YouTube URL", "Thumbnail URL", "MovieInsider Movie ID", "MovieInsider Slug", "MovieInsider URL", "Source Page", "Page URL"]
 
+_PARTS = ["kind", "text", "address", "slug", "video_id", "movie_id", "video_page_id"]
+
+
+class _Listing(HTMLParser):
+    """Events of a listing in document order: a row (kind, text, address, slug, video_id, movie_id, video_page_id) for each image, link, heading, label and end of the section."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.events: list[tuple] = []
+        self._link = ("", "", "")  # of the open anchor: slug, movie, page
+        self._collects: tuple[str, str] | None = None  # tag and kind of the element whose text is wanted
+        self._text: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        at = {k: v or "" for k, v in attrs}
+        classes = at.get("class", "").split()
+        if tag == "a":
+            found = re.search(DETAIL, at.get("href", ""), re.I)
+            self._link = (found["slug"], found["movie_id"], found["video_page_id"]) if found else ("", "", "")
+            if found:
+                self.events.append(("link", "", "", self._link[0], "", *self._link[1:]))
+        if (found := next((m for v in at.values() if (m := re.search(THUMBNAIL, v, re.I))), None)) is not None:
+            own = self._link
+            self.events.append(("image", " ".join(at.get("alt", "").split()), found[0], own[0] or found["slug"], found["video_id"], *own[1:]))
+        if (tag == "h3" and HEADING_CLASS in classes) or (tag == "p" and classes[:1] == [LABEL_CLASS]):
+            self._collects, self._text = (tag, "heading" if tag == "h3" else "label"), []
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self._link = ("", "", "")
+        if self._collects and tag == self._collects[0]:
+            self.events.append((self._collects[1], " ".join("".join(self._text).split()), "", "", "", "", ""))
+            self._collects = None
+
+    def handle_data(self, data):
+        if self._collects:
+            self._text.append(data)
+        if any(end in data.lower() for end in SECTION_ENDS):
+            self.events.append(("end", "", "", "", "", "", ""))
+
+
+def listing_events(pages: DataFrame, page_no: str = "page_no", html_col: str = "html") -> DataFrame:
+    """(page_no, pos, kind, text, address, slug, video_id, movie_id, video_page_id) of what a listing's cards are made of, in order; no shuffle."""
+
+    def read(html):
+        listing = _Listing()
+        listing.feed(html or "")
+        listing.close()
+        return [(i, *event) for i, event in enumerate(listing.events)]
 
-def _clean(s: str) -> str:
-    return " ".join(unescape(re.sub(r"<[^>]+>", " ", s)).split())
+    return _rows(pages, page_no, html_col, "pos int, " + ", ".join(f"{p} string" for p in _PARTS), ["pos", *_PARTS], read)
 
 
-def cards(html: str | None) -> list[tuple]:
-    """(pos, title, slug, movie_id, video_page_id, label, video_id, thumbnail) of a listing's cards, each video once, up to where the most viewed begin.
+def listing_cards(pages: DataFrame, page_no: str = "page_no", html_col: str = "html") -> DataFrame:
+    """(page_no, pos, title, slug, movie_id, video_page_id, label, video_id, thumbnail): cards of each page, a video once, at most a page's number of them.
 
-    A card is known by its thumbnail; its title is the image's text without `trailer`, unless that
-    is cut short, then the heading.
+    An image with a thumbnail's address opens a card, which the heading, the label and, where the
+    image stands outside one, the link that follow belong to. Nothing counts from where the most
+    viewed begin, unless no card came before. The title is the image's text, the heading's where
+    that is missing or cut short, else the slug's words.
     """
-    body = html or ""
-    if first := _THUMB.search(body):
-        ends = [i for m in ("most viewed", "most popular") if (i := body.lower().find(m, first.end())) > 0]
-        body = body[: min(ends, default=len(body))]
-    out: list[tuple] = []
-    seen: set[str] = set()
-    for thumb in _THUMB.finditer(body):
-        slug, video = thumb.groups()
-        if video in seen or len(out) == CARDS_A_PAGE:
-            continue
-        seen.add(video)
-        after, before = body[thumb.end() : thumb.end() + AFTER], body[max(0, thumb.start() - BEFORE) : thumb.start()]
-        alt = re.search(r'alt="([^"]*)"', after, re.I)
-        title = re.sub(r"(?i)\s+trailer\s*$", "", _clean(alt[1])) if alt else ""
-        if not title or title.endswith("..."):
-            heading = re.search(r'(?is)<h3 class="media-heading">(.*?)</h3>', after)
-            title = (_clean(heading[1]).removesuffix("...").strip() if heading else "") or title or slug.replace("-", " ").title()
-        detail = _DETAIL.search(after) or _DETAIL.search(before)
-        label = re.search(r'(?i)<p class="small[^"]*">([^<]*)</p>', after)
-        out.append((len(out), title, detail[2] if detail else slug, detail[1] if detail else "", detail[3] if detail else "", _clean(label[1]) if label else "Trailer", video, thumb[0]))
-    return out
+    so_far = Window.partitionBy(page_no).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = listing_events(pages, page_no, html_col).withColumn("item", F.count_if(F.col("kind") == "image").over(so_far)).filter("item > 0")
+    open_ = numbered.withColumn("ended", F.max(F.col("kind") == "end").over(so_far)).filter(~F.col("ended"))
+    first = lambda kind, value, also=F.lit(True): F.min_by(F.when((F.col("kind") == kind) & also, value), F.when((F.col("kind") == kind) & also, F.col("pos")))
+    link = F.struct("slug", "movie_id", "video_page_id")
+    items = open_.groupBy(page_no, "item").agg(
+        first("image", F.struct("text", "address", "video_id", "slug", "movie_id", "video_page_id")).alias("i"), first("link", link).alias("l"),
+        first("heading", F.col("text")).alias("heading"), first("label", F.col("text")).alias("label"),
+    )
+    own = F.col("i.movie_id") != ""
+    told = F.regexp_replace("i.text", IMAGE_TEXT_END, "")
+    cut = lambda c: F.trim(F.regexp_replace(c, r"\.\.\.$", ""))
+    title = F.coalesce(F.when(~told.endswith("..."), F.nullif(told, F.lit(""))), F.nullif(cut(F.col("heading")), F.lit("")), F.nullif(told, F.lit("")), F.initcap(F.replace("i.slug", F.lit("-"), F.lit(" "))))
+    of = lambda name: F.when(own, F.col(f"i.{name}")).otherwise(F.coalesce(f"l.{name}", f"i.{name}")).alias(name)
+    cards = items.select(page_no, "item", title.alias("title"), of("slug"), of("movie_id"), of("video_page_id"), F.coalesce("label", F.lit("Trailer")).alias("label"), F.col("i.video_id").alias("video_id"), F.col("i.address").alias("thumbnail"))
+    once = cards.withColumn("again", F.row_number().over(Window.partitionBy(page_no, "video_id").orderBy("item"))).filter("again = 1")
+    placed = once.withColumn("pos", F.row_number().over(Window.partitionBy(page_no).orderBy("item")) - 1).filter(F.col("pos") < CARDS_A_PAGE)
+    return placed.select(page_no, "pos", "title", "slug", "movie_id", "video_page_id", "label", "video_id", "thumbnail")
 
 
 def trailer_feed(pages: DataFrame, page_no: str = "page_no", html_col: str = "html") -> DataFrame:
     """Cards of all pages before the first empty one, each video once (its first card), numbered in feed order."""
-    names = ["title", "slug", "movie_id", "video_page_id", "label", "video_id", "thumbnail"]
-    found = _rows(pages, page_no, html_col, "pos int, " + ", ".join(f"{n} string" for n in names), ["pos", *names], cards)
+    found = listing_cards(pages, page_no, html_col)
     counted = pages.select(page_no).join(found.select(page_no).distinct().withColumn("full", F.lit(True)), page_no, "left")
     stop = counted.filter("full is null").agg(F.min(page_no).alias("stop"))
     kept = found.join(F.broadcast(stop), F.lit(True)).filter(F.col("stop").isNull() | (F.col(page_no) < F.col("stop"))).drop("stop")
     firsts = kept.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy(page_no, "pos"))).filter("r = 1").drop("r")
     # numbers from counts by page: no window over the whole feed
-    per_page = firsts.groupBy(page_no).agg(F.count("*").alias("n"))
-    before = per_page.alias("a").join(per_page.alias("b"), F.col(f"b.{page_no}") < F.col(f"a.{page_no}"), "left").groupBy(F.col(f"a.{page_no}").alias(page_no)).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    before = running_totals(firsts.groupBy(page_no).agg(F.count("*").alias("n")), page_no, "n", "before")
     place = F.row_number().over(Window.partitionBy(page_no).orderBy("pos"))
-    return firsts.join(before, page_no).withColumn("number", (F.col("before") + place).cast("int")).drop("before")
+    return firsts.join(before.select(page_no, "before"), page_no).withColumn("number", (F.col("before") + place).cast("int")).drop("before")
 
 
 def feed_rows(feed: DataFrame, page_no: str = "page_no", page_url: Column | str = "page_url") -> DataFrame:

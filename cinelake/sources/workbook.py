@@ -29,29 +29,46 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+def sheet_names(z: zipfile.ZipFile) -> list[str]:
+    """A workbook's sheets in order, without reading them."""
+    return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")]
+
+
+def sheet_rows(z: zipfile.ZipFile, name: str):
+    """(row number, cells) of a sheet's values, a row at a time."""
+    shared = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    sheet = next(s for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet") if s.get("name") == name)
+    target = links[sheet.get(_LINK)].lstrip("/")
+    with z.open(target if target.startswith("xl/") else f"xl/{target}") as part:
+        seen = 0
+        for _, row in ElementTree.iterparse(part):
+            if row.tag != f"{_MAIN}row":
+                continue
+            seen += 1
+            cells: list[str] = []
+            for c in row.iter(f"{_MAIN}c"):
+                at = _column(c.get("r")) if c.get("r") else len(cells)
+                cells += [""] * (at - len(cells))
+                kind, v = c.get("t"), c.find(f"{_MAIN}v")
+                if kind == "inlineStr":
+                    text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                else:
+                    text = (v.text or "") if v is not None else ""
+                    text = shared[int(text)] if kind == "s" and text else text
+                cells.append(text)
+            yield int(row.get("r") or seen), cells
+            row.clear()
+
+
 def xlsx_rows(data: bytes):
     """(sheet, row number, cells) of a workbook's values."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-            target = links[sheet.get(_LINK)].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for i, row in enumerate(root.iter(f"{_MAIN}row"), 1):
-                cells: list[str] = []
-                for c in row.iter(f"{_MAIN}c"):
-                    at = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [""] * (at - len(cells))
-                    kind, v = c.get("t"), c.find(f"{_MAIN}v")
-                    if kind == "inlineStr":
-                        text = "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                    else:
-                        text = (v.text or "") if v is not None else ""
-                        text = shared[int(text)] if kind == "s" and text else text
-                    cells.append(text)
-                yield sheet.get("name"), int(row.get("r") or i), cells
+        for name in sheet_names(z):
+            for no, cells in sheet_rows(z, name):
+                yield name, no, cells
 
 
 def csv_rows(data: bytes):
