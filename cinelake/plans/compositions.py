@@ -135,15 +135,17 @@ def category_routing(t: Table) -> DataFrame:
     return _releases(t).select("k", category.alias("category"), F.get(classify.preferred_types(category), F.lit(0)).alias("first_type"))
 
 
-@query(f"""with r as ({RELEASES}) select k, 'cafe-and-ete-story-' || k as slug, 'A-Name-' || k || '--..csv' as file, substr('Sheet ' || k || ' of a title that is far too long', 1, 31) as sheet, 'Plan_ ' || k || '_validated.xlsx' as workbook from r where k >= 100""")
+@query(f"""with r as ({RELEASES}) select k, 'cafe-and-ete-story-' || k as slug, 'A-Name-' || k || '--..csv' as file, substr('Sheet ' || k || ' of a title that is far too long', 1, 31) as sheet, 'Plan_ ' || k || '_validated.xlsx' as workbook from r""")
 def file_names(t: Table) -> DataFrame:
-    return _releases(t).filter("k >= 100").select(
+    return _releases(t).select(
         "k", text.ascii_slug(_of("Café & Été — Story ", F.col("k"))).alias("slug"), text.safe_filename(_of(" A/Name: ", F.col("k"), "?-."), "csv").alias("file"),
         text.safe_sheet_title(_of("Sheet/", F.col("k"), " of a title that is far too long")).alias("sheet"), text.validated_filename(_of("Plan# ", F.col("k"), "?.xlsx")).alias("workbook"),
     )
 
 
-@query("select event_id, ts, event_type from events where event_type in ('click', 'view', 'purchase')")
+@query("select event_id, ts, event_type from events")
 def merged_runs(t: Table) -> DataFrame:
-    of = lambda kind: t("events").filter(F.col("event_type") == kind).select("event_id", "ts", "event_type")
-    return snapshots.merged_snapshots(of("click"), of("view"), of("purchase"), created="ts", run_id="event_id")
+    """Runs of the trackers, which event types stand for; what is of none of the named ones is the last tracker's."""
+    named = ["click", "view", "purchase", "signup"]
+    rows, kind = t("events").select("event_id", "ts", "event_type"), F.coalesce("event_type", F.lit(""))
+    return snapshots.merged_snapshots(*(rows.filter(kind == n) for n in named), rows.filter(~kind.isin(named)), created="ts", run_id="event_id")

@@ -112,17 +112,11 @@ def daily_and_window_sections(t: Table) -> DataFrame:
     return history.with_sections(rows, dt.date(1995, 6, 1), "day")
 
 
-@query("select min(doc_id) as doc_id, lang, lower(substr(text, 1, 60)) as start from documents where lang = 'en' and text is not null and substr(text, 1, 60) <> '' group by lang, lower(substr(text, 1, 60))")
+@query("select min(doc_id) as doc_id, lang, lower(text) as start, count(*) as copies from documents where text is not null and text <> '' group by lang, lower(text)")
 def dedupe_keep_first(t: Table) -> DataFrame:
-    rows = t("documents").filter("lang = 'en'").select("doc_id", "lang", F.lower(F.substring("text", 1, 60)).alias("start"))
-    return dedupe.keep_first(rows, ["lang", "start"], ["doc_id"], drop_blank="start").select("doc_id", "lang", "start")
-
-
-@query("select min(doc_id) as doc_id, lang, lower(text) as start from documents where text is not null and text <> '' group by lang, lower(text)")
-def dedupe_keep_first_whole(t: Table) -> DataFrame:
-    """All languages, by their whole texts."""
+    """Of each language the first document with a text, told by whole texts, and how many have it."""
     rows = t("documents").select("doc_id", "lang", F.lower("text").alias("start"))
-    return dedupe.keep_first(rows, ["lang", "start"], ["doc_id"], drop_blank="start").select("doc_id", "lang", "start")
+    return dedupe.first_of_texts(rows, ["lang"], "start", "doc_id", ["doc_id"], "copies")
 
 
 _LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -397,16 +391,9 @@ def _carried(t: Table) -> DataFrame:
     return items.select("conv_id", "turn", "role", "heading", "item")
 
 
-@query("""with w as (select conv_id, turn, role, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as item from conversations)
-select conv_id, turn, role, substr(heading, 1, 20) as heading, item from w""")
-def heading_carry_forward(t: Table) -> DataFrame:
-    return _carried(t).select("conv_id", "turn", "role", F.substring("heading", 1, 20).alias("heading"), "item")
-
-
 @query("""with w as (select conv_id, turn, role, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as heading, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as item from conversations)
 select conv_id, turn, role, heading, item from w""")
-def heading_carry_forward_whole(t: Table) -> DataFrame:
-    """With whole headings."""
+def heading_carry_forward(t: Table) -> DataFrame:
     return _carried(t)
 
 
@@ -570,7 +557,6 @@ def season_answers(t: Table) -> DataFrame:
     return lookups.season_fields(answers, "wanted").select("event_id", "season", "episodes")
 
 
-from cinelake.plans import compositions, pages  # noqa: E402, F401  they register their queries, for which they need what is above
 
 
 @query("""with f as (select o_custkey, min(cast(o_orderdate as date)) as first_day from orders group by 1)
@@ -681,3 +667,6 @@ def rule_report_all(t: Table) -> DataFrame:
 @query(_BROKEN_SQL + "select rule, count(*) filter (level = 'error') as errors, count(*) filter (level = 'suggestion') as suggestions from issues group by 1")
 def issue_counts_all(t: Table) -> DataFrame:
     return validate.issue_counts(validate.report(_broken_sheet(t)), "rule")
+
+
+from cinelake.plans import compositions, files, pages  # noqa: E402, F401  they register their queries, for which they need what is above

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 from pyspark.sql.types import StringType, StructType
 
 from cinelake.sources.workbook import sheet_names, sheet_rows
@@ -82,7 +82,7 @@ def _rows(piece: Piece) -> Iterator[tuple[int, list[str], str | None]]:
         with system.open_input_file(inner) as stream:
             for no, cells in sheet_rows(zipfile.ZipFile(stream), piece.sheet):
                 yield no, cells, None
-    except (zipfile.BadZipFile, KeyError, SyntaxError) as e:
+    except (zipfile.BadZipFile, KeyError, SyntaxError, ValueError) as e:
         yield 0, [], f"{type(e).__name__}: {e}"
 
 
@@ -91,15 +91,20 @@ class _Reader(DataSourceReader):
         self.path, self.schema, self.headed = options["path"], schema, headed
         self.sheets: set[str] | None = None
         self.wanted: dict[str, set] = {}
+        self.needed: set[str] = set()
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Equality and IN on texts are applied before rows are made; sheets that aren't asked for are never opened."""
+        """Equality, IN and IS NOT NULL on texts are applied before rows are made; sheets that aren't asked for are never opened."""
         for f in filters:
+            own = self.headed and getattr(f, "attribute", ("",))[0] in set(self.schema.names) - {*PLACES, BAD} and len(f.attribute) == 1
+            if isinstance(f, IsNotNull) and own:
+                self.needed.add(f.attribute[0])
+                continue
             values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
             name = f.attribute[0] if values is not None and len(f.attribute) == 1 else None
             if name in ("sheet", "_sheet") and name in self.schema.names:
                 self.sheets = values if self.sheets is None else self.sheets & values
-            elif self.headed and name in self.schema.names and name not in (*PLACES, BAD):
+            elif name is not None and own:
                 self.wanted[name] = self.wanted.get(name, values) & values
             else:
                 yield f
@@ -114,7 +119,7 @@ class _Reader(DataSourceReader):
             with system.open_input_file(inner) as stream:
                 try:
                     pieces += [Piece(path, name) for name in sheet_names(zipfile.ZipFile(stream))]
-                except (zipfile.BadZipFile, KeyError, SyntaxError):
+                except (zipfile.BadZipFile, KeyError, SyntaxError, ValueError):
                     pieces.append(Piece(path, ""))  # read() reports it
         return [p for p in pieces if self.sheets is None or p.sheet in self.sheets] or [Piece("", "")]
 
@@ -147,7 +152,7 @@ class _Reader(DataSourceReader):
                 raise ValueError(f"{piece.path}, row {no}: {bad}; ask for a column {BAD} to have such rows reported")
             value = dict(zip(header or [], cells)) | {"_path": piece.path, "_sheet": piece.sheet, "_row_no": no, BAD: bad}
             value = {n: None if v == r"\N" else v for n, v in value.items()}
-            if all(value.get(n) in wanted for n, wanted in self.wanted.items()):
+            if all(value.get(n) in wanted for n, wanted in self.wanted.items()) and all(value.get(n) is not None for n in self.needed):
                 yield [value.get(n) for n in self.schema.names]
 
 

@@ -1,11 +1,7 @@
-"""Writers: CSV in two dialects, XLSX, JSON payloads."""
+"""Writers: CSV in two dialects and JSON payloads; workbooks are in `books`."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,45 +35,3 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
 def column_widths(df: DataFrame, columns: list[str], most: int = 60, least: int = 12) -> DataFrame:
     """The width of each column in characters, between `least` and `most`."""
     return df.agg(*(F.greatest(F.least(F.greatest(F.coalesce(F.max(F.length(F.col(f"`{c}`").cast("string"))), F.lit(0)), F.lit(len(c))) + 2, F.lit(most)), F.lit(least)).alias(c) for c in columns))
-
-
-def _letters(i: int) -> str:
-    out = ""
-    while i >= 0:
-        out, i = chr(65 + i % 26) + out, i // 26 - 1
-    return out
-
-
-def xlsx_bytes(rows, columns: list[str], widths: list[int], sheet: str = "Sheet1") -> bytes:
-    """A workbook of one sheet: bold header, frozen first row, texts in line. `rows` may be an iterator."""
-    body = io.StringIO()
-    cell = lambda r, i, v, style="": f'<c r="{_letters(i)}{r}" t="inlineStr"{style}><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-    body.write('<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews><cols>')
-    body.write("".join(f'<col min="{i}" max="{i}" width="{w}" customWidth="1"/>' for i, w in enumerate(widths, 1)) + "</cols><sheetData>")
-    body.write('<row r="1">' + "".join(cell(1, i, c, ' s="1"') for i, c in enumerate(columns)) + "</row>")
-    for r, values in enumerate(rows, 2):
-        body.write(f'<row r="{r}">' + "".join(cell(r, i, "" if v is None else v) for i, v in enumerate(values)) + "</row>")
-    body.write("</sheetData></worksheet>")
-    parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet[:31])}" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>',
-        "xl/styles.xml": '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": body.getvalue(),
-    }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    return out.getvalue()
-
-
-def write_xlsx(df: DataFrame, path: str, columns: list[str], sheet: str = "Sheet1") -> None:
-    """One workbook on the driver's disk, rows fetched a partition at a time; refuses more rows than a sheet can hold."""
-    named = ordered(df, columns)
-    if named.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
-        raise ValueError(f"a sheet holds {SHEET_ROWS} rows; write CSV instead")
-    widths = list(column_widths(named, columns).first())
-    with open(path, "wb") as f:
-        f.write(xlsx_bytes((tuple(r) for r in named.toLocalIterator()), columns, widths, sheet))

@@ -13,8 +13,6 @@ NAME_COLUMNS = ["nconst", "primaryName", "birthYear", "deathYear", "primaryProfe
 EPISODE_COLUMNS = ["tconst", "parentTconst", "seasonNumber", "episodeNumber"]
 LOOKUP_TYPES = ["movie", "tvMovie", "tvSeries", "tvMiniSeries", "videoGame"]
 SERIES_TYPES = ["tvSeries", "tvMiniSeries"]
-#: Bump when the derived tables' columns change.
-INDEX_VERSION = 1
 
 
 def _read(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -42,25 +40,3 @@ def episodes(spark: SparkSession, path: str, series: DataFrame) -> DataFrame:
     """Episodes of known series; Spark broadcasts the ids if they are few."""
     rows = _texts(_read(spark, path, EPISODE_COLUMNS), {"parentTconst": "parent", "seasonNumber": "season", "episodeNumber": "episode"})
     return rows.join(series.select(F.col("tconst").alias("parent")), "parent", "left_semi")
-
-
-def build_index(spark: SparkSession, title_path: str, name_path: str, episode_path: str, out: str, buckets: int = 64) -> None:
-    """Derived tables in `out`, clustered by what lookups join on. A gzip file is one task, so rows are dealt out again after the scan."""
-    found = titles(spark, title_path)
-    found.repartition(buckets, "normalized_primary").write.mode("overwrite").parquet(f"{out}/titles")
-    names(spark, name_path).repartition(buckets, "normalized_name").write.mode("overwrite").parquet(f"{out}/names")
-    stored = spark.read.parquet(f"{out}/titles")
-    episodes(spark, episode_path, stored.filter(F.col("title_type").isin(SERIES_TYPES))).repartition(buckets, "parent").write.mode("overwrite").parquet(f"{out}/episodes")
-    spark.createDataFrame([(INDEX_VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{out}/metadata")
-
-
-def index_is_current(spark: SparkSession, out: str) -> bool:
-    """Whether the tables of `out` are of this version and have the columns that lookups need."""
-    try:
-        version = spark.read.parquet(f"{out}/metadata").first().version
-        columns = set(spark.read.parquet(f"{out}/titles").columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return False
-        raise
-    return version == INDEX_VERSION and {"normalized_primary", "normalized_original", "title_type", "start_year"} <= columns

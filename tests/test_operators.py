@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cinelake.operators import changes, dedupe, facets, history, ingest, resolve, rollup, validate
 from cinelake.plans import registry
-from cinelake.sources import html, sinks, tsv, workbook
+from cinelake.sources import books, html, sinks, tsv, workbook
 
 
 def rows(df, *by):
@@ -82,8 +82,8 @@ def test_dumps_are_filtered_at_the_scan(spark, tmp_path):
 
 def test_workbooks_find_their_header(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿report,,\nTitle,Title_Category,genre,Title\nDune,Movies,Sci-Fi,again\n,,,\n".encode())
-    data = sinks.xlsx_bytes([("Fox", "TV Shows")], ["title", "category"], [12, 12], "One")
-    (tmp_path / "b.xlsx").write_bytes(data)
+    sheet = books.table_sheet(spark.createDataFrame([("Fox", "TV Shows")], "title string, category string"), ["title", "category"], ["title"], "One")
+    books.write_book(spark, str(tmp_path / "b.xlsx"), [sheet])
     out = workbook.as_columns(workbook.parsed_rows(workbook.read_cells(spark, str(tmp_path)))).select("sheet", "row_no", "title", F.coalesce("title category", "category").alias("c"))
     assert rows(out, "sheet") == [("CSV", 3, "Dune", "Movies"), ("One", 2, "Fox", "TV Shows")]
 
@@ -132,6 +132,6 @@ def test_queries_take_the_whole_tables(spark, tmp_path):
     put("customer", [(i, i) for i in range(1100)], "c_custkey long, c_nationkey long")
     put("nation", [(i, "N") for i in range(1100)], "n_nationkey long, n_name string")
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path))
-    assert [r.doc_id for r in run("dedupe_keep_first_whole").orderBy("doc_id").collect()] == [1, 2, 4]
-    assert {r.heading for r in run("heading_carry_forward_whole").collect()} == {"h" * 30}
+    assert [r.doc_id for r in run("dedupe_keep_first").orderBy("doc_id").collect()] == [1, 2, 4]
+    assert {r.heading for r in run("heading_carry_forward").collect()} == {"h" * 30}
     assert [(r.distributor, r.n) for r in run("top12_distributors").collect()] == [("N", 1100)]
