@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import classify, dates, scoring, seasons, text
 from cinelake.operators import candidates, resolve, rollup
+from cinelake.sources import lookups
 from cinelake.sources.calendars import page_url
 
 # Episodes of seasons that no source has right, by title key, season and year.
@@ -59,16 +60,30 @@ def matched_series(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
     asked = rows.withColumns({"key": text.title_key(bare_title("title")), "wanted": F.year("release_date"), "expected": F.when(F.lower("release_type").contains("limited"), "tvMiniSeries").otherwise("tvSeries")})
     keyed = catalogue.filter(F.col("kind").isin("tvSeries", "tvMiniSeries")).withColumns({"primary_key": text.title_key("primary_title"), "original_key": text.title_key("original_title")})
     score = lambda: F.when(F.col("code").isNotNull(), scoring.series_score(F.col("kind"), F.col("expected"), F.col("primary_key"), F.col("original_key"), F.col("key"), F.col("year").cast("int"), F.col("wanted")))
-    best = resolve.best_match(asked.select("key", "wanted", "expected").distinct(), resolve.with_keys(keyed, "primary_key", "original_key"), ["key"], ["key", "wanted", "expected"], score, "code", least=1, keep=["code"])
-    return asked.join(best.drop("score"), ["key", "wanted", "expected"], "left").drop("key", "wanted", "expected")
+    best = resolve.best_match(asked.select("key", "wanted", "expected").distinct(), resolve.with_keys(keyed, "primary_key", "original_key"), ["key"], ["key", "wanted", "expected"], score, "code", least=1, keep=["code", "kind", "year"])
+    found = best.select("key", "wanted", "expected", "code", F.col("kind").alias("matched_type"), F.col("year").cast("int").alias("matched_year"))
+    return asked.join(found, ["key", "wanted", "expected"], "left").withColumnRenamed("expected", "expected_type").drop("key", "wanted")
+
+
+def remarks() -> Column:
+    """What a person should know of a row's match (code, matched_type, expected_type, matched_year, release_date); empty without a match."""
+    year = F.year("release_date")
+    return F.when(
+        F.col("code").isNotNull() & (F.col("code").cast("string") != ""),
+        F.concat_ws(
+            " ", F.lit("The title's key is equal."),
+            F.when(F.col("matched_type") != F.col("expected_type"), F.concat(F.lit("It is a "), "matched_type", F.lit(", "), "expected_type", F.lit(" was looked for."))),
+            F.when(F.coalesce("matched_year", F.lit(0)) == 0, F.lit("No start year is known.")).when(F.col("matched_year") != year, F.concat(F.lit("It starts in "), "matched_year", F.lit(", not in "), year, F.lit("."))),
+        ),
+    ).otherwise("")
 
 
 def series_snapshot(calendar: DataFrame, catalogue: DataFrame, episodes: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Eligible calendar rows of the window with code, total_seasons, total_episodes, end_date and note; what no series matches is for a person to review.
+    """Eligible calendar rows of the window with code, total_seasons, total_episodes, end_date, note and remarks; what no series matches is for a person to review.
 
     episodes is (code, season, episode). The end comes from what the row itself tells.
     """
-    rows = matched_series(eligible(calendar, start, end), catalogue)
+    rows = matched_series(eligible(calendar, start, end), catalogue).withColumn("remarks", remarks()).drop("matched_type", "matched_year", "expected_type")
     totals = rollup.series_totals(episodes, "code", "season")
     said = F.concat_ws(" ", "details", "availability")
     days = F.concat(F.array("release_date"), seasons.episode_dates(said, "release_date"))
@@ -80,13 +95,46 @@ def series_snapshot(calendar: DataFrame, catalogue: DataFrame, episodes: DataFra
     }).drop("n_seasons", "n_episodes")
 
 
-def series_snapshot_of_answers(calendar: DataFrame, answers: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Like series_snapshot with landed answers in place of the index: (key, code, seasons, episodes), the first source with a code wins."""
-    rows = eligible(calendar, start, end).withColumn("key", text.title_key(bare_title("title")))
-    best = answers.groupBy("key").agg(F.min_by(F.struct("code", "seasons", "episodes"), F.struct(F.coalesce("code", F.lit("")) == "", "source")).alias("a"))
-    joined = rows.join(best, "key", "left")
-    return joined.select(*calendar.columns, F.coalesce("a.code", F.lit("")).alias("code"), F.col("a.seasons").alias("total_seasons"), F.col("a.episodes").alias("total_episodes"),
-                         F.when(F.coalesce("a.code", F.lit("")) == "", "No confident match").otherwise("Matched").alias("note"))
+#: Score from which an answer of the first and of the second source is taken. Fixed values.
+FIRST_SCORE, SECOND_SCORE = 45, 55
+
+
+def best_answers(asked: DataFrame, answers: DataFrame, least: int) -> DataFrame:
+    """(key, wanted, answer) of the questions (key, wanted: a year or null) that have an answer of score `least`: the best one, the first of equals, as a struct.
+
+    answers is (key, place, name, year, …). The score is the similarity of the names by matching
+    blocks, times 100, and 25 for the wanted year or 10 for the next one on either side.
+    """
+    rest = [c for c in answers.columns if c != "key"]
+    bonus = lambda: F.coalesce(scoring.year_bonus(F.col("__year").cast("int"), F.col("wanted")), F.lit(0))
+    probes = asked.select("key", "wanted").distinct().withColumn("probe", F.col("key"))
+    named = answers.select("key", text.title_key("name").alias("answer"), F.col("year").alias("__year"), F.struct(*rest).alias("a"))
+    scored = candidates.similar_pairs(probes, named, least, ["key"], bonus, 25)
+    return scored.groupBy("key", "wanted").agg(F.min_by("a", F.struct((-F.col("score")).alias("s"), F.col("a.place").alias("p"))).alias("answer"))
+
+
+def series_snapshot_of_answers(calendar: DataFrame, first: DataFrame, second: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Eligible calendar rows of the window with code, total_seasons, total_episodes and note, from landed answers in place of the index.
+
+    Both answers are (key, place, name, year, code, seasons, episodes) by the asked title's key. A
+    row has what its best answer of the first source tells. Only where that has no code, the best of
+    the second counts: its code, its note, and what the first left open, field by field.
+    """
+    rows = eligible(calendar, start, end).withColumns({"key": text.title_key(bare_title("title")), "wanted": F.year("release_date")})
+    one, two = (best_answers(rows, a, least).withColumnRenamed("answer", n) for a, least, n in ((first, FIRST_SCORE, "one"), (second, SECOND_SCORE, "two")))
+    joined = rows
+    for found in (one, two):
+        keyed = found.select(F.col("key").alias("__key"), F.col("wanted").alias("__wanted"), found.columns[-1])
+        joined = joined.join(keyed, (F.col("key") == F.col("__key")) & F.col("wanted").eqNullSafe(F.col("__wanted")), "left").drop("__key", "__wanted")
+    told = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    some = lambda c: F.nullif(c, F.lit(0))
+    own, other = told(F.col("one.code")), told(F.col("two.code"))
+    helped = own.isNull() & other.isNotNull()
+    field = lambda n: F.coalesce(some(F.col(f"one.{n}")), F.when(helped, some(F.col(f"two.{n}"))))
+    return joined.select(
+        *calendar.columns, F.coalesce(own, other, F.lit("")).alias("code"), field("seasons").alias("total_seasons"), field("episodes").alias("total_episodes"),
+        F.when(own.isNotNull(), "Matched").when(helped, "Matched by the second source").when(F.col("one").isNotNull(), "Matched without a code").otherwise("No confident match").alias("note"),
+    )
 
 
 def episode_override(title: Column | str, season: Column, year: Column) -> Column:
@@ -112,6 +160,40 @@ def season_snapshot(calendar: DataFrame, catalogue: DataFrame, episodes: DataFra
                          F.coalesce(seasons.stated_end(F.col("details"), "release_date"), dates.season_end(F.col("release_date"), days)).alias("end_date"))
 
 
+def season_snapshot_of_answers(calendar: DataFrame, answers: DataFrame, pages: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Eligible calendar rows of the window with code, season, season_episodes, start_date and end_date, from landed answers and season pages.
+
+    answers is (key, place, name, year, code, body), a catalogue's details as JSON; pages is (key,
+    season, text), what season and episode pages say. The season is the one that a row tells where
+    the answer has it, else the answer's latest, else what the row tells. The pages of the told and
+    of the found season add up. The start is the answer's, else the pages', else the calendar's; the
+    count the largest of the answer's, the pages', the row's own words' and the fixed overrides'; the
+    end is what the row states, else it follows from all days that are known.
+    """
+    rows = eligible(calendar, start, end).withColumns({"key": text.title_key(bare_title("title")), "wanted": F.year("release_date"), "told": told_season("title", F.col("details"))})
+    asked = rows.select("key", "wanted", "told").distinct()
+    best = best_answers(rows, answers, FIRST_SCORE)
+    found = lookups.season_fields(asked.join(best, ["key", "wanted"]).select("key", "wanted", "told", F.col("answer.code").alias("code"), F.col("answer.body").alias("body")), "told").drop("body")
+    same = F.col("told").eqNullSafe(F.col("__told"))
+    seen = found.select(F.col("key").alias("__key"), F.col("wanted").alias("__wanted"), F.col("told").alias("__told"), "code", "season", "episodes", "season_date", "last_date")
+    joined = rows.join(seen, (F.col("key") == F.col("__key")) & F.col("wanted").eqNullSafe(F.col("__wanted")) & same, "left").drop("__key", "__wanted", "__told")
+    joined = joined.withColumn("season", F.coalesce("season", "told"))
+    context = pages.groupBy("key", "season").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text")).select(F.col("key").alias("__key"), F.col("season").alias("__season"), seasons.season_context("text").alias("context"), seasons.page_episodes("text", "season").alias("numbered"))
+    for name, number in (("told_page", "told"), ("own_page", "season")):
+        page = context.select(F.col("__key"), F.col("__season"), F.struct("context", "numbered").alias(name))
+        joined = joined.join(page, (F.col("key") == F.col("__key")) & (F.col(number) == F.col("__season")), "left").drop("__key", "__season")
+    page = seasons.merged_context(F.col("told_page.context"), F.col("own_page.context"))
+    merged = joined.withColumn("page", page).withColumn("begins", F.coalesce("season_date", "page.first", "release_date"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    count = rollup.greatest_count(
+        zero(F.col("episodes")), zero(F.col("page.episodes")), zero(F.col("told_page.numbered")), zero(F.col("own_page.numbered")),
+        seasons.told_episodes(F.concat_ws(" ", "title", "details"), zero(F.col("season"))), episode_override(bare_title("title"), F.col("season"), F.year("release_date")),
+    )
+    days = F.concat(F.array_compact(F.array("page.first", "page.last", "season_date", "last_date")), seasons.episode_dates(F.col("details"), "begins"))
+    return merged.select(*calendar.columns, F.coalesce("code", F.lit("")).alias("code"), "season", count.alias("season_episodes"), F.col("begins").alias("start_date"),
+                         F.coalesce(seasons.stated_end(F.col("details"), "begins"), dates.season_end(F.col("begins"), days)).alias("end_date"))
+
+
 def calendar_candidates(asked: DataFrame, calendar: DataFrame) -> DataFrame:
     """(key, day, network, c) of asked shows (key, day, network): the calendar's row c with the best score by title, day and network, ties to the earlier day, then address.
 

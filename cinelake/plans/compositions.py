@@ -52,13 +52,53 @@ def snapshot_summary(t: Table) -> DataFrame:
     return snapshots.summary(found, F.col("note") == "Matched", START, END)
 
 
-@query(f"""with {_CALENDAR}, a as (select s_suppkey, lower('Show ' || s_suppkey % 45) as key, case when s_suppkey % 3 = 0 then '' else 'tt' || s_suppkey end as code, s_suppkey % 5 as seasons, s_suppkey % 11 as episodes from supplier),
-b as (select * from a qualify row_number() over (partition by key order by code = '', s_suppkey) = 1)
-select k, title, coalesce(b.code, '') as code, seasons as total_seasons, episodes as total_episodes, case when coalesce(b.code, '') = '' then 'No confident match' else 'Matched' end as note from cal c left join b on b.key = lower(c.bare)""")
+_WIDE = _CALENDAR.replace("'Show ' || s_suppkey % 45 as title", "'Show ' || s_suppkey % 23 as title")
+
+
+@query(f"""with {_WIDE} select k, coalesce(cast(m.code as varchar), '') as code, case when m.code is null then 'Manual review' else 'Matched' end as note,
+case when m.code is null then '' else 'The title''s key is equal.' || case when s.type <> e.expected then ' It is a ' || s.type || ', ' || e.expected || ' was looked for.' else '' end
+  || case when s.year is null then ' No start year is known.' when s.year <> 2026 then ' It starts in ' || s.year || ', not in 2026.' else '' end end as remarks
+from matched m join (select k, case when kind = 1 then 'tvMiniSeries' else 'tvSeries' end as expected from cal) e using (k) left join shows s on s.code = m.code""")
+def series_remarks(t: Table) -> DataFrame:
+    """What a match differs in: another type, another year; titles without a series are for review."""
+    shows = _shows(t).withColumn("primary_title", _of("Show ", F.col("code") % 23))
+    found = snapshots.series_snapshot(_calendar(t), shows, _episodes(t), START, END)
+    return found.select("k", "code", "note", "remarks")
+
+
+@query(f"""with {_CALENDAR}, one as (select lower('Show ' || s_suppkey % 35) as key, s_suppkey as place, 100 + case s_suppkey % 4 when 0 then 25 when 1 then 10 else 0 end as score, case when s_suppkey % 6 = 0 then '' else 'tt' || s_suppkey end as code,
+  s_suppkey % 5 as seasons, s_suppkey % 11 as episodes from supplier where s_suppkey % 4 <> 2),
+b1 as (select * from one qualify row_number() over (partition by key order by score desc, place) = 1),
+b2 as (select lower('Show ' || c_custkey % 37) as key, 'om' || c_custkey as code, c_custkey % 4 as seasons, 0 as episodes from customer where c_custkey % 3 <> 0 qualify row_number() over (partition by c_custkey % 37 order by c_custkey) = 1)
+select k, title, coalesce(nullif(b1.code, ''), b2.code, '') as code, coalesce(nullif(b1.seasons, 0), case when coalesce(b1.code, '') = '' then nullif(b2.seasons, 0) end) as total_seasons, nullif(b1.episodes, 0) as total_episodes,
+case when b1.code <> '' then 'Matched' when b2.code is not null then 'Matched by the second source' when b1.key is not null then 'Matched without a code' else 'No confident match' end as note
+from cal c left join b1 on b1.key = lower(c.bare) left join b2 on b2.key = lower(c.bare)""")
 def series_snapshot_of_answers(t: Table) -> DataFrame:
-    k = F.col("s_suppkey")
-    answers = t("supplier").select(text.title_key(_of("Show ", k % 45)).alias("key"), F.when(k % 3 == 0, "").otherwise(_of("tt", k)).alias("code"), (k % 5).alias("seasons"), (k % 11).alias("episodes"), k.alias("source"))
-    return snapshots.series_snapshot_of_answers(_calendar(t), answers, START, END).select("k", "title", "code", "total_seasons", "total_episodes", "note")
+    """Two sources: names that aren't like the asked one, other years, answers without a code, and questions that neither answers."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    year = F.when(s % 4 == 0, 2026).when(s % 4 == 1, 2025).otherwise(2020)
+    first = t("supplier").select(text.title_key(_of("Show ", s % 35)).alias("key"), s.alias("place"), F.when(s % 4 == 2, "qqqq").otherwise(_of("Show ", s % 35)).alias("name"), year.alias("year"), F.when(s % 6 == 0, "").otherwise(_of("tt", s)).alias("code"), (s % 5).alias("seasons"), (s % 11).alias("episodes"))
+    second = t("customer").select(text.title_key(_of("Show ", c % 37)).alias("key"), c.alias("place"), F.when(c % 3 == 0, "zzzz").otherwise(_of("Show ", c % 37)).alias("name"), F.lit(None).cast("int").alias("year"), _of("om", c).alias("code"), (c % 4).alias("seasons"), F.lit(0).alias("episodes"))
+    return snapshots.series_snapshot_of_answers(_calendar(t), first, second, START, END).select("k", "title", "code", "total_seasons", "total_episodes", "note")
+
+
+@query(f"""with {_CALENDAR}, a as (select lower('Show ' || s_suppkey % 30) as key, min(s_suppkey) as s from supplier group by 1),
+p as (select distinct lower('Show ' || c_custkey % 35) as key, c_custkey % 3 + 1 as season from customer),
+j as (select c.*, a.s, case when kind = 0 then 2 end as told from cal c left join a on a.key = lower(c.bare)),
+x as (select j.*, case when s is null then told when told is not null and s % 2 = 0 then told else 3 end as season from j),
+y as (select x.*, case when s is not null then case when x.season = 2 then date '2026-02-02' else date '2026-02-03' end end as season_date, p.season is not null as has_page from x left join p on p.key = lower(x.bare) and p.season = x.season)
+select k, title, case when s is null then '' else 'tt' || s end as code, cast(season as int) as season, nullif(greatest(coalesce(case when s is not null then season + 5 end, 0), case when has_page or (told is not null and exists (select 1 from p where p.key = lower(y.bare) and p.season = told)) then 9 else 0 end), 0) as season_episodes,
+coalesce(season_date, case when has_page then date '2026-01-05' end, day) as start_date,
+case when kind = 2 then date '2026-04-30' when s is not null then date '2026-03-30' when has_page then date '2026-03-09' else null end as end_date from y where kind <> 99""")
+def season_snapshot_of_answers(t: Table) -> DataFrame:
+    """Answers with and without the told season, season pages, and titles that neither knows."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    listed = F.when(s % 2 == 0, '{"season_number": 2, "episode_count": 7, "air_date": "2026-02-02"}, ').otherwise("")
+    body = _of('{"seasons": [', listed, '{"season_number": 3, "episode_count": 8, "air_date": "2026-02-03"}], "last_episode_to_air": {"air_date": "2026-03-30"}}')
+    answers = t("supplier").select(text.title_key(_of("Show ", s % 30)).alias("key"), s.alias("place"), _of("Show ", s % 30).alias("name"), F.lit(2026).alias("year"), _of("tt", s).alias("code"), body.alias("body"))
+    said = "Episode 1 Jan 5, 2026 The start. Episode 2 Mar 9, 2026 More. 9 episodes"
+    pages = t("customer").select(text.title_key(_of("Show ", c % 35)).alias("key"), (c % 3 + 1).cast("int").alias("season"), F.lit(said).alias("text")).distinct()
+    return snapshots.season_snapshot_of_answers(_calendar(t), answers, pages, START, END).select("k", "title", "code", "season", "season_episodes", "start_date", "end_date")
 
 
 @query(f"""with {_CALENDAR}, counted as (select l_suppkey as code, l_linenumber as season, count(distinct l_partkey) as n from lineitem group by 1, 2), latest as (select code, max(season) as season, arg_max(n, season) as n from counted group by 1),
