@@ -280,3 +280,27 @@ def test_queries_give_what_their_sql_gives(spark, name):
     rows = sorted(wanted.fetchall(), key=repr)
     found = registry.queries()[name](spark, "/root/testdata/sf0.001").select(names).collect()
     assert rows and sorted(map(tuple, found), key=repr) == rows
+
+
+# 4, rows that share an id
+
+
+def test_lines_of_rows_that_share_an_id_are_not_lost(spark):
+    from cinelake.llm import line_dedup
+
+    shared = "the same long line of words that stands in several documents"
+    rows = [(1, f"first line of the first row\n{shared}"), (2, f"opening line of another document here\n{shared}"), (2, "a wholly other text begins like this\nunique text that is nowhere else"), (3, f"{shared}\nlast"), (4, shared), (4, shared)]
+    df = spark.createDataFrame([(i, t, "p", 7, "n") for i, t in rows], "doc_id long, text string, places string, n_lines int, id string")
+    out = line_dedup.dedup_lines(df).collect()
+    assert set(out[0].asDict()) >= {"places", "id", "n_lines", "n_dropped", "dropped"} and {r.places for r in out} == {"p"}
+    texts = sorted((r.doc_id, r.text) for r in out)
+    assert texts == sorted([*rows[:3], (3, "last"), (4, ""), (4, "")])
+
+
+def test_the_pipeline_s_line_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    line = "a line of words that is long enough to be repeated"
+    df = spark.createDataFrame([(1, line, 5, "x"), (2, f"{line}\nother words", 6, "y")], "doc_id long, text string, n_lines int, places string")
+    out = corpus_pipeline.without_repeated_lines(spark, df, "")
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, line, 5, "x"), (2, "other words", 6, "y")]
