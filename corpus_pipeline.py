@@ -18,9 +18,13 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat earlier ones; those of which nothing but blank lines is left go, those that never had a word stay."""
-    kept = line_dedup.dedup_lines(docs)
-    left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")
-    return kept.filter(left).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    # columns of docs that have the names of dedup_lines' own step aside
+    own = {c: f"__docs_{c}" for c in ("n_lines", "n_dropped", "dropped") if c in docs.columns}
+    kept = line_dedup.dedup_lines(docs.withColumnsRenamed(own))
+    left = kept.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
