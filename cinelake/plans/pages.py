@@ -47,15 +47,18 @@ def _dated() -> Column:
     return _of("<h3>", F.date_format("day", "EEE / MMM d, yyyy"), "</h3>")
 
 
+def _tv_pages(t: Table) -> DataFrame:
+    rows = _releases(t)
+    told = _kind("Drama: season 2 of a tale", "Crime/Drama: a limited series", "Comedy: jokes", "Reality: people")
+    line = _of("<tr><td>", F.col("score"), '</td><td><a href="/tv/story-', F.col("k"), '">', F.col("title"), "</a> ", told, "</td><td>", _kind("Netflix", "FX", "Netflix", "Hulu"), "</td></tr>")
+    return _html(rows, line, "<table>", "</table>", _dated())
+
+
 @query(f"""with r as ({RELEASES}) select page_id, title, day as release_date, score, list_value('Drama', 'Crime/Drama', 'Comedy', 'Reality')[kind + 1] as genre,
 list_value('season 2 of a tale', 'a limited series', 'jokes', 'people')[kind + 1] as details, list_value('Netflix', 'FX', 'Netflix', 'Hulu')[kind + 1] as availability,
 list_value('Returning Series', 'Limited Series', 'TV Series', 'TV Series')[kind + 1] as release_type, 'https://www.metacritic.com/tv/story-' || k as page_url from r""")
 def tv_calendar_tables(t: Table) -> DataFrame:
-    rows = _releases(t)
-    told = _kind("Drama: season 2 of a tale", "Crime/Drama: a limited series", "Comedy: jokes", "Reality: people")
-    line = _of("<tr><td>", F.col("score"), '</td><td><a href="/tv/story-', F.col("k"), '">', F.col("title"), "</a> ", told, "</td><td>", _kind("Netflix", "FX", "Netflix", "Hulu"), "</td></tr>")
-    pages = _html(rows, line, "<table>", "</table>", _dated())
-    found = calendars.tv_calendar(blocks.blocks(pages), AS_OF)
+    found = calendars.tv_calendar(blocks.blocks(_tv_pages(t)), AS_OF)
     return found.select("page_id", "title", "release_date", "score", "genre", "details", "availability", "release_type", "page_url")
 
 
@@ -68,12 +71,16 @@ def tv_calendar_lines(t: Table) -> DataFrame:
     return found.select("page_id", "title", "release_date", "score", "genre", "availability", "page_url")
 
 
+def _movie_pages(t: Table) -> DataFrame:
+    line = _of("<p>", F.col("score"), "</p><p>", F.col("title"), "</p><p>-</p><p>Trailer</p><p>(Studio ", F.col("kind"), ")</p><p>", _kind("Action/Thriller WIDE; IMAX", "Drama Limited", "Horror Streaming (Netflix)", "Comedy VOD"), "</p>")
+    return _html(_releases(t), line, heading=_dated())
+
+
 @query(f"""with r as ({RELEASES}) select page_id, title, day as release_date, score, 'Studio ' || kind as studio, list_value('Action/Thriller', 'Drama', 'Horror', 'Comedy')[kind + 1] as genre,
 list_value('WIDE; IMAX', 'Limited', 'Streaming (Netflix)', 'VOD')[kind + 1] as availability, list_value('Movie', 'Movie', 'Streaming Movie', 'VOD Movie')[kind + 1] as content_format,
 'https://www.metacritic.com/movie/story-' || k || '/' as page_url from r""")
 def movie_calendar_lines(t: Table) -> DataFrame:
-    line = _of("<p>", F.col("score"), "</p><p>", F.col("title"), "</p><p>-</p><p>Trailer</p><p>(Studio ", F.col("kind"), ")</p><p>", _kind("Action/Thriller WIDE; IMAX", "Drama Limited", "Horror Streaming (Netflix)", "Comedy VOD"), "</p>")
-    found = calendars.movie_calendar(blocks.blocks(_html(_releases(t), line, heading=_dated())), AS_OF)
+    found = calendars.movie_calendar(blocks.blocks(_movie_pages(t)), AS_OF)
     return found.select("page_id", "title", "release_date", "score", "studio", "genre", "availability", "content_format", "page_url")
 
 
@@ -88,20 +95,27 @@ def game_calendar_lines(t: Table) -> DataFrame:
     return calendars.game_calendar(blocks.blocks(_html(_releases(t).filter("kind <> 3"), line)), AS_OF).select("page_id", "title", "release_date", "availability", "genre", "details", "release_type")
 
 
-@query(_GAMES)
-def game_calendar_tables(t: Table) -> DataFrame:
+def _game_pages(t: Table) -> DataFrame:
     detail = _of("RPG - ", F.date_format("day", "MMM d, yyyy"), _kind(" - early access", "", " - expansion"))
     line = _of("<tr><td>", F.col("score"), "</td><td><a href='/game/", F.col("k"), "'>", F.col("title"), "</a> ", _kind("PC PS5", "NS", "PC"), " ", detail, "</td></tr>")
-    return calendars.game_calendar(blocks.blocks(_html(_releases(t).filter("kind <> 3"), line, "<table>", "</table>")), AS_OF).select("page_id", "title", "release_date", "availability", "genre", "details", "release_type")
+    return _html(_releases(t).filter("kind <> 3"), line, "<table>", "</table>")
+
+
+@query(_GAMES)
+def game_calendar_tables(t: Table) -> DataFrame:
+    return calendars.game_calendar(blocks.blocks(_game_pages(t)), AS_OF).select("page_id", "title", "release_date", "availability", "genre", "details", "release_type")
+
+
+def _release_pages(t: Table) -> DataFrame:
+    cell = _of('<a href="/release/rl', F.col("k"), '/"><h3>', F.col("title"), "</h3></a> ", _kind("Action Drama", "Comedy", "Horror", "Drama"), " With: Ann Lee, Bo ", F.col("k"), " ", F.col("kind") + 90, " min")
+    line = _of("<tr><td>", cell, "</td><td>House ", F.col("kind"), "</td><td>", F.when(F.col("kind") < 2, "Wide").otherwise("Limited"), "</td></tr>")
+    return _html(_releases(t), line, "", "</table>", _of("<table><tr><td>", F.date_format("day", "EEEE, MMMM d, yyyy"), "</td></tr>"))
 
 
 @query(f"""with r as ({RELEASES}) select page_id, title, day as release_date, 'House ' || kind as distributor, case when kind < 2 then 'Wide' else 'Limited' end as scale, list_value('Action Drama', 'Comedy', 'Horror', 'Drama')[kind + 1] as genre,
 (90 + kind) || ' min' as running_time, 'With: Ann Lee, Bo ' || k as details, 'https://www.boxofficemojo.com/release/rl' || k || '/' as source_url from r where day between date '2026-03-03' and date '2026-03-15'""")
 def release_calendar_tables(t: Table) -> DataFrame:
-    cell = _of('<a href="/release/rl', F.col("k"), '/"><h3>', F.col("title"), "</h3></a> ", _kind("Action Drama", "Comedy", "Horror", "Drama"), " With: Ann Lee, Bo ", F.col("k"), " ", F.col("kind") + 90, " min")
-    line = _of("<tr><td>", cell, "</td><td>House ", F.col("kind"), "</td><td>", F.when(F.col("kind") < 2, "Wide").otherwise("Limited"), "</td></tr>")
-    pages = _html(_releases(t), line, "", "</table>", _of("<table><tr><td>", F.date_format("day", "EEEE, MMMM d, yyyy"), "</td></tr>"))
-    found = box_office.release_calendar(blocks.blocks(pages), dt.date(2026, 3, 3), dt.date(2026, 3, 15))
+    found = box_office.release_calendar(blocks.blocks(_release_pages(t)), dt.date(2026, 3, 3), dt.date(2026, 3, 15))
     return found.select("page_id", "title", "release_date", "distributor", "scale", "genre", "running_time", "details", "source_url")
 
 
@@ -110,12 +124,15 @@ list_value('10th Anniversary', '', 'IMAX run', 'Re-release')[kind + 1] as note,
 case when kind = 1 then 'N/A' else 'House ' || kind end as distributor, case when kind = 2 then 'Unknown' else 'Wide' end as scale from ({RELEASES})"""
 
 
-def _upcoming(t: Table) -> DataFrame:
+def _upcoming_pages(t: Table) -> DataFrame:
     note = F.when(F.col("kind") == 1, "").otherwise(_of("<span>", _kind("10th Anniversary", "", "IMAX run", "Re-release"), "</span>"))
     cell = _of('<img src="p.jpg"><a href="/title/tt', F.col("k") + 1_000_000, '/"><h3>', F.col("title"), "</h3></a>", note, '<div class="mojo-schedule-genres">Action<br>Drama</div>With: A, B 2 hr <a href="/release/rl', F.col("k"), '/">Cast, Crew, and Company Info</a>')
     line = _of("<tr><td>", cell, "</td><td>", F.when(F.col("kind") == 1, "").otherwise(_of("House ", F.col("kind"))), "</td><td>", F.when(F.col("kind") == 2, "").otherwise("Wide"), "</td></tr>")
-    pages = _html(_releases(t), line, "", "</table></div>", _of('<div id="table"><table><tr class="mojo-group-label"><th>', F.date_format("day", "MMMM d, yyyy"), "</th></tr>"))
-    return box_office.upcoming_releases(blocks.blocks(pages))
+    return _html(_releases(t), line, "", "</table></div>", _of('<div id="table"><table><tr class="mojo-group-label"><th>', F.date_format("day", "MMMM d, yyyy"), "</th></tr>"))
+
+
+def _upcoming(t: Table) -> DataFrame:
+    return box_office.upcoming_releases(blocks.blocks(_upcoming_pages(t)))
 
 
 @query(_UPCOMING)
@@ -164,11 +181,15 @@ _CHART = f"""with r as ({RELEASES}), c as (select page_id, k, cast(k % 10 + 1 as
 date '2026-01-03' + cast(7 * (page_id % 20) as int) as chart_date, 'https://www.billboard.com/artist/' || k as artist_url from r)"""
 
 
-def _chart(t: Table) -> DataFrame:
+def _chart_pages(t: Table) -> DataFrame:
     last = F.when(F.col("kind") == 0, "-").otherwise((F.col("k") % 9 + 1).cast("string"))
     item = _of('<div class="o-chart-results-list-row-container"><span>', F.col("k") % 10 + 1, '</span><a href="/artist/', F.col("k"), '"><h3 class="c-title">Artist ', F.col("k"), "</h3></a><span>", last, "</span><span>1</span><span>LAST WEEK</span><span>", F.col("kind") + 2, "</span></div>")
     said = _of("<p>Week of ", F.date_format(F.date_add(F.lit("2026-01-03").cast("date"), (F.col("page_id") % 20 * 7).cast("int")), "MMMM d, yyyy"), "</p>")
-    return charts.chart_rows(_html(_releases(t), item, heading=said))
+    return _html(_releases(t), item, heading=said)
+
+
+def _chart(t: Table) -> DataFrame:
+    return charts.chart_rows(_chart_pages(t))
 
 
 @query(_CHART + "select page_id, rank, artist, last_week, peak, weeks, chart_date, artist_url from c")
