@@ -27,6 +27,8 @@ def latest_season(episodes: DataFrame, parent: str, season: str, episode: str) -
 
 def preferred_or_latest(wanted: DataFrame, episodes: DataFrame, parent: str, season: str, episode: str, preferred: str) -> DataFrame:
     """The preferred season where it has an episode, else the latest one; (null, 0) without either."""
+    # both counts start from the same different episodes, which Spark finds once
+    episodes = episodes.select(parent, F.col(season).cast("string").alias(season), F.col(episode).cast("string").alias(episode)).distinct()
     by_season = season_counts(episodes, parent, season, episode).filter("n_episodes > 0").select(parent, F.col(season).alias("__season"), F.col("n_episodes").alias("__n"))
     latest = latest_season(episodes, parent, season, episode)
     own = wanted.join(by_season, (wanted[parent] == by_season[parent]) & (F.col(preferred).cast("string") == F.col("__season")), "left").drop(by_season[parent])

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import classify, text
 from cinelake.operators import snapshots
+from cinelake.operators.tallies import status_tallies, write_tallied
 from cinelake.plans.pages import RELEASES, _kind, _of, _releases
 from cinelake.plans.registry import SCORE, Table, query
+from cinelake.sources.scratch import scratch_path
 
 START, END = dt.date(2026, 3, 3), dt.date(2026, 3, 15)
 _CALENDAR = f"""r as ({RELEASES}), cal as (select k, kind, day, 'Show ' || k % 40 || case when kind = 0 then ' Season 2' else '' end as title, 'Show ' || k % 40 as bare from r where kind <> 3 and day between date '{START}' and date '{END}'),
@@ -52,6 +54,15 @@ def snapshot_summary(t: Table) -> DataFrame:
     return snapshots.summary(found, F.col("note") == "Matched", START, END)
 
 
+@query(f"""with {_CALENDAR} select count(*) as written, count(*) as rows, count(code) as matched, count(*) - count(code) as manual_review from matched""")
+def tallied_snapshot(t: Table) -> DataFrame:
+    """A snapshot's rows are written, and its tallies come from the same job."""
+    found = snapshots.series_snapshot(_calendar(t), _shows(t), _episodes(t), START, END)
+    spark, path = found.sparkSession, scratch_path(found.sparkSession, "snapshot")
+    tallies = write_tallied(found, path, **status_tallies("note", ["Matched", "Manual review"]))
+    return spark.read.parquet(path).agg(F.count("*").alias("written")).select("written", *(F.lit(v).alias(n) for n, v in tallies.items()))
+
+
 _WIDE = _CALENDAR.replace("'Show ' || s_suppkey % 45 as title", "'Show ' || s_suppkey % 23 as title")
 
 
