@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinelake.functions import classify, dates, text
+from cinelake.functions import classify, dates
 from cinelake.functions.markers import any_of
 from cinelake.functions.text import col, squash
 from cinelake.sources.html import rest_from as _from
