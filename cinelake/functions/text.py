@@ -130,6 +130,17 @@ def contains_either(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
+def holds_value(c: Column | str, value: str) -> Column:
+    """The key of a text holds that of a fixed value."""
+    return F.contains(title_key(c), title_key(F.lit(value)))
+
+
+def holds_values(c: Column | str, values: list[str]) -> Column:
+    """The key of a text holds that of any of fixed values."""
+    key = title_key(c)
+    return F.exists(F.transform(literals(values), title_key), lambda v: F.contains(key, v))
+
+
 def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, " "), lambda x: x != ""))
 

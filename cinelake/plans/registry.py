@@ -669,4 +669,4 @@ def issue_counts_all(t: Table) -> DataFrame:
     return validate.issue_counts(validate.report(_broken_sheet(t)), "rule")
 
 
-from cinelake.plans import compositions, files, pages, trackers  # noqa: E402, F401  they register their queries, for which they need what is above
+from cinelake.plans import compositions, files, pages, trackers, values  # noqa: E402, F401  they register their queries, for which they need what is above
