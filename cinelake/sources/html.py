@@ -146,6 +146,8 @@ class _Listing(HTMLParser):
                 self.events.append(("link", "", "", self._link[0], "", *self._link[1:]))
         if (found := next((m for v in at.values() if (m := re.search(THUMBNAIL, v, re.I))), None)) is not None:
             own = self._link
+            if own[1] and self.events[-1][0] == "link":  # the link is the image's own, not one that follows the image before
+                self.events.pop()
             self.events.append(("image", " ".join(at.get("alt", "").split()), found[0], own[0] or found["slug"], found["video_id"], *own[1:]))
         if (tag == "h3" and HEADING_CLASS in classes) or (tag == "p" and classes[:1] == [LABEL_CLASS]):
             self._collects, self._text = (tag, "heading" if tag == "h3" else "label"), []
