@@ -39,3 +39,15 @@ def in_ranges(rows: DataFrame, ranges: DataFrame, day: str, start: str, end: str
     binned = real.withColumn("__bin", F.explode(F.sequence(day_bin(start, width), day_bin(end, width))))
     met = rows.withColumn("__bin", day_bin(day, width)).join(binned, keys)
     return met.filter(F.col(day).between(F.col(start), F.col(end))).drop("__bin")
+
+
+def range_sums(rows: DataFrame, ranges: DataFrame, day: str, start: str, end: str, by: list[str], sums: dict[str, Column], width: int = RANGE_BIN) -> DataFrame:
+    """Each range with each value of `by` among the rows that its days hold, and the sums of numbers over them; ranges without rows go.
+
+    Rows are added up by day and equal ranges are met once before they meet: the pairs grow with the
+    calendar's days and the different ranges, not with the rows in each range.
+    """
+    daily = rows.groupBy(*by, day).agg(*(F.sum(value).alias(name) for name, value in sums.items()))
+    spans = ranges.select(start, end).distinct()
+    told = in_ranges(daily, spans, day, start, end, width=width).groupBy(start, end, *by).agg(*(F.sum(name).alias(name) for name in sums))
+    return ranges.join(told, [start, end])

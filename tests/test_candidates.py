@@ -126,3 +126,25 @@ def test_near_days_and_ranges_are_those_of_the_product(spark):
     ranges = spark.createDataFrame(spans, "r int, s date, e date")
     got = sorted((r["i"], r["r"]) for r in bands.in_ranges(left, ranges, "x", "s", "e").collect())
     assert got == sorted((i, r) for i, _, x in a for r, s, e in spans if x and s and e and s <= x <= e)
+
+
+def test_sums_of_ranges_are_those_of_the_product(spark):
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    held = [(n % 40, "abc"[n % 3], n % 5) for n in range(400)] + [(None, "a", 1), (3, None, 2), (7, "a", None)]
+    asked = [(0, 3, 20), (1, 3, 20), (2, 9, 8), (3, None, 9), (4, 39, 90), (5, 60, 70), (1, 0, 3)]
+    rows = spark.createDataFrame([(None if d is None else day(d), g, v) for d, g, v in held], "x date, g string, v int")
+    ranges = spark.createDataFrame([(i, None if s is None else day(s), day(e)) for i, s, e in asked], "r int, s date, e date")
+    got = bands.range_sums(rows, ranges, "x", "s", "e", ["g"], {"n": F.lit(1), "v": F.col("v")})
+    wanted = []
+    for i, s, e in asked:
+        met = [(g, v) for d, g, v in held if d is not None and s is not None and s <= d <= e]
+        wanted += [(i, str(g), sum(x == g for x, _ in met), sum(v for x, v in met if x == g and v is not None)) for g in {x for x, _ in met}]
+    assert sorted((r["r"], str(r["g"]), r["n"], r["v"]) for r in got.collect()) == sorted(wanted)
+
+
+def test_rows_of_a_day_and_equal_ranges_meet_once(spark):
+    """20,000 rows of a day in 2,000 equal ranges: no join makes their 40 million pairs."""
+    rows = spark.range(20_000).select(F.lit("2026-01-05").cast("date").alias("x"), F.lit("a").alias("g"))
+    ranges = spark.range(2_000).select(F.col("id").alias("r"), F.lit("2026-01-01").cast("date").alias("s"), F.lit("2026-01-09").cast("date").alias("e"))
+    got = bands.range_sums(rows, ranges, "x", "s", "e", ["g"], {"n": F.lit(1)})
+    assert got.agg(F.count("*"), F.min("n"), F.max("n")).first() == (2_000, 20_000, 20_000)
