@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cinelake.functions.text import NUMBER_WORDS, col, number_word
+from cinelake.functions.text import NUMBER_WORDS, col, let, number_word
 
 # Fixed values.
 MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
@@ -65,10 +65,9 @@ def season_context(c: Column | str) -> Column:
     numbers, said = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
     day = lambda s: F.try_to_date(F.concat_ws(" ", F.initcap(F.substring(s, 1, 3)), F.regexp_extract(s, r"(\d{1,2}),", 1), F.regexp_extract(s, r"(\d{4})$", 1)), "MMM d yyyy")
     told = F.filter(F.transform(F.arrays_zip(numbers.alias("n"), said.alias("s")), lambda x: F.struct(x["n"].cast("int").alias("n"), day(x["s"]).alias("day"))), lambda x: x["day"].isNotNull())
-    order = F.transform(told, lambda x: x["n"])
-    lasts = F.filter(told, lambda x, i: F.array_position(F.slice(order, i + 2, F.size(order)), x["n"]) == 0)
-    days = F.transform(lasts, lambda x: x["day"])
-    return F.struct(F.array_min(days).alias("first"), F.array_max(days).alias("last"), F.size(lasts).alias("episodes"))
+    later = lambda order, i: F.slice(order, i + 2, F.size(order))
+    last_days = lambda told: let(told["n"], lambda order: F.transform(F.filter(told, lambda x, i: F.array_position(later(order, i), x["n"]) == 0), lambda x: x["day"]))
+    return let(let(told, last_days), lambda days: F.struct(F.array_min(days).alias("first"), F.array_max(days).alias("last"), F.size(days).alias("episodes")))
 
 
 def merged_context(a: Column, b: Column) -> Column:

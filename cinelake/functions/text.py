@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ def literals(values: list[str]) -> Column:
     return F.split(F.lit("\x1f".join(values)), "\x1f")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once a row; lambdas would else compute it again for each element that they see."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squash(c: Column | str) -> Column:
     """White space of any script runs together to one space; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(col(c).cast("string"), F.lit("")), r"(?U)\s+", " "))

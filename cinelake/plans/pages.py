@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions import scoring, seasons, text
 from cinelake.operators import dedupe, resolve
+from cinelake.operators.spread import spread
 from cinelake.plans.registry import KEY, SCORE, Table, query
 from cinelake.sources import blocks, box_office, calendars, charts, html, lookups
 
@@ -243,7 +244,7 @@ def json_ld_titles(t: Table) -> DataFrame:
 def season_pages(t: Table) -> DataFrame:
     first = F.date_add(F.lit("2026-02-01").cast("date"), (F.col("p_partkey") % 200).cast("int"))
     said = F.transform(F.sequence(F.lit(0), F.col("p_size") % 5), lambda i: F.concat(F.lit("Episode "), i + 1, F.lit(" Aired "), F.date_format(F.date_add(first, i * 7), "MMM d, yyyy")))
-    return t("part").select("p_partkey", seasons.season_context(F.array_join(said, " ")).alias("c")).select("p_partkey", "c.first", "c.last", "c.episodes")
+    return spread(t("part")).select("p_partkey", seasons.season_context(F.array_join(said, " ")).alias("c")).select("p_partkey", "c.first", "c.last", "c.episodes")
 
 
 @query("select p_partkey, greatest(p_size, p_size % 7 + 1) as episodes from part")

@@ -1,9 +1,10 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from cinelake.functions import classify, dates, scoring, text
+from cinelake.functions import classify, dates, scoring, seasons, text
 
 
 def values(spark, texts, f):
@@ -82,3 +83,22 @@ def test_sequence_ratio_is_the_standard_library_s(spark):
 
     out = spark.createDataFrame([("small ring", "large ring")], "a string, b string").select(scoring.sequence_ratio("a", "b")).first()[0]
     assert out == 100 * SequenceMatcher(None, "small ring", "large ring").ratio()
+
+
+def test_long_season_page_is_read_once(spark):
+    """The lambdas read the page's episodes, not the page again for each of them."""
+    said = " ".join(f"Episode {i % 700} Aired Jan {i % 28 + 1}, {2000 + i // 700}" for i in range(1400))
+    begun = time.monotonic()
+    got = spark.createDataFrame([(said,), ("",), (None,)], "t string").select(seasons.season_context("t").alias("c")).collect()
+    assert time.monotonic() - begun < 60
+    assert tuple(got[0]["c"]) == (dt.date(2001, 1, 1), dt.date(2001, 1, 28), 700) and [tuple(r["c"]) for r in got[1:]] == [(None, None, 0)] * 2
+
+
+def test_long_title_is_scored_once(spark):
+    """The video's key is made once, not for each word of the title."""
+    words = " ".join(f"word{i}" for i in range(3000))
+    df = spark.createDataFrame([(words, "Netflix", words[:-1] + "x official trailer", "Netflix")], "t string, n string, v string, c string")
+    begun = time.monotonic()
+    got = df.select(*(v.alias(k) for k, v in scoring.trailer_scores("t", "n", F.lit(""), "v", F.lit(""), "c", F.lit("")).items())).first()
+    assert time.monotonic() - begun < 60
+    assert tuple(got) == (31, 25, 45, 0, 0, 100, "Confirmed")
