@@ -107,7 +107,7 @@ _LETTERS = "chr(cast(64 + list_position([" + ", ".join(f"'{c}'" for c in _BROKEN
 @query(_BROKEN_SQL + f"""select 'customers' as sheet, cast(row_no + 2 as varchar) as row_no, case when "column" = 'youtube_channel_company' then "column" else {_LETTERS} end as letter, case when "column" = 'youtube_channel_company' then '' else {_LETTERS} || (row_no + 2) end as cell,
 case when rule in ('Title required', 'Approved category', 'Sub-category required') then 'not_blank_and_not_in' when rule = 'Talent sub-category' then 'talent_subcategory_format' else trim(regexp_replace(lower(rule), '[^a-z0-9]+', '_', 'g'), '_') end as rule from issues""")
 def validated_workbook(t: Table) -> DataFrame:
-    """The summary sheet of the validated workbook, read from the file."""
+    """The summary of the validated workbook, read from the sheets that it takes."""
     spark = t("customer").sparkSession
     sheet = _broken_sheet(t).withColumn("row_no", F.col("row_no") + 2)
     issues = written(validate.report(sheet), "issues")
@@ -116,9 +116,9 @@ def validated_workbook(t: Table) -> DataFrame:
     cells = written(head.unionByName(sheet.select("sheet", "row_no", F.array(*columns).alias("cells"))), "cells")
     headers = head.select("sheet", F.transform("cells", lambda c: F.replace(c, F.lit("_"), F.lit(" "))).alias("headers"))
     path = scratch_path(spark, "validated") + ".xlsx"
-    books.write_validated(cells, headers, issues, path)
+    summaries = books.write_validated(cells, headers, issues, path)
     landed.register(spark)
-    kept = spark.read.format("landed").load(path).filter((F.col("sheet") == books.SUMMARY_SHEET) & (F.col("row_no") > 1)).select("cells")
+    kept = spark.read.format("landed").load(path).filter(F.col("sheet").isin(summaries) & (F.col("row_no") > 1)).select("cells")
     return kept.select(*(F.col("cells")[i].alias(n) for i, n in enumerate(["sheet", "row_no", "letter", "cell", "rule"])))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
@@ -14,8 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinelake.functions.text import let
 from cinelake.operators.validate import ALIASES
-from cinelake.sources.scratch import scratch_path
+from cinelake.sources.scratch import scratch_path, written
 from cinelake.sources.sinks import SHEET_ROWS, column_widths, ordered
 
 # Fills and font colours of headers, errors and suggestions, and what the book of validated sheets adds.
@@ -115,13 +118,18 @@ def pieces(rows: DataFrame, render: Callable[[dict], str]) -> DataFrame:
     return rows.mapInArrow(run, PIECES)
 
 
+#: Control signs, which XML can't hold.
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_OPEN = [f'<c t="inlineStr"{f" s={quoteattr(str(style))}" if style else ""}><is><t xml:space="preserve">' for style in range(6)]
+
+
 def _clean(text: str) -> str:
     """Text that XML can hold: control signs go."""
-    return escape("".join(ch for ch in text if ch >= " " or ch in "\t\n\r"))
+    return escape(_CONTROL.sub("", text))
 
 
 def _cell(value, style: int) -> str:
-    return f'<c t="inlineStr"{f" s={quoteattr(str(style))}" if style else ""}><is><t xml:space="preserve">{_clean("" if value is None else str(value))}</t></is></c>'
+    return f'{_OPEN[style]}{_clean("" if value is None else str(value))}</t></is></c>'
 
 
 def _row(cells: list, styles: list[int] | None, style: int, number: int | None = None) -> str:
@@ -191,7 +199,7 @@ def write_book(spark: SparkSession, path: str, sheets: list[Sheet]) -> None:
     system, inner = fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
     bodies = []
     for i, sheet in enumerate(sheets, 1):
-        if sheet.rows.limit(SHEET_ROWS + 1).count() > SHEET_ROWS:
+        if sheet.rows.count() > SHEET_ROWS:
             raise ValueError(f"a sheet holds {SHEET_ROWS} rows; write CSV instead")
         styles = F.col("styles") if "styles" in sheet.rows.columns else F.lit(None).cast("array<int>")
         style = sheet.style
@@ -254,7 +262,7 @@ def issue_cells(issues: DataFrame, headers: DataFrame) -> DataFrame:
     known = F.create_map(*(F.lit(x) if isinstance(x, str) else F.split(F.lit("\x1f".join(x)), "\x1f") for pair in ALIASES.items() for x in pair))
     accepted = F.concat(F.coalesce(F.try_element_at(known, F.col("column")), F.array().cast("array<string>")), F.array(F.col("column"), F.replace("column", F.lit("_"), F.lit(" "))))
     joined = issues.join(headers.select("sheet", F.col("headers").alias("__headers")), "sheet", "left")
-    place = F.array_min(F.filter(F.transform("__headers", lambda h, i: F.when(F.array_contains(accepted, h), i)), lambda i: i.isNotNull()))
+    place = let(accepted, lambda accepted: F.array_min(F.filter(F.transform("__headers", lambda h, i: F.when(F.array_contains(accepted, h), i)), lambda i: i.isNotNull())))
     first, second = F.col("col") % 26, F.floor(F.col("col") / 26) - 1
     name = F.concat(F.when(F.col("col") >= 26, F.char(second + 65)).otherwise(""), F.char(first + 65))
     return joined.withColumn("col", place).drop("__headers").withColumns({"letter": F.coalesce(name, F.col("column")), "ref": F.coalesce(F.concat(name, F.col("row_no").cast("string")), F.lit(""))})
@@ -290,17 +298,51 @@ def summary_rows(placed: DataFrame) -> DataFrame:
     return rows.unionByName(none)
 
 
-def write_validated(cells: DataFrame, headers: DataFrame, issues: DataFrame, path: str) -> None:
-    """The book of uploaded sheets (sheet, row_no, cells) with fills and comments where issues (of validate.report) are, and a summary sheet.
+def _further(name: str, i: int, taken: set[str]) -> str:
+    """The name of a sheet's i-th continuation, 31 characters at most and none that is taken; its own for 0."""
+    out = name
+    while i and (out == name or out in taken):
+        end = f" ({i + 1})"
+        out, i = name[: 31 - len(end)] + end, i + 1
+    taken.add(out)
+    return out
+
+
+def summary_parts(rows: DataFrame, most: int) -> list[DataFrame]:
+    """Summary rows in parts of at most `most`, one after the other, cut between blocks of a sheet's rows; the driver gets a number for each block."""
+    block = F.floor(F.col("row_no") / max(1, most // 1000))
+    counts = rows.groupBy("sheet", block.alias("block")).agg(F.count("*").alias("n")).orderBy("sheet", "block").collect()
+    firsts, held = [], 0
+    for r in counts:
+        if held + r.n > most and held:
+            firsts.append((r.sheet, r.block))
+            held = 0
+        held += r.n
+    starts = [(F.col("sheet") > sheet) | ((F.col("sheet") == sheet) & (block >= b)) for sheet, b in firsts]
+    return [rows.filter(reduce(Column.__and__, [*starts[i - 1 : i] * (i > 0), *(~x for x in starts[i : i + 1])], F.lit(True))) for i in range(len(starts) + 1)]
+
+
+def write_validated(cells: DataFrame, headers: DataFrame, issues: DataFrame, path: str) -> list[str]:
+    """The book of uploaded sheets (sheet, row_no, cells) with fills and comments where issues (of validate.report) are, and a summary; returns the names of the summary's sheets.
 
-    headers is (sheet, headers), header keys of each sheet; there are as many sheets as names among them.
+    headers is (sheet, headers), header keys of each sheet; there are as many sheets as names among
+    them. What is more than a sheet can hold goes on in further ones, `name (2)` and so on, whose rows
+    are counted from 1 again; the summary tells the upload's own rows.
     """
-    spark, placed = cells.sparkSession, issue_cells(issues, headers)
-    styled = cells.join(cell_styles(placed), ["sheet", "row_no"], "left")
-    comments = cell_comments(placed)
+    spark, most = cells.sparkSession, SHEET_ROWS
+    placed = written(issue_cells(issues, headers), "placed")
+    styled = written(cells.join(cell_styles(placed), ["sheet", "row_no"], "left"), "styled")
+    comments = written(cell_comments(placed), "comments")
     names = [r.sheet for r in headers.select("sheet").distinct().orderBy("sheet").collect()]  # a book's sheets
-    sheets = [Sheet(n, styled.filter(F.col("sheet") == n), ["row_no"], comments=comments.filter(F.col("sheet") == n), number="row_no") for n in names if n != SUMMARY_SHEET]
-    rows = summary_rows(placed)
+    taken, sheets = {*names, SUMMARY_SHEET}, []
+    lasts = {r.sheet: r.last for r in styled.groupBy("sheet").agg(F.max("row_no").alias("last")).collect()}
+    for name in (n for n in names if n != SUMMARY_SHEET):
+        for i in range(max(1, -(-(lasts.get(name) or 0) // most))):
+            own = lambda df, c: df.filter((F.col("sheet") == name) & (F.floor((F.col(c) - 1) / most) == i)).withColumn(c, F.col(c) - i * most)  # noqa: B023, E731
+            notes = own(comments, "row").withColumn("ref", F.concat(F.regexp_extract("ref", "^[A-Z]+", 0), "row"))
+            sheets.append(Sheet(_further(name, i, taken), own(styled, "row_no"), ["row_no"], comments=notes, number="row_no"))
+    rows = written(summary_rows(placed), "summary")
     widths = rows.agg(*(F.greatest(F.least(F.greatest(F.coalesce(F.max(F.length(F.get("cells", F.lit(i)))), F.lit(0)), F.lit(len(c))) + 2, F.lit(48)), F.lit(12)) for i, c in enumerate(SUMMARY_COLUMNS))).first()
-    summary = Sheet(SUMMARY_SHEET, rows, ["sheet", "row_no", "issue_no"], SUMMARY_COLUMNS, BOLD, WRAPPED, list(widths), filtered=True)
-    write_book(spark, path, [*sheets, summary])
+    summaries = [Sheet(_further(SUMMARY_SHEET, i, taken), part, ["sheet", "row_no", "issue_no"], SUMMARY_COLUMNS, BOLD, WRAPPED, list(widths), filtered=True) for i, part in enumerate(summary_parts(rows, most))]
+    write_book(spark, path, [*sheets, *summaries])
+    return [s.name for s in summaries]

@@ -161,3 +161,23 @@ def test_lookups_move_the_asked_side_only(spark, tmp_path):
     scan = plan[plan.rindex("BucketedScan") if "BucketedScan" in plan else plan.index("Bucketed: true") :]
     assert "Bucketed: true" in plan and plan.count("hashpartitioning(key") == 1, plan
     assert scan and sorted((r.key, r.tconst) for r in met.collect() if r.tconst) == [("original 7", "tt7"), ("title 3", "tt3"), ("title 3", "tt43")]
+
+
+def test_validated_books_go_on_in_further_sheets(spark, tmp_path, monkeypatch):
+    """More rows, and more issues, than a sheet can hold are all there; before, that was an error."""
+    monkeypatch.setattr(books, "SHEET_ROWS", 40)
+    cells = spark.createDataFrame([("Up", i, [f"t{i}", "x"]) for i in range(1, 101)], "sheet string, row_no int, cells array<string>")
+    headers = spark.createDataFrame([("Up", ["title", "genre"])], "sheet string, headers array<string>")
+    told = [("Up", i, n, "title" if n else "genre") for i in range(2, 101) for n in range(i % 4)]
+    issues = spark.createDataFrame([(s, i, n, "Some rule", c, "error", "v", f"m{i}.{n}", "") for s, i, n, c in told], "sheet string, row_no int, issue_no int, rule string, column string, level string, value string, message string, suggestion string")
+    path = str(tmp_path / "out.xlsx")
+    summaries = books.write_validated(cells, headers, issues, path)
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and workbook.sheet_names(z) == ["Up", "Up (2)", "Up (3)", *summaries]
+        rows = [r for n in ("Up", "Up (2)", "Up (3)") for r in workbook.sheet_rows(z, n)]
+        parts = [list(workbook.sheet_rows(z, n)) for n in summaries]
+        notes = [z.read(f"xl/comments{i}.xml").decode() for i in (1, 2, 3)]
+    assert [c[0] for _, c in rows] == [f"t{i}" for i in range(1, 101)] and [n for n, _ in rows] == [(i - 1) % 40 + 1 for i in range(1, 101)]
+    assert len(summaries) == 4 and all(p[0][1] == books.SUMMARY_COLUMNS and len(p) <= 41 for p in parts)
+    assert [(c[1], c[5]) for p in parts for _, c in p[1:]] == [(str(i), f"m{i}.{n}") for _, i, n, _ in told]
+    assert 'ref="B1"' in notes[1] and 'ref="A42"' not in notes[1] and sum(n.count("<comment ") for n in notes) == len({(i, c) for _, i, _, c in told})
