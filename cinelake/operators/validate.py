@@ -12,9 +12,10 @@ from cinelake.functions import scoring
 from cinelake.functions.dates import parse_date
 from cinelake.functions.markers import holds_any
 from cinelake.functions.text import (
-    contains_either, dar_base, display, first_nonblank, imdb_code, is_blankish, is_dar, is_youtube, literals,
+    contains_either, dar_base, display, first_nonblank, imdb_code, is_blankish, is_dar, is_youtube, let, literals,
     shares_token, slug, social_handle, split_urls, split_values, squash, title_key, url_host, url_path,
 )
+from cinelake.operators.spread import spread
 
 # Fixed values.
 CORE_COLUMNS = ["title", "title_category", "title_sub_category", "genre", "primary_genre", "companies", "brand_set", "facebook_page"]
@@ -135,14 +136,14 @@ def unmanaged() -> Column:
     companies = F.filter(split_values("companies"), lambda v: ~is_blankish(v) & ~F.array_contains(literals(UNMANAGED_COMPANIES), title_key(v)))
     listed = F.concat(of("Companies", companies), *(of(kind, F.when(~blank(column), split_urls(column)).otherwise(F.array().cast("array<string>"))) for kind, column in MANAGED.items()))
 
+    holds = lambda x: F.coalesce((x != "") & F.contains("managers", x), F.lit(False))
+
     def named(s: Column) -> Column:
         value = s["value"]
-        piece, handle = _account(value), F.when(value.rlike("^\\s*@|/"), social_handle(value))
-        holds = lambda x: F.coalesce((x != "") & F.contains("managers", x), F.lit(False))
-        return holds(piece) | holds(handle)
+        return let(_account(value), holds) | let(F.when(value.rlike("^\\s*@|/"), social_handle(value)), holds)
 
-    lacking = F.filter(listed, lambda s: ~named(s))
-    texts = F.transform(literals(["Companies", *MANAGED]), lambda k: F.concat(k, F.lit(": "), F.array_join(F.transform(F.filter(lacking, lambda s: s["kind"] == k), lambda s: s["value"]), ", ")))
+    of_kind = lambda lacking: lambda k: F.concat(k, F.lit(": "), F.array_join(F.transform(F.filter(lacking, lambda s: s["kind"] == k), lambda s: s["value"]), ", "))
+    texts = let(F.filter(listed, lambda s: ~named(s)), lambda lacking: F.transform(literals(["Companies", *MANAGED]), of_kind(lacking)))
     return F.array_join(F.filter(texts, lambda t: ~t.endswith(": ")), " | ")
 
 
@@ -366,9 +367,10 @@ def report(rows: DataFrame, rules: Callable[[], list[Alternatives | Each]] = row
     """(sheet, row_no, title, issue_no, rule, column, level, value, message, suggestion): all issues of all rows, in rule order; the first two where the rows have them.
 
     What a row breaks is an array of rule numbers, with a place for rules of arrays; only then is a
-    row exploded, and only an issue that is there gets its texts. There is no shuffle.
+    row exploded, and only an issue that is there gets its texts. Rows are dealt over all cores as they
+    came in; nothing else is shuffled.
     """
-    facts = with_facts(logical_columns(rows))
+    facts = with_facts(logical_columns(spread(rows)))
     single, placed, issues = [], [], []
     for group in rules():
         at = len(issues)
