@@ -179,3 +179,14 @@ def test_seasons_in_text(spark):
     assert (r.end, r.n, r.m, r.p) == (dt.date(2026, 4, 9), 8, 6, 11)
     c = df.select(seasons.season_context(F.lit("Episode 1 Mar 1, 2026 Episode 2 Mar 8, 2026 Episode 1 Mar 2, 2026")).alias("c")).first().c
     assert (c.first, c.last, c.episodes) == (dt.date(2026, 3, 2), dt.date(2026, 3, 8), 2)
+
+
+def test_large_pages_are_read_in_parts(spark, monkeypatch):
+    """Parts of a large page are the rows of the whole page, and none of them holds all."""
+    rows = "".join(f'<tr class="r"><td>{i} &amp; <b>x</b></td><td><a href="/r{i}">Title {i}</a> text\nmore</td></tr>' for i in range(400))
+    html = f"<html><head><title>T</title><script>if (a < b) '<p>'</script></head><body><p>before</p><main><h2>Head</h2><table>{rows}</table><p>last</p></main><p>after <a href='/z'>z</a></p></body></html>"
+    whole = blocks.read(html)
+    monkeypatch.setattr(blocks, "PIECE", 500)
+    parts = list(blocks.read_parts(html))
+    assert [r for p in parts for r in p] == whole and max(map(len, parts)) < 60
+    assert list(blocks.read_parts(None)) == [[]]
