@@ -29,7 +29,7 @@ def _releases(t: Table) -> DataFrame:
 
 def _html(rows: DataFrame, line: Column, before: str = "", after: str = "", heading: Column | None = None) -> DataFrame:
     """A page for each page_id: its heading, then the lines of its rows in the order of k."""
-    parts = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("lines"), F.first(heading if heading is not None else F.lit("")).alias("heading"))
+    parts = spread(rows, "page_id").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("lines"), F.first(heading if heading is not None else F.lit("")).alias("heading"))
     return parts.select("page_id", F.concat(F.lit("<html><body>"), "heading", F.lit(before), F.array_join("lines.line", "\n"), F.lit(after + "</body></html>")).alias("html"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinelake.functions.markers import holds_any
 from cinelake.operators.numbering import running_totals
+from cinelake.sources.scratch import written
 
 # Fixed values.
 HIDDEN = ("script", "style", "noscript", "svg", "template")
@@ -208,11 +209,12 @@ def listing_cards(pages: DataFrame, page_no: str = "page_no", html_col: str = "h
 
 def trailer_feed(pages: DataFrame, page_no: str = "page_no", html_col: str = "html") -> DataFrame:
     """Cards of all pages before the first empty one, each video once (its first card), numbered in feed order."""
-    found = listing_cards(pages, page_no, html_col)
+    found = written(listing_cards(pages, page_no, html_col), "cards")
     counted = pages.select(page_no).join(found.select(page_no).distinct().withColumn("full", F.lit(True)), page_no, "left")
     stop = counted.filter("full is null").agg(F.min(page_no).alias("stop"))
     kept = found.join(F.broadcast(stop), F.lit(True)).filter(F.col("stop").isNull() | (F.col(page_no) < F.col("stop"))).drop("stop")
     firsts = kept.withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy(page_no, "pos"))).filter("r = 1").drop("r")
+    firsts = written(firsts, "feed")
     # numbers from counts by page: no window over the whole feed
     before = running_totals(firsts.groupBy(page_no).agg(F.count("*").alias("n")), page_no, "n", "before")
     place = F.row_number().over(Window.partitionBy(page_no).orderBy("pos"))
