@@ -19,8 +19,6 @@ ORDER = 4
 SPACE = 0x20
 #: Counted n-grams that a task holds before it merges equal ones.
 HELD = 4_000_000
-#: About so many rows at most on which the limits of rejection are fitted.
-SAMPLE_ROWS = 20_000
 #: Standard deviations above the mean cost of a language's own texts at which a text is rejected.
 REJECT = 6.0
 #: Characters whose evidence a score stands for.
@@ -219,13 +217,12 @@ def _at(table, wanted: np.ndarray, missing: float) -> tuple[np.ndarray, np.ndarr
     return np.where(hit, table[1][i], missing), hit
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of all languages in `train`, counted over every whole text of it; rows without text or language don't count.
 
     Every n-gram of the corpus is kept under its own code. Spark sorts them by ranges into a table
     in the shared folder, which workers read: the driver gets the names of the languages and the
-    limits of rejection only. These are fitted on about `sample_rows` rows at most, chosen by a hash
-    of the id; rows with a null id take no part in them. Repeated rows count each time.
+    limits of rejection only. These are fitted on all rows that are counted. Repeated rows count each time.
     """
     spark = train.sparkSession
     counts, _ = materialize(count_ngrams(train, id_col, text_col, lang_col), "ngrams")
@@ -234,10 +231,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     part = (F.col("number") * ORDER + F.col("k") - 1) * 2 + F.col("context").cast("int")
     table = smoothed(counts).join(F.broadcast(numbers), "lang").select(part.alias("part"), "code", F.col("value").cast("float").alias("value"))
     _, model.path = materialize(table.repartitionByRange("part", "code").sortWithinPartitions("part", "code"), "language-model")
-    known = train.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    every = max(1, known.count() // sample_rows)
-    sample = known.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(every)) == 0)
-    rows = sample.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = known.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     costs = _identified(rows, model, ["lang"]).filter(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("spread"))
     model.limits = {r.lang: r["mean"] + REJECT * max(r.spread, 0.05) for r in costs.collect()}
     return model

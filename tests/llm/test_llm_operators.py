@@ -711,3 +711,13 @@ def test_queries_give_what_their_sql_gives(spark, name):
     rows = sorted((tuple(value(r[i]) for i in order) for r in wanted.fetchall()), key=repr)
     found = registry.queries()[name](spark, "/root/testdata/sf0.001").select(names).collect()
     assert rows and sorted((tuple(map(value, r)) for r in found), key=repr) == rows
+
+
+def test_limits_of_rejection_are_those_of_all_rows(spark):
+    """No sample: each row that is counted has its part in its language's limit, one without an id too."""
+    texts = [("en", "the quick brown fox jumps over the lazy dog again and again"), ("de", "der schnelle braune Fuchs springt immer wieder über den faulen Hund")]
+    docs = spark.createDataFrame([(None if i % 2 else i, lang, text[i % 20 :] + " " + text) for i in range(60) for lang, text in texts], "doc_id long, lang string, text string")
+    model = language_id.fit(docs)
+    found = language_id.identify(docs.withColumn("doc_id", F.lit(1)), model).groupBy("lang_pred").agg(F.avg("cross_entropy").alias("mean"), F.stddev_pop("cross_entropy").alias("spread"))
+    assert model.limits == pytest.approx({r.lang_pred: r["mean"] + language_id.REJECT * max(r.spread, 0.05) for r in found.collect()})
+    assert language_id.fit(docs.withColumn("doc_id", F.lit(None).cast("long"))).limits == pytest.approx(model.limits)
