@@ -304,3 +304,20 @@ def test_the_pipeline_s_line_stage_keeps_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, line, 5, "x"), (2, f"{line}\nother words", 6, "y")], "doc_id long, text string, n_lines int, places string")
     out = corpus_pipeline.without_repeated_lines(spark, df, "")
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, line, 5, "x"), (2, "other words", 6, "y")]
+
+
+def test_lines_of_a_key_that_are_not_similar_are_never_rows(spark):
+    """Lines of the same words in other orders, which no sketch tells apart: only what is linked leaves the joins."""
+    import random
+
+    from cinelake.llm import line_dedup
+
+    rng, words = random.Random(5), [f"word{i}" for i in range(20)]
+    lines = ["extraordinarily interesting " + " ".join(rng.sample(words, 20)) for _ in range(40)]
+    lines.append(lines[0] + " more")
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    met = line_dedup.met_rows(line_dedup.key_rows(line_dedup.line_keys(df)))
+    texts = line_dedup.coded_lines(df, line_dedup.distinct_lines(line_dedup.line_occurrences(df)), met.select("x").distinct())
+    rows = line_dedup._apart(met, spark.createDataFrame([], "node long, component long"), texts)
+    assert rows.select("x").distinct().count() == 41
+    assert line_dedup.hub_links(rows).count() <= 1 and line_dedup.links_between(rows).count() == 1
