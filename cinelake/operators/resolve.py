@@ -16,6 +16,14 @@ def with_keys(df: DataFrame, *keys: Column | str, name: str = "key") -> DataFram
     return df.withColumn(name, F.explode(found))
 
 
+def first_alike(candidates: DataFrame, read: list[str], tie: str) -> DataFrame:
+    """Of the candidates that are equal in all that a score reads (`read`, keys included) the one with the smallest `tie`: none of the others can be a best match.
+
+    How many meet a probe is then bounded by the different values, not by the rows of the catalogue.
+    """
+    return candidates.groupBy(*read).agg(F.min(tie).alias(tie))
+
+
 def best_match(probes: DataFrame, candidates: DataFrame, on: list[str], probe_id: list[str], score: Callable[[], Column], tie: Column | str, least: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """probe_id, the columns `keep` of the best candidate and its score, null where none matches.
 

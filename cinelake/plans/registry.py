@@ -52,7 +52,7 @@ def _verified(t: Table) -> DataFrame:
     probes = asked.crossJoin(F.broadcast(preferred))
     zero = F.lit("")
     best = resolve.best_match(
-        probes, _catalogue(t), ["key"], ["p_name", "wanted"],
+        probes, resolve.first_alike(_catalogue(t), ["key", "p_type", "year"], "code"), ["key"], ["p_name", "wanted"],
         lambda: scoring.lookup_score(F.col("p_type"), F.col("preferred"), F.col("key"), zero, F.col("key"), F.col("year").cast("int"), F.col("wanted").cast("int")), "code", keep=["code"],
     )
     given = F.when(F.col("wanted") % 3 == 0, "").when(F.col("wanted") % 3 == 1, F.col("code").cast("string")).otherwise("0")

@@ -135,3 +135,26 @@ def test_queries_take_the_whole_tables(spark, tmp_path):
     assert [r.doc_id for r in run("dedupe_keep_first").orderBy("doc_id").collect()] == [1, 2, 4]
     assert {r.heading for r in run("heading_carry_forward").collect()} == {"h" * 30}
     assert [(r.distributor, r.n) for r in run("top12_distributors").collect()] == [("N", 1100)]
+
+
+def test_candidates_that_a_score_cannot_tell_apart_meet_a_probe_once(spark):
+    """Copies of a catalogue row are one candidate, that of the smallest code."""
+    from cinelake.operators import resolve
+
+    rows = [("k", "a", 1, code) for code in range(50, 10, -1)] + [("k", "b", 1, 5), ("k", None, 1, 7), ("k", None, 1, 6)]
+    found = resolve.first_alike(spark.createDataFrame(rows, "key string, kind string, year int, code long"), ["key", "kind", "year"], "code")
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("k", "a", 1, 11), ("k", "b", 1, 5), ("k", None, 1, 6)], key=repr)
+
+
+def test_a_larger_catalogue_brings_verification_no_more_candidates(spark):
+    from cinelake.plans import registry
+
+    parts = lambda n: spark.range(n).selectExpr("id as p_partkey", "'red bolt' as p_name", "concat('T', id % 2) as p_type", "cast(id % 3 as int) as p_size")
+    seen = []
+    best = registry.resolve.best_match
+    try:
+        registry.resolve.best_match = lambda probes, candidates, *a, **k: (seen.append(candidates.count()), best(probes, candidates, *a, **k))[1]
+        counts = [registry._verified(lambda name, n=n: parts(n)).count() for n in (60, 600)]
+    finally:
+        registry.resolve.best_match = best
+    assert seen == [6, 6] and counts == [7, 7]
