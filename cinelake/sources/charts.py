@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cinelake.functions import dates, text
 from cinelake.functions.text import squash
 from cinelake.operators import dedupe
+from cinelake.operators.spread import spread
 from cinelake.sources.calendars import absolute
 from cinelake.sources.html import HIDDEN
 
@@ -176,10 +177,11 @@ def page_details(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """(id, details): descriptions of a page's meta elements and JSON-LD, each once by key, joined by bars and cut at 1200 characters."""
     from cinelake.sources.lookups import ld_items, ld_texts
 
+    pages = spread(pages.select(id_col, html_col))
     metas = [r'(?is)<meta[^>]*name=["\']description["\'][^>]*content="([^"]*)"', r'(?is)<meta[^>]*property=["\']og:description["\'][^>]*content="([^"]*)"', r'(?is)<meta[^>]*name=["\']twitter:description["\'][^>]*content="([^"]*)"']
     said = pages.select(id_col, F.posexplode(F.array(*(squash(F.regexp_extract(html_col, m, 1)) for m in metas))).alias("n", "text"))
     item = lambda p: F.get_json_object("item", p)
-    extra = F.concat_ws("; ", *(F.when(F.size(ld_texts(item(p))) > 0, F.concat(F.lit(label), F.array_join(ld_texts(item(p)), "; "))) for label, p in (("Genre: ", "$.genre"), ("Birth date: ", "$.birthDate"), ("Birth place: ", "$.birthPlace"))))
+    extra = F.concat_ws("; ", *(F.concat(F.lit(label), F.nullif(F.array_join(ld_texts(item(p)), "; "), F.lit(""))) for label, p in (("Genre: ", "$.genre"), ("Birth date: ", "$.birthDate"), ("Birth place: ", "$.birthPlace"))))
     more = ld_items(pages, id_col, html_col).select(id_col, "place", F.posexplode(F.array(F.coalesce(squash(item("$.description")), F.lit("")), extra)).alias("part", "text"))
     placed = said.select(id_col, F.lit(0).alias("a"), F.col("n").alias("b"), F.lit(0).alias("c"), F.lit(0).alias("d"), "text").unionByName(more.select(id_col, F.lit(1).alias("a"), F.col("place.script").alias("b"), F.col("place.n").alias("c"), F.col("part").alias("d"), "text"))
     firsts = placed.withColumn("key", text.title_key("text")).filter("key <> ''").withColumn("r", F.row_number().over(Window.partitionBy(id_col, "key").orderBy("a", "b", "c", "d"))).filter("r = 1")

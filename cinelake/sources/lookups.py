@@ -157,6 +157,8 @@ def ld_texts(c: Column) -> Column:
     """Texts of a JSON-LD member that may be a text, an object or a list of either; each key once."""
     listed = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
     of = lambda x: F.when(F.trim(x).startswith("{"), F.coalesce(F.get_json_object(x, "$.name"), F.get_json_object(x, "$.url"), F.get_json_object(x, "$['@id']"))).otherwise(x)
-    values = F.filter(F.transform(listed, lambda x: squash(of(x))), lambda x: title_key(x) != "")
-    keys = F.transform(values, title_key)
-    return F.coalesce(F.filter(values, lambda x, i: F.array_position(keys, title_key(x)) == i + 1), F.array().cast("array<string>"))
+    # a lambda's variable is computed once, what it would stand for again for each element
+    keyed = F.transform(F.transform(listed, lambda x: squash(of(x))), lambda v: F.struct(v.alias("v"), title_key(v).alias("k")))
+    firsts = lambda all_: F.filter(all_, lambda p, i: F.array_position(all_["k"], p["k"]) == i + 1)
+    once = F.get(F.transform(F.array(F.filter(keyed, lambda p: p["k"] != "")), firsts), F.lit(0))
+    return F.coalesce(once["v"], F.array().cast("array<string>"))

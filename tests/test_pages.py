@@ -190,3 +190,12 @@ def test_large_pages_are_read_in_parts(spark, monkeypatch):
     parts = list(blocks.read_parts(html))
     assert [r for p in parts for r in p] == whole and max(map(len, parts)) < 60
     assert list(blocks.read_parts(None)) == [[]]
+
+
+def test_pages_details_are_made_by_more_than_one_task(spark):
+    from cinelake.sources import charts
+
+    html = '<script type="application/ld+json">{"description": "Sings", "genre": ["Pop", "", "pop", "Rock", "-"], "birthPlace": {"name": "Rome"}}</script>'
+    found = charts.page_details(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").coalesce(1))
+    assert sorted(map(tuple, found.collect())) == [(1, "Sings | Genre: Pop; Rock; Birth place: Rome"), (2, "")]
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
