@@ -199,3 +199,15 @@ def test_pages_details_are_made_by_more_than_one_task(spark):
     found = charts.page_details(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string").coalesce(1))
     assert sorted(map(tuple, found.collect())) == [(1, "Sings | Genre: Pop; Rock; Birth place: Rome"), (2, "")]
     assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_feed_of_changes_parses_no_page_again_for_its_rows(spark):
+    import datetime as dt
+
+    from cinelake.sources import blocks, box_office
+
+    html = "<table><tr><th>Release</th><th>Old Date</th><th>New Date</th></tr><tr><td colspan=5>Mar 22, 2026</td></tr><tr><td>A</td><td>H</td><td>Wide</td><td>Apr 1, 2026</td><td>Apr 8, 2026</td></tr></table>"
+    changes = box_office.schedule_changes(blocks.blocks(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    feed = box_office.changes_feed(changes, dt.date(2026, 3, 21), dt.date(2026, 3, 26))
+    assert [(r.release, r.posted) for r in feed.collect()] == [("A", dt.date(2026, 3, 22))]
+    assert "MapInArrow" not in feed._jdf.queryExecution().executedPlan().toString()
