@@ -321,3 +321,36 @@ def test_lines_of_a_key_that_are_not_similar_are_never_rows(spark):
     rows = line_dedup._apart(met, spark.createDataFrame([], "node long, component long"), texts)
     assert rows.select("x").distinct().count() == 41
     assert line_dedup.hub_links(rows).count() <= 1 and line_dedup.links_between(rows).count() == 1
+
+
+def test_bounds_turn_unlike_lines_away_before_edits_are_counted(spark):
+    """Letters too many and words of its own are never more than the edits; of unlike lines they are more than the allowed ones."""
+    import random
+
+    from cinelake.llm import line_dedup
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2_000)]
+    rows = []
+    for unlike in (False, True):
+        for size in (6, 300):
+            for _ in range(40):
+                a = rng.sample(words, size)
+                b = rng.sample(words, size) if unlike else [rng.choice(words) if rng.random() < 0.15 else v for v in a]
+                rows.append((unlike, size, " ".join(a), " ".join(b)))
+    code = lambda c: F.array_join(F.transform(F.split(c, " "), lambda v: F.decode(F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64(v), F.lit(line_dedup.CODES)) + line_dedup.FIRST_CODE), 8, "0")), "UTF-32")), "")
+    df = spark.createDataFrame(rows, "unlike boolean, size int, a string, b string")
+    for of in "ab":
+        df = df.withColumns({f"{of}_chars": F.col(of), f"{of}_words": code(of), **{f"{of}_{c}": line_dedup.letter_counts(F.col(of), c) for c in line_dedup.LETTERS}})
+    letters = sum(F.bit_count(F.col(f"a_{c}").bitwiseAND(F.bitwise_not(f"b_{c}"))) for c in line_dedup.LETTERS)
+    own = F.length(F.call_function("translate", F.col("a_words"), F.col("b_words"), F.lit("")))
+    short = F.col("size") < 10
+    text = lambda of: F.when(short, F.col(f"{of}_chars")).otherwise(F.col(f"{of}_words"))
+    edits, most = F.levenshtein(text("a"), text("b")), F.greatest(F.length(text("a")), F.length(text("b")))
+    found = df.select("unlike", "size", F.when(short, letters).otherwise(own).alias("bound"), edits.alias("edits"), most.alias("most"), line_dedup._within("{}_{}", 0.8, short).alias("within")).collect()
+    assert all(r.bound <= r.edits and r.within == (r.edits <= 0.2 * r.most + 1e-9) for r in found)
+    assert any(r.within for r in found if r.size == 6) and any(r.within for r in found if r.size == 300)
+    # short lines have letters in common by chance, long ones few words
+    for size, least in ((6, 24), (300, 40)):
+        assert sum(r.bound > 0.2 * r.most for r in found if r.unlike and r.size == size) >= least
