@@ -158,3 +158,20 @@ def test_a_larger_catalogue_brings_verification_no_more_candidates(spark):
     finally:
         registry.resolve.best_match = best
     assert seen == [6, 6] and counts == [7, 7]
+
+
+def test_season_counts_add_nothing_up_before_rows_are_dealt(spark):
+    """A task that adds up near unique rows as it reads them holds them all; blank, null and repeated episodes count as before."""
+    from cinelake.operators import rollup
+
+    rows = [(1, "1", "a"), (1, "1", "a"), (1, "1", "b"), (1, "2", ""), (1, "2x", "c"), (1, "2", None), (1, None, "d"), (None, "1", "e"), (2, "", "f"), (2, "0", "g")]
+    df = spark.createDataFrame(rows, "p long, s string, e string")
+    key = lambda r: str(tuple(r))
+    found = rollup.season_counts(df, "p", "s", "e")
+    assert sorted(map(tuple, found.collect()), key=key) == sorted([(1, "1", 2), (1, "2", 0), (1, "2x", 1), (1, None, 1), (None, "1", 1), (2, "", 1), (2, "0", 1)], key=key)
+    assert sorted(map(tuple, rollup.latest_season(df, "p", "s", "e").collect()), key=key) == sorted([(1, 2, 1), (None, 1, 1)], key=key)
+    assert sorted(map(tuple, rollup.series_totals(df, "p", "s").collect()), key=key) == sorted([(1, 7, 3), (None, 1, 1), (2, 2, 1)], key=key)
+    for df in (found, rollup.latest_season(df, "p", "s", "e"), rollup.series_totals(df, "p", "s")):
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        lowest = max(i for i, line in enumerate(plan) if "HashAggregate" in line)
+        assert "Exchange" in plan[lowest + 1] and "REPARTITION_BY_NUM" in plan[lowest + 1]
