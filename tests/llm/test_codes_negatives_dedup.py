@@ -323,6 +323,22 @@ def test_lines_of_a_key_that_are_not_similar_are_never_rows(spark):
     assert line_dedup.hub_links(rows).count() <= 1 and line_dedup.links_between(rows).count() == 1
 
 
+def test_lines_that_share_many_keys_are_counted_out_under_one(spark):
+    """A link is found under the least shared key only, so no pair's edits are counted under each of its keys."""
+    from cinelake.llm import line_dedup
+    from pyspark.sql import functions as F
+
+    line = "the extraordinarily interesting mountain railway crosses several narrow valleys before reaching northern territories"
+    df = spark.createDataFrame([(1, line), (2, line.replace("several", "many"))], "doc_id long, text string")
+    met = line_dedup.met_rows(line_dedup.key_rows(line_dedup.line_keys(df)))
+    texts = line_dedup.coded_lines(df, line_dedup.distinct_lines(line_dedup.line_occurrences(df)), met.select("x").distinct())
+    rows = line_dedup._apart(met, spark.createDataFrame([], "node long, component long"), texts)
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.x") < F.col("b.x")) & line_dedup._is_similar(0.8)
+    assert rows.select("key").distinct().count() > 5
+    assert rows.alias("a").join(rows.alias("b"), on).count() == 1
+    assert line_dedup.links_between(rows).count() == 1 and line_dedup.hub_links(rows).count() == 1
+
+
 def test_bounds_turn_unlike_lines_away_before_edits_are_counted(spark):
     """Letters too many and words of its own are never more than the edits; of unlike lines they are more than the allowed ones."""
     import random
