@@ -510,6 +510,46 @@ def test_jaccard_odd_rows(spark):
     assert not jaccard_join.jaccard_components(docs(spark, [])).count()
 
 
+@pytest.mark.parametrize("sides", [None, 3])
+def test_sketches_rule_out_no_link(sides):
+    rng = random.Random(5)
+    bases = [rng.sample(range(1 << 60), n) for n in (3, 40, 120, 510, 600, 1_100, 2_300)]
+    sets = []
+    for base in bases:
+        for _ in range(6):
+            kept = rng.sample(base, len(base) - rng.randrange(len(base) // 9 + 1))
+            sets.append(np.unique(np.array(kept + rng.sample(range(1 << 60), rng.randrange(len(base) // 12 + 1)), np.uint64)))
+        sets += [np.array(sorted(rng.sample(range(1 << 60), len(base))), np.uint64) for _ in range(20)]
+    side = [i % sides for i in range(len(sets))] if sides else None
+    found = jaccard_join.alike(list(range(len(sets))), [(len(s), jaccard_join.sketch(s)) for s in sets], side)
+    part = list(range(len(sets)))
+    for a, b in found:
+        assert side is None or side[a] != side[b]
+        part = [part[b] if p == part[a] else p for p in part]
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and (side is None or side[a] != side[b]):
+                assert part[a] == part[b]
+    # sets of which no other is a near copy stay alone
+    assert all(part.count(part[i]) == 1 for i in range(len(sets)) if i % 26 >= 6)
+
+
+def test_texts_of_unlike_documents_that_a_passage_chains_stay(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(300)]
+    passage = " ".join(f"rare{i}" for i in range(40))
+    rows = [(i, passage + " " + " ".join(rng.choice(words) for _ in range(160))) for i in range(40)]
+    rows += [(100 + i, text) for i, text in [(0, rows[0][1] + " end"), (1, rows[7][1] + " end of it")]]
+    moved = []
+    plain = jaccard_join._found
+    monkeypatch.setattr(jaccard_join, "_found", lambda groups, columns, *more: (moved.append((columns, sorted(r["id"] for r in groups.collect()))), plain(groups, columns, *more))[1])
+    monkeypatch.setattr(jaccard_join, "SKETCH_DOCS", 9)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(jaccard_join.jaccard_components(docs(spark, rows)))}
+    assert out == plain_components(rows)
+    assert {i for columns, ids in moved if columns == ["text"] for i in ids} == {0, 7, 100, 101}
+
+
 @pytest.mark.parametrize("heaped", [0, 10**9])
 def test_divide_skip_finds_what_all_pairs_find(heaped, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HEAPED", heaped)
