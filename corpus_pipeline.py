@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinelake.llm import byte_bpe, decontamination, jaccard_join, line_dedup, toxicity
-from cinelake.llm.common import materialize
+from cinelake.llm.common import drop_path, materialize
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the documents of sf_dir, each stage's rows written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over the documents of sf_dir, each stage's rows written and reread, and deleted when the next one's are written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, path = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -104,3 +104,15 @@ def test_every_stage_does_what_a_plain_version_does(spark, tmp_path):
     wanted = sorted(((i, sha(np.array(plain.encode_ordinary(t or ""), "<u4").tobytes()), sha((t or "").encode())) for i, t in clean), key=repr)
     assert sorted(((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in docs.collect()), key=repr) == wanted
     assert sorted(((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()), key=repr) == wanted
+
+
+def test_a_stage_leaves_no_table_that_nothing_reads(spark, tmp_path, monkeypatch):
+    rows, _, _ = corpus()
+    docs = spark.createDataFrame(rows[:40], "doc_id long, text string")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    same = lambda spark, docs, sf_dir: docs.select("doc_id", "text")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", same), ("line_dedup", corpus_pipeline.without_repeated_lines), ("three", same), ("four", same)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 40
+    left = {p.name.rsplit("-", 1)[0] for p in (tmp_path / "cinelake").iterdir()}
+    assert left == {"pipeline-three", "occurrences", "kept", "edges"}
