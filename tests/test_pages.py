@@ -211,3 +211,26 @@ def test_a_feed_of_changes_parses_no_page_again_for_its_rows(spark):
     feed = box_office.changes_feed(changes, dt.date(2026, 3, 21), dt.date(2026, 3, 26))
     assert [(r.release, r.posted) for r in feed.collect()] == [("A", dt.date(2026, 3, 22))]
     assert "MapInArrow" not in feed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_weekends_chart_comes_in_pages_of_bounded_size(spark, monkeypatch):
+    from cinelake.operators import trackers as operators
+    from cinelake.plans import registry, trackers  # noqa: F401 (the registry comes first)
+
+    monkeypatch.setattr(trackers, "CHART_KEYS", 70)
+    sizes = []
+    for n in (210, 840):
+        pages = trackers._weekends(lambda name, n=n: spark.range(n).withColumnRenamed("id", "p_partkey")).collect()
+        assert sum(p.html.count("<tr>") for p in pages) == n - n // 7
+        sizes.append(max(p.html.count("<tr>") for p in pages))
+    assert sizes[1] <= 70
+    chart = lambda *rows: "<table>" + "".join(f'<tr><td>{rank}</td><td><a href="/release/{code}/">{title}</a></td></tr>' for rank, code, title in rows) + "</table>"
+    sunday = dt.date(2026, 3, 8)
+    charts_ = [(sunday, 1, chart((9, "rl1", "One"), (7, "rl2", "Two"))), (sunday, 0, chart((3, "rl1", "One")))]
+    day = "<table><tr><td>Friday, March 6, 2026</td></tr>"
+    lines = [f'<tr><td><a href="/release/rl{k}/"><h3>{t}</h3></a> Drama</td><td>House</td><td>Wide</td></tr>' for k, t in ((1, "One"), (2, "Two"))]
+    found = operators.recent_openings(
+        page(spark, day + "".join(lines) + "</table>"), spark.createDataFrame([], "url string, html string"),
+        spark.createDataFrame(charts_, "sunday date, part int, html string"), dt.date(2026, 3, 3), dt.date(2026, 3, 15),
+    )
+    assert {r.title: r["rank"] for r in found.collect()} == {"One": "3", "Two": "7"}
